@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.llm import exact_dedup, mixing, packing
+from poolscope.llm import exact_dedup, langid, mixing, packing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    models = langid.train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    got = langid.predict(docs, models)
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    labels = table(spark, sf_dir, "labels").filter(remainder != 2)
+    got = toxicity.score(docs, toxicity.fit(toxicity.labelled_sample(docs, labels)))
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    return got.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -66,7 +83,13 @@ FROM e
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup, "op8_packing": op8_packing, "op10_mixing": op10_mixing}
+    return {
+        "op4_exact_dedup": op4_exact_dedup,
+        "op7_language_id": op7_language_id,
+        "op8_packing": op8_packing,
+        "op9_toxicity": op9_toxicity,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
