@@ -7,10 +7,10 @@ one closes. The work is map-only: no shuffle, and memory is bounded by one Arrow
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from array import array
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,50 +18,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+COLUMNS = [("doc_id", pa.int64()), ("piece", pa.int32())]
+COLUMNS += [(name, pa.int64()) for name in ("start", "length", "ids_crc32", "sequence_id", "offset")]
 CAPACITY = 2048
 OPEN_BINS = 1024
-#: Words of up to so many characters are remembered, up to so many words a worker.
-CACHED_CHARS, CACHED_WORDS = 48, 400_000
+#: The published pre-tokeniser of the byte-level vocabulary (fixed value).
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: White space next to white space or at an end: only there could a cut before a space change the tokens.
-_IRREGULAR = re.compile(r"\s\s|^\s|\s$")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+
+def byte_symbols() -> dict[str, int]:
+    """The byte that each symbol of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes.
+    """Token ids of whole texts as little-endian 32-bit bytes, for a file of the tokenizers library.
 
-    The byte-level pre-tokeniser always starts a new word at a single space between two visible characters, so texts
-    are cut there and the ids of each different word are computed once.
+    Where the file is a plain byte-level BPE whose ids follow its merges, the same ids come faster from its vocabulary
+    as ranks; texts that hold a special token's string, and any other file, go to the tokenizers library itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for text in texts:
-            if _IRREGULAR.search(text):
-                words = _SAFE_CUT.split(text)
-            else:
-                first, *rest = text.split(" ")
-                words = [first, *[" " + w for w in rest]]
-            parts.append(words)
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list({w for words in parts for w in words if w not in known})
-        extra = {}
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                (known if len(word) <= CACHED_CHARS else extra)[word] = np.array(got.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in parts]
-        return [b"".join([known[w] for w in words]) for words in parts]
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.special = [t["content"] for t in told.get("added_tokens", [])]
+        self.ranks = self._as_ranks(told)
+
+    def _as_ranks(self, told: dict):
+        model, pre = told["model"], told.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not told.get("normalizer") and not model.get("dropout")
+        plain = plain and not model.get("byte_fallback") and not model.get("ignore_merges")
+        plain = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex")
+        if not plain:
+            return None
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        vocabulary = model["vocab"]
+        if any(vocabulary.get("".join(m)) != 256 + k for k, m in enumerate(merges)):
+            return None
+        import tiktoken
+
+        symbols = byte_symbols()
+        ranks = {bytes(symbols[c] for c in w): i for w, i in vocabulary.items() if w not in self.special}
+        return tiktoken.Encoding("vocabulary", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.ranks is not None and not any(s in text for s in self.special):
+            return array("I", self.ranks.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class OpenBins:
@@ -102,8 +120,7 @@ class OpenBins:
 def pieces(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece: only longer documents are cut, and the remainder comes first."""
     head = n_ids % capacity
-    cuts = ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n_ids, capacity)]
-    return cuts
+    return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n_ids, capacity)]
 
 
 def pack(
@@ -120,29 +137,18 @@ def pack(
     """
 
     def run(batches):
-        encoder = Encoder(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        encoder = encoder_of(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
-        end = np.array([separator_id], "<u4").tobytes()
+        end = array("I", [separator_id]).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 2_000_000):
-                    chars += len(texts[to] or "")
-                    to += 1
-                rows = []
-                for doc_id, got in zip(ids[at:to], encoder.encode([t or "" for t in texts[at:to]])):
-                    got += end
-                    for k, (start, length) in enumerate(pieces(len(got) // 4, capacity)):
-                        crc = zlib.crc32(got[4 * start : 4 * (start + length)])
-                        rows.append((doc_id, k, start, length, crc, *bins.place(length)))
-                at = to
-                kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays(
-                    columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-                )
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = encoder.encode(text or "") + end
+                for k, (start, length) in enumerate(pieces(len(got) // 4, capacity)):
+                    crc = zlib.crc32(got[4 * start : 4 * (start + length)])
+                    rows.append((doc_id, k, start, length, crc, *bins.place(length)))
+            columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(COLUMNS)]
+            yield pa.RecordBatch.from_arrays(columns, [name for name, _ in COLUMNS])
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return narrow.mapInArrow(run, SCHEMA)
