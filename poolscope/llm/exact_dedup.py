@@ -11,9 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import WHITE_SPACE, new_folder
+from poolscope.llm.common import WHITE_SPACE, delete_folder, materialize, new_folder
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; without fallocate, since many partitions with small stores would each reserve megabytes.
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: str = "text"):
@@ -48,8 +53,9 @@ def stream_state(spark: SparkSession, source: str, schema, max_files: int | None
     def append(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/epoch={epoch}")
 
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STREAM_CONF}
+    for k, v in STREAM_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -60,7 +66,9 @@ def stream_state(spark: SparkSession, source: str, schema, max_files: int | None
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    delete_folder(spark, checkpoint)
     kinds = "text_sha256 string, group_size long, keep_id long, locator string, epoch int"
     epochs = query.lastProgress["batchId"] if query.lastProgress else 0
     states = spark.read.schema(kinds).parquet(target)
@@ -99,7 +107,7 @@ def mismatches(docs: DataFrame, state: DataFrame) -> DataFrame:
         normalised().alias("body"),
         F.sha2(normalised().cast("binary"), 256).alias("text_sha256"),
     )
-    held = texts.join(hits, "text_sha256")
+    held = materialize(texts.join(hits, "text_sha256"), "dedup-hits")
     kept = held.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     kept = kept.groupBy("text_sha256").agg(F.min("body").alias("kept_body"))
     return held.join(kept, "text_sha256").filter(F.col("body") != F.col("kept_body")).select("doc_id")
