@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.llm import exact_dedup, langid, mixing, near_dedup, packing, topk, toxicity, url_filter, warc
+from poolscope.llm import exact_dedup, langid, mixing, near_dedup, packing, suffix_dedup, topk, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= {topk.K}
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -130,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_top_k": op2_top_k,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_warc": op5_warc,
         "op6_url_filter": op6_url_filter,
