@@ -63,6 +63,18 @@ def byte_chunks(column: pa.Array, limit: int = 4 << 20):
         at = to
 
 
+def text_slices(texts: list[str | None], limit: int = 2_000_000):
+    """(first, last + 1) of runs of texts of about `limit` characters; a text is never cut."""
+    at = 0
+    while at < len(texts):
+        to, chars = at + 1, len(texts[at] or "")
+        while to < len(texts) and chars + len(texts[to] or "") <= limit:
+            chars += len(texts[to] or "")
+            to += 1
+        yield at, to
+        at = to
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes."""
     h = h ^ (h >> np.uint64(33))

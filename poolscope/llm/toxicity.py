@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import mix64
+from poolscope.llm.common import mix64, text_slices
 
 #: Bound of the labelled sample: so many rows per class, the lowest by hash of the id, of so many characters each.
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 3000, 20_000
+SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 8_000
 #: A word or word start marks toxic tokens if in so many toxic documents and so much more often than in clean ones.
 MIN_SUPPORT, MIN_SHARE, MIN_LIFT = 4, 0.01, 40.0
 STARTS = (4, 5, 6, 7)
@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 SPAN_THRESHOLD = 0.5
 #: A document's score rests on so many of its tokens, those with the highest marginals, so that length alone adds nothing.
 TOP = 8
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -255,26 +255,51 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
     Null and empty texts hold no toxic token. Repeated rows get the same answer; other columns are ignored.
     """
-    held, key = docs.sparkSession.sparkContext.broadcast(field), uuid.uuid4().hex
+    scorer = _scorer(docs, field)
 
     def run(batches):
-        field = held.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for at, to in text_slices(texts):
+                score, spans = scorer(texts[at:to])
+                spans = pa.array([[{"start": i, "end": j} for i, j in s] for s in spans], SPANS)
+                columns = [batch.column(0).slice(at, to - at), pa.array(score)]
+                columns += [pa.array((score >= THRESHOLD).astype(np.int32)), spans]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "spans"])
+
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return narrow.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
+
+
+def _scorer(docs: DataFrame, field: Field):
+    """A function for tasks, from texts to their scores and toxic spans."""
+    held, key = docs.sparkSession.sparkContext.broadcast(field), uuid.uuid4().hex
+
+    def scores(texts: list[str | None]) -> tuple[np.ndarray, list]:
         if key not in _caches:
             _caches.clear()
             _caches[key] = {}, [np.zeros(0)]
-        cache, table = _caches[key]
-        a, b = field.line
+        field = held.value
+        got = list(_documents(field, [t or "" for t in texts], *_caches[key]))
+        z = np.array([x for x, _ in got], float)
+        return 1 / (1 + np.exp(-np.clip(field.line[0] * z + field.line[1], -30, 30))), [s for _, s in got]
+
+    return scores
+
+
+def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows, all columns, whose text scores below the threshold; decided row by row, in place, without a join."""
+    scorer = _scorer(docs, field)
+    place = docs.columns.index("text")
+
+    def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            got = list(_documents(field, texts, cache, table))
-            z = np.array([x for x, _ in got], float)
-            score = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            spans = pa.array([[{"start": i, "end": j} for i, j in s] for _, s in got], SPANS)
-            columns = [batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), spans]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "spans"])
+            texts = batch.column(place).to_pylist()
+            clean = [scorer(texts[at:to])[0] < THRESHOLD for at, to in text_slices(texts)]
+            if clean:
+                yield batch.filter(pa.array(np.concatenate(clean)))
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
+    return docs.mapInArrow(run, docs.schema)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
