@@ -46,19 +46,24 @@ _COLUMNS = {
     "validator_request_leave_events": "tx string, from_addr string, node_addr string",
 }
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _struct(columns: str) -> T.StructType:
+    pairs = [c.split() for c in columns.split(", ")]
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
+
+
 #: Raw blocks: events of the block's start, of each transaction, and of its end.
-EVENT = "struct<type:string,attributes:array<struct<key:string,value:string>>>"
-BLOCK = T._parse_datatype_string(
-    f"height long, time_ns long, hash string, begin array<{EVENT}>, txs array<struct<events:array<{EVENT}>>>, `end` array<{EVENT}>"
-)
-BLOCK_LOG = T._parse_datatype_string("height long, timestamp long, hash string")
-POOL_DEPTHS = T._parse_datatype_string(
-    "pool string, asset_e8 long, rune_e8 long, synth_e8 long, price double, priceusd double, units long, block_timestamp long"
-)
+EVENT = T.StructType([T.StructField("type", T.StringType()), T.StructField("attributes", T.ArrayType(_struct("key string, value string")))])
+BLOCK = _struct("height long, time_ns long, hash string")
+BLOCK = BLOCK.add("begin", T.ArrayType(EVENT)).add("txs", T.ArrayType(T.StructType([T.StructField("events", T.ArrayType(EVENT))]))).add("end", T.ArrayType(EVENT))
+BLOCK_LOG = _struct("height long, timestamp long, hash string")
+POOL_DEPTHS = _struct("pool string, asset_e8 long, rune_e8 long, synth_e8 long, price double, priceusd double, units long, block_timestamp long")
 
 
 def table_schema(name: str) -> T.StructType:
-    return T._parse_datatype_string(f"{_COLUMNS[name]}, event_idx long, block_timestamp long")
+    return _struct(f"{_COLUMNS[name]}, event_idx long, block_timestamp long")
 
 
 def table_names() -> list[str]:
