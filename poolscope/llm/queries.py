@@ -93,7 +93,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 4
     labels = table(spark, sf_dir, "labels").filter(remainder != 2)
-    got = toxicity.score(docs, toxicity.fit(toxicity.labelled_sample(docs, labels)))
+    got = toxicity.score(docs, toxicity.train(docs, labels))
     held_out = F.coalesce(remainder == 2, F.lit(False))
     return got.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 

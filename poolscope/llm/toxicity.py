@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +26,12 @@ SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 8_000
 #: A word or word start marks toxic tokens if in so many toxic documents and so much more often than in clean ones.
 MIN_SUPPORT, MIN_SHARE, MIN_LIFT = 4, 0.01, 40.0
 STARTS = (4, 5, 6, 7)
-HASH_BITS = 18
+HASH_BITS = 21
 #: Longer words are told apart by so many letters and their length.
 WORD_CHARS = 32
 STEPS, BATCH, RATE, L2 = 200, 128, 0.5, 1e-6
 #: Training windows: tokens kept around each toxic token, and tokens kept of a clean document.
-WINDOW, CLEAN_TOKENS = 12, 200
+WINDOW, CLEAN_TOKENS = 12, 300
 THRESHOLD = 0.3
 SPAN_THRESHOLD = 0.5
 #: A document's score rests on so many of its tokens, those with the highest marginals, so that length alone adds nothing.
@@ -127,11 +128,21 @@ def token_labels(sample: pd.DataFrame) -> tuple[list[list[str]], list[np.ndarray
     return words, labels
 
 
-def fit(sample: pd.DataFrame) -> Field:
-    """Fit on (text, toxic) rows by gradient steps on the field's likelihood. Without both classes all scores are low."""
-    weights, transition = np.zeros(1 << HASH_BITS), np.log(np.array([[0.99, 0.01], [0.7, 0.3]]))
+def near_copy_mark(text: str) -> int:
+    """Least hash of the text's runs of four words: near copies mostly share it, and then count once in the sample."""
+    words = TOKEN.findall(text.lower())
+    runs = {" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))}
+    return min(zlib.crc32(r.encode()) * 0x9E3779B1 & 0xFFFFFFFF for r in runs)
+
+
+def fit(sample: pd.DataFrame, odds: float | None = None) -> Field:
+    """Fit on (text, toxic) rows by gradient steps on the field's likelihood. Without both classes all scores are low.
+
+    odds are those of a toxic label among all labels, where the sample holds relatively more toxic ones.
+    """
+    weights, transition = np.zeros(1 << HASH_BITS, np.float32), np.log(np.array([[0.99, 0.01], [0.7, 0.3]]))
     sample = sample.assign(text=sample["text"].fillna("").str.slice(0, SAMPLE_CHARS))
-    sample = sample.drop_duplicates("text").reset_index(drop=True)
+    sample = sample.assign(mark=[near_copy_mark(t) for t in sample["text"]]).drop_duplicates("mark").reset_index(drop=True)
     if sample["toxic"].nunique() < 2:
         return Field(weights, transition, (0.0, -6.0))
     words, labels = token_labels(sample)
@@ -174,11 +185,15 @@ def fit(sample: pd.DataFrame) -> Field:
             pair_squares += pair_gradient**2
             weights += RATE * gradient / np.sqrt(squares)
             transition += 0.1 * pair_gradient / np.sqrt(pair_squares)
-    every = np.zeros(1 << HASH_BITS)
+    every = np.zeros(1 << HASH_BITS, np.float32)
     every[used] = weights
     field = Field(every, transition, (1.0, 0.0))
     gathered = np.array([x for x, _ in _documents(field, sample["text"].tolist(), {}, [np.zeros(0)])])
-    field.line = _logistic(gathered, sample["toxic"].to_numpy().astype(float))
+    # toxic documents without a marked token tell nothing about how tokens speak for a document
+    told = (sample["toxic"].to_numpy() == 0) | np.array([y.any() for y in labels])
+    slope, intercept = _logistic(gathered[told], sample["toxic"].to_numpy()[told].astype(float))
+    drawn = max(1, told.sum() - (sample["toxic"] == 0).sum()) / max(1, (sample["toxic"] == 0).sum())
+    field.line = slope, intercept + (np.log(odds) - np.log(drawn) if odds and odds < drawn else 0.0)
     return field
 
 
@@ -246,6 +261,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     return docs.select("doc_id", text).join(chosen, "doc_id").select("text", "toxic").toPandas()
 
 
+def label_odds(labels: DataFrame) -> float:
+    """Toxic labels over clean ones, of all labels."""
+    counts = labels.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") == 0, 1))).first()
+    return counts[0] / counts[1] if counts[1] else 0.0
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Field:
+    return fit(labelled_sample(docs, labels), label_odds(labels))
+
+
 #: Word caches of a worker process, by the field they belong to.
 _caches: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 

@@ -30,7 +30,7 @@ def test_stages_keep_the_columns(stages):
 def test_toxic_documents_go(spark, stages):
     docs = stages["documents"]
     labels = spark.read.parquet(f"{SF}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    scores = toxicity.score(docs, toxicity.fit(toxicity.labelled_sample(docs, labels))).collect()
+    scores = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     want = sorted(r["doc_id"] for r in scores if r["predicted"] == 0)
     assert sorted(r["doc_id"] for r in stages["toxicity"].collect()) == want
 

@@ -151,7 +151,7 @@ def test_toxicity_finds_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    field = toxicity.fit(toxicity.labelled_sample(docs, labels.filter(part != 2)))
+    field = toxicity.train(docs, labels.filter(part != 2))
     got = toxicity.score(docs, field).join(labels.filter(part == 2), "doc_id").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
     english = [r for r in got if r["lang"] == "en"]
     assert all(r["predicted"] == 1 for r in english if r["toxic"] == 1)
