@@ -20,20 +20,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity field rejects go."""
     remainder = F.crc32(F.col("doc_id").cast("string")) % 4
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder != 2)
-    field = toxicity.fit(toxicity.labelled_sample(docs, labels))
+    field = toxicity.train(docs, labels)
     return toxicity.keep_clean(docs, field).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, the longest stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents equal but for white space, the longest stays; of rows that repeat id and text, one."""
+    decided = exact_dedup.exact_dedup(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"))
+    kept = decided.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("body"), "rows")
+    body = F.sha2(exact_dedup.normalised().cast("binary"), 256)
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]) & (body == kept["body"]), "left_semi")
+    if kept.filter("rows > 1").limit(1).count():
+        out = out.withColumn("__body", body).dropDuplicates(["doc_id", "__body"]).drop("__body")
+    return out.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
-    kept = near_dedup.near_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = near_dedup.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

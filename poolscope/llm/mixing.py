@@ -8,7 +8,6 @@ recomputes the same rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -72,15 +71,16 @@ def mix(
     Rows with a null id share one uniform number; repeated rows get the same count each; an empty table gives none.
     Columns named like the added ones are replaced.
     """
-    docs = docs.drop("copy", "n_copies", "shuffle_key")
+    names = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
     rates = repetition_rates(docs, weights, temperature)
-    rates = rates.select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf"))
-    if docs.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true" or rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    u = unit_hash(str(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    counted = docs.join(rates, docs["source"].eqNullSafe(rates["__source"])).withColumn("__u", u)
-    copies = F.coalesce(F.size(F.filter("__cdf", lambda c: c < F.col("__u"))), F.lit(0))
-    counted = counted.withColumn("n_copies", F.when(F.col("__cdf").isNull(), 0).otherwise(copies)).filter("n_copies > 0")
-    out = counted.drop("__cdf", "__u", "__source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    key = unit_hash(str(seed), "order", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))
-    return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    rates = rates.select(F.col("source").alias("of"), poisson_cdf(F.col("rate")).alias("cdf"))
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("source"), doc_id.alias("id"), unit_hash(str(seed), doc_id).alias("u"))
+    counted = rows.join(F.broadcast(rates) if small else rates, rows["source"].eqNullSafe(rates["of"]))
+    copies = F.when(F.col("cdf").isNull(), 0).otherwise(F.size(F.filter("cdf", lambda c: c < F.col("u"))))
+    counted = counted.select("row", "id", copies.alias("n_copies")).filter("n_copies > 0")
+    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    key = unit_hash(str(seed), "order", F.col("id"), F.col("copy").cast("string"))
+    out = out.select("row", "copy", "n_copies", key.alias("shuffle_key"))
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select("row.*", "copy", "n_copies", "shuffle_key")
