@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -39,7 +40,7 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def byte_chunks(column: pa.Array, limit: int = 4 << 20):
+def byte_chunks(column: pa.Array, limit: int = 1 << 20):
     """Split a string column into runs of rows of about `limit` bytes.
 
     Yields (first row, row offsets from 0, bytes); null texts count as empty, and a row is never cut.
@@ -63,16 +64,14 @@ def byte_chunks(column: pa.Array, limit: int = 4 << 20):
         at = to
 
 
-def text_slices(texts: list[str | None], limit: int = 2_000_000):
-    """(first, last + 1) of runs of texts of about `limit` characters; a text is never cut."""
-    at = 0
-    while at < len(texts):
-        to, chars = at + 1, len(texts[at] or "")
-        while to < len(texts) and chars + len(texts[to] or "") <= limit:
-            chars += len(texts[to] or "")
-            to += 1
-        yield at, to
-        at = to
+def text_slices(column: pa.Array, limit: int = 2_000_000):
+    """(first, last + 1, texts) of runs of a string column of about `limit` bytes; a text is never cut."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield at, to, column.slice(at, to - at).to_pylist()
+        at, done = to, int(ends[to - 1])
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -13,7 +13,6 @@ group; a unit returns a spanning star of each component that it finds, never all
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -97,26 +96,29 @@ def chance_matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     product of their densities.
     """
     x, y = np.asarray(a, float) / BUCKETS, np.asarray(b, float) / BUCKETS
-    rate, out = x + y, 0.0
-    for i in range(40):
-        low, high = 2.0 ** -(i + 1), 2.0**-i
-        out = out + (np.exp(-rate * low) - np.exp(-rate * high)) * 2.0 ** -(i + 1 + MANTISSA_BITS)
-    return BUCKETS * out * x * y / np.maximum(rate, 1e-12)
+    rate = np.maximum(x + y, 1e-12)
+    edge = 2.0 ** -np.arange(41)
+    decay = np.exp(-rate[..., None] * edge)
+    cells = ((decay[..., 1:] - decay[..., :-1]) * edge[1:]).sum(-1) * 2.0**-MANTISSA_BITS
+    return BUCKETS * cells * x * y / rate
+
+
+#: Pairs of a group that are compared at once.
+SLICE = 4096
 
 
 def may_link(sketches: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Which pairs' corrected Jaccard estimates reach the threshold, allowing for their error."""
-    n = len(sketches)
-    equal, union = np.zeros((n, n), np.int16), np.zeros((n, n), np.int16)
-    for k in range(sketches.shape[1]):
-        column = sketches[:, k]
-        held = column != EMPTY
-        equal += (column[:, None] == column[None, :]) & held[:, None]
-        union += held[:, None] | held[None, :]
-    union = np.maximum(union, 1)
-    estimate = (equal - chance_matches(sizes[:, None], sizes[None, :])) / union
-    threshold = PERCENT / 100
-    return estimate >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / union)
+    n, threshold = len(sketches), PERCENT / 100
+    held, out = sketches != EMPTY, np.zeros((n, n), bool)
+    step = max(1, SLICE // n)
+    for at in range(0, n, step):
+        rows = slice(at, at + step)
+        equal = ((sketches[rows, None] == sketches[None]) & held[rows, None]).sum(-1)
+        union = np.maximum((held[rows, None] | held[None]).sum(-1), 1)
+        estimate = (equal - chance_matches(sizes[rows, None], sizes[None])) / union
+        out[rows] = estimate >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / union)
+    return out
 
 
 def links(sets: list[np.ndarray]) -> np.ndarray:
@@ -262,16 +264,40 @@ def coarse_groups(classes: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def with_sets(members: DataFrame) -> DataFrame:
-    """(node, component, n, text) rows with the text replaced by its shingle set as binary."""
+#: Bits of the filter of candidate ids: its size is fixed, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def _filter_place(node):
+    return F.pmod(F.xxhash64(node), F.lit(FILTER_BITS))
+
+
+def candidate_filter(nodes: DataFrame) -> np.ndarray:
+    """A bit per hashed id, packed; other ids may share a bit, none is missed. At most FILTER_BITS / 64 rows are collected."""
+    place = _filter_place(F.col("node"))
+    words = nodes.groupBy(F.call_function("div", place, F.lit(64)).alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")
+    )
+    got, out = words.toPandas(), np.zeros(FILTER_BITS // 64, np.int64)
+    out[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, component, n, shingles) of the members; texts that cannot be members are dropped where they are read."""
+    bits = docs.sparkSession.sparkContext.broadcast(candidate_filter(members))
 
     def run(batches):
+        known = bits.value
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(3))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], ["node", "component", "n", "shingles"])
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "shingles"])
 
-    narrow = members.select("node", "component", "n", "text")
-    return narrow.mapInArrow(run, "node long, component long, n long, shingles binary")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    narrow = narrow.filter("node is not null").withColumn("place", _filter_place(F.col("node")))
+    return members.join(narrow.mapInArrow(run, "node long, shingles binary"), "node")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -288,8 +314,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     coarse = coarse_groups(classes)
     sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = coarse.join(sizes, "component")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    held = in_blocks(with_sets(members.join(texts, "node")), "component", "n")
+    held = in_blocks(with_sets(docs, materialize(members, "members")), "component", "n")
     found = connected_components(find_edges(held, "component", ["shingles"], _verified))
     labels = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sketches.join(labels, "digest", "left")

@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from poolscope.llm.common import text_slices
+
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 COLUMNS = [("doc_id", pa.int64()), ("piece", pa.int32())]
 COLUMNS += [(name, pa.int64()) for name in ("start", "length", "ids_crc32", "sequence_id", "offset")]
@@ -41,9 +43,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         self.special = [t["content"] for t in told.get("added_tokens", [])]
@@ -69,6 +69,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.ranks is not None and not any(s in text for s in self.special):
             return array("I", self.ranks.encode_ordinary(text)).tobytes()
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
@@ -141,12 +145,13 @@ def pack(
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
         end = array("I", [separator_id]).tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = encoder.encode(text or "") + end
-                for k, (start, length) in enumerate(pieces(len(got) // 4, capacity)):
-                    crc = zlib.crc32(got[4 * start : 4 * (start + length)])
-                    rows.append((doc_id, k, start, length, crc, *bins.place(length)))
+            rows, ids = [], batch.column(0).to_pylist()
+            for at, to, texts in text_slices(batch.column(1)):
+                for doc_id, text in zip(ids[at:to], texts):
+                    got = encoder.encode(text or "") + end
+                    for k, (start, length) in enumerate(pieces(len(got) // 4, capacity)):
+                        crc = zlib.crc32(got[4 * start : 4 * (start + length)])
+                        rows.append((doc_id, k, start, length, crc, *bins.place(length)))
             columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(COLUMNS)]
             yield pa.RecordBatch.from_arrays(columns, [name for name, _ in COLUMNS])
 

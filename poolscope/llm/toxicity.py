@@ -9,7 +9,6 @@ forward-backward marginals per token, aggregated to a document score, with the c
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -36,7 +35,7 @@ THRESHOLD = 0.3
 SPAN_THRESHOLD = 0.5
 #: A document's score rests on so many of its tokens, those with the highest marginals, so that length alone adds nothing.
 TOP = 8
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -271,22 +270,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     return fit(labelled_sample(docs, labels), label_odds(labels))
 
 
-#: Word caches of a worker process, by the field they belong to.
-_caches: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
-
-
 def score(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, score, predicted and spans (start, end of toxic runs in the lower-cased text) for every row.
 
     Null and empty texts hold no toxic token. Repeated rows get the same answer; other columns are ignored.
     """
-    scorer = _scorer(docs, field)
+    start = _scorer(docs, field)
 
     def run(batches):
+        scorer = start()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at, to in text_slices(texts):
-                score, spans = scorer(texts[at:to])
+            for at, to, texts in text_slices(batch.column(1)):
+                score, spans = scorer(texts)
                 spans = pa.array([[{"start": i, "end": j} for i, j in s] for s in spans], SPANS)
                 columns = [batch.column(0).slice(at, to - at), pa.array(score)]
                 columns += [pa.array((score >= THRESHOLD).astype(np.int32)), spans]
@@ -297,30 +292,31 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def _scorer(docs: DataFrame, field: Field):
-    """A function for tasks, from texts to their scores and toxic spans."""
-    held, key = docs.sparkSession.sparkContext.broadcast(field), uuid.uuid4().hex
+    """Makes, in a task, a function from texts to their scores and toxic spans; it remembers words while the task runs."""
+    held = docs.sparkSession.sparkContext.broadcast(field)
+
+    def start():
+        field, cache, table = held.value, {}, [np.zeros(0)]
+
+        def scores(texts: list[str | None]) -> tuple[np.ndarray, list]:
+            got = list(_documents(field, [t or "" for t in texts], cache, table))
+            z = np.array([x for x, _ in got], float)
+            return 1 / (1 + np.exp(-np.clip(field.line[0] * z + field.line[1], -30, 30))), [s for _, s in got]
 
-    def scores(texts: list[str | None]) -> tuple[np.ndarray, list]:
-        if key not in _caches:
-            _caches.clear()
-            _caches[key] = {}, [np.zeros(0)]
-        field = held.value
-        got = list(_documents(field, [t or "" for t in texts], *_caches[key]))
-        z = np.array([x for x, _ in got], float)
-        return 1 / (1 + np.exp(-np.clip(field.line[0] * z + field.line[1], -30, 30))), [s for _, s in got]
+        return scores
 
-    return scores
+    return start
 
 
 def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
     """The rows, all columns, whose text scores below the threshold; decided row by row, in place, without a join."""
-    scorer = _scorer(docs, field)
+    start = _scorer(docs, field)
     place = docs.columns.index("text")
 
     def run(batches):
+        scorer = start()
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            clean = [scorer(texts[at:to])[0] < THRESHOLD for at, to in text_slices(texts)]
+            clean = [scorer(texts)[0] < THRESHOLD for _, _, texts in text_slices(batch.column(place))]
             if clean:
                 yield batch.filter(pa.array(np.concatenate(clean)))
 

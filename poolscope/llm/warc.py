@@ -233,8 +233,9 @@ def archive(pages: DataFrame, min_revisit_bytes: int = 0, folder: str | None = N
     held = responses.groupBy(F.col("page_id").alias("response_id"), F.col("payload_digest").alias("held_digest")).agg(
         F.max("body_bytes").alias("held_bytes"), F.min("intact").alias("held_intact")
     )
+    # the frames' contents are unknown to the planner, which would take them for few rows and broadcast them
     revisits = read.filter("record_type = 'revisit'").join(
-        held, (F.col("refers_to") == F.col("response_id")) & (F.col("payload_digest") == F.col("held_digest")), "left"
+        held.hint("merge"), (F.col("refers_to") == F.col("response_id")) & (F.col("payload_digest") == F.col("held_digest")), "left"
     )
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
     out = responses.withColumn("payload_bytes", F.col("body_bytes")).select(*columns)
