@@ -8,8 +8,8 @@ forward-backward marginals per token, aggregated to a document score, with the c
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import mix64, text_slices
+from poolscope.llm.common import BASE, mix64, text_slices
 
 #: Bound of the labelled sample: so many rows per class, the lowest by hash of the id, of so many characters each.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 8_000
@@ -31,6 +31,8 @@ WORD_CHARS = 32
 STEPS, BATCH, RATE, L2 = 200, 128, 0.5, 1e-6
 #: Training windows: tokens kept around each toxic token, and tokens kept of a clean document.
 WINDOW, CLEAN_TOKENS = 12, 300
+#: Rows of one label whose runs of so many words agree to this share count once in the sample.
+NEAR_RUN, NEAR_SHARE = 4, 0.8
 THRESHOLD = 0.3
 SPAN_THRESHOLD = 0.5
 #: A document's score rests on so many of its tokens, those with the highest marginals, so that length alone adds nothing.
@@ -127,11 +129,57 @@ def token_labels(sample: pd.DataFrame) -> tuple[list[list[str]], list[np.ndarray
     return words, labels
 
 
-def near_copy_mark(text: str) -> int:
-    """Least hash of the text's runs of four words: near copies mostly share it, and then count once in the sample."""
-    words = TOKEN.findall(text.lower())
-    runs = {" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))}
-    return min(zlib.crc32(r.encode()) * 0x9E3779B1 & 0xFFFFFFFF for r in runs)
+def runs_of(texts: list[str]) -> list[np.ndarray]:
+    """Per text: hashes of its different runs of NEAR_RUN words, as ranks with those of the fewest texts first."""
+    ids: dict[str, int] = {}
+    hashed = []
+    for text in texts:
+        words = np.array([ids.setdefault(w, len(ids) + 1) for w in TOKEN.findall(text.lower())], np.uint64)
+        words = np.pad(words, (0, max(0, NEAR_RUN - len(words))))
+        code = np.zeros(len(words) - NEAR_RUN + 1, np.uint64)
+        for k in range(NEAR_RUN):
+            code = mix64(code * np.uint64(BASE) + words[k : len(words) - NEAR_RUN + 1 + k])
+        hashed.append(np.unique(code))
+    every, back, held = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
+    rank = np.empty(len(every), np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(every))
+    return [np.sort(r) for r in np.split(rank[back], np.cumsum([len(h) for h in hashed])[:-1])]
+
+
+def near_copies(texts: list[str]) -> np.ndarray:
+    """Whether each text is a near copy of an earlier one that is none: their runs of words agree to NEAR_SHARE (Jaccard).
+
+    Sets that agree so far share one of the rarest 1 - NEAR_SHARE of their runs, so only those are looked up; what is
+    found is compared in full.
+    """
+    copies = np.zeros(len(texts), bool)
+    if not len(texts):
+        return copies
+    runs = runs_of(texts)
+    kept: dict[int, list[int]] = {}
+    for i, mine in enumerate(runs):
+        rare = mine[: len(mine) - math.ceil(NEAR_SHARE * len(mine) - 1e-9) + 1].tolist()
+        for j in sorted({j for r in rare for j in kept.get(r, ())}):
+            theirs = runs[j]
+            if min(len(mine), len(theirs)) < NEAR_SHARE * max(len(mine), len(theirs)):
+                continue
+            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if both >= NEAR_SHARE * (len(mine) + len(theirs) - both):
+                copies[i] = True
+                break
+        else:
+            for r in rare:
+                kept.setdefault(r, []).append(i)
+    return copies
+
+
+def without_near_copies(sample: pd.DataFrame) -> pd.DataFrame:
+    """The sample without near copies of earlier rows of the same label."""
+    kept = np.ones(len(sample), bool)
+    for y in sample["toxic"].unique():
+        at = np.flatnonzero((sample["toxic"] == y).to_numpy())
+        kept[at] = ~near_copies(sample["text"].iloc[at].tolist())
+    return sample[kept].reset_index(drop=True)
 
 
 def fit(sample: pd.DataFrame, odds: float | None = None) -> Field:
@@ -141,7 +189,7 @@ def fit(sample: pd.DataFrame, odds: float | None = None) -> Field:
     """
     weights, transition = np.zeros(1 << HASH_BITS, np.float32), np.log(np.array([[0.99, 0.01], [0.7, 0.3]]))
     sample = sample.assign(text=sample["text"].fillna("").str.slice(0, SAMPLE_CHARS))
-    sample = sample.assign(mark=[near_copy_mark(t) for t in sample["text"]]).drop_duplicates("mark").reset_index(drop=True)
+    sample = without_near_copies(sample)
     if sample["toxic"].nunique() < 2:
         return Field(weights, transition, (0.0, -6.0))
     words, labels = token_labels(sample)
@@ -250,14 +298,15 @@ def _spans(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """At most SAMPLE_PER_CLASS labelled rows of each class, chosen by hash of the id."""
+    """At most SAMPLE_PER_CLASS labelled rows of each class, chosen by hash of the id, in order of their ids."""
     by_class = []
     for y in (0, 1):
         rows = labels.filter(F.col("toxic") == y).select("doc_id", "toxic").dropDuplicates(["doc_id"])
         by_class.append(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS))
     chosen = F.broadcast(by_class[0].unionByName(by_class[1]))
     text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, SAMPLE_CHARS).alias("text")
-    return docs.select("doc_id", text).join(chosen, "doc_id").select("text", "toxic").toPandas()
+    sample = docs.select("doc_id", text).join(chosen, "doc_id").select("doc_id", "text", "toxic").toPandas()
+    return sample.sort_values(["doc_id", "toxic", "text"], ignore_index=True)[["text", "toxic"]]
 
 
 def label_odds(labels: DataFrame) -> float:

@@ -171,3 +171,32 @@ def test_toxicity_of_odd_texts(spark, messy, nothing):
     assert toxicity.keep_clean(messy, field).columns == messy.columns
     alone = toxicity.fit(sample[sample.toxic == 0])
     assert toxicity.score(messy, alone).filter("predicted = 1").count() == 0
+
+
+def test_near_copies_against_brute_force():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = " ".join(rng.choice(vocabulary, 60))
+    texts = [" ".join(rng.choice(vocabulary, 100)) + " " + passage for _ in range(60)]
+    for k in range(20):
+        words = texts[k].split(" ")
+        for at in rng.integers(0, len(words), 1 + k % 9):
+            words[at] = f"edit{at}"
+        texts.append(" ".join(words))
+    texts += ["", "one", "one", "one two three four", texts[3]]
+    sample = pd.DataFrame({"text": texts, "toxic": [k % 2 for k in range(len(texts))]})
+
+    def runs(text):
+        words = text.split()
+        return {tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))}
+
+    kept = []
+    for text, y in zip(sample["text"], sample["toxic"]):
+        mine = runs(text)
+        if not any(y == z and len(mine & other) >= 0.8 * len(mine | other) for z, other in kept):
+            kept.append((y, mine))
+    got = toxicity.without_near_copies(sample)
+    assert [(y, runs(t)) for t, y in zip(got["text"], got["toxic"])] == kept
+    assert 60 <= len(kept) < len(texts)
