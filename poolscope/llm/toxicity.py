@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from poolscope.llm.common import BASE, mix64, text_slices
 
-#: Bound of the labelled sample: so many rows per class, the lowest by hash of the id, of so many characters each.
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 8_000
+#: Bound of the labelled sample: so many rows per class, the lowest by hash of the id, with their whole texts.
+SAMPLE_PER_CLASS = 2500
 #: A word or word start marks toxic tokens if in so many toxic documents and so much more often than in clean ones.
 MIN_SUPPORT, MIN_SHARE, MIN_LIFT = 4, 0.01, 40.0
 STARTS = (4, 5, 6, 7)
@@ -29,8 +29,10 @@ HASH_BITS = 21
 #: Longer words are told apart by so many letters and their length.
 WORD_CHARS = 32
 STEPS, BATCH, RATE, L2 = 200, 128, 0.5, 1e-6
-#: Training windows: tokens kept around each toxic token, and tokens kept of a clean document.
-WINDOW, CLEAN_TOKENS = 12, 300
+#: Training windows: tokens kept around each toxic token. A document without one is learned as a whole.
+WINDOW = 12
+#: What is learned is cut into sequences of so many tokens at most; none is left out.
+SEQUENCE = 300
 #: Rows of one label whose runs of so many words agree to this share count once in the sample.
 NEAR_RUN, NEAR_SHARE = 4, 0.8
 THRESHOLD = 0.3
@@ -112,7 +114,8 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
 
 def token_labels(sample: pd.DataFrame) -> tuple[list[list[str]], list[np.ndarray]]:
     """Words of each sampled text and 1 for those that toxic documents explain."""
-    words = [TOKEN.findall(t.lower()) for t in sample["text"]]
+    one: dict[str, str] = {}  # equal words of the whole sample are one string
+    words = [[one.setdefault(w, w) for w in TOKEN.findall(t.lower())] for t in sample["text"]]
     toxic = sample["toxic"].to_numpy() == 1
     held: dict[str, list[int]] = {}
     for w, y in zip(words, toxic):
@@ -188,7 +191,7 @@ def fit(sample: pd.DataFrame, odds: float | None = None) -> Field:
     odds are those of a toxic label among all labels, where the sample holds relatively more toxic ones.
     """
     weights, transition = np.zeros(1 << HASH_BITS, np.float32), np.log(np.array([[0.99, 0.01], [0.7, 0.3]]))
-    sample = sample.assign(text=sample["text"].fillna("").str.slice(0, SAMPLE_CHARS))
+    sample = sample.assign(text=sample["text"].fillna(""))
     sample = without_near_copies(sample)
     if sample["toxic"].nunique() < 2:
         return Field(weights, transition, (0.0, -6.0))
@@ -199,15 +202,16 @@ def fit(sample: pd.DataFrame, odds: float | None = None) -> Field:
         for i in np.flatnonzero(y):
             near[max(0, i - WINDOW) : i + WINDOW + 1] = True
         if not y.any():
-            near[:CLEAN_TOKENS] = True
+            near[:] = True
         cuts = np.flatnonzero(near)
         for run in np.split(cuts, np.flatnonzero(np.diff(cuts) > 1) + 1):
-            if len(run):
-                kept.append(([w[i] for i in run], y[run]))
+            for some in np.split(run, range(SEQUENCE, len(run), SEQUENCE)):
+                if len(some):
+                    kept.append(([w[i] for i in some], y[some]))
     every_word = sorted({word for w, _ in kept for word in w})
     hashed, mask = slots_of(every_word)
     used = np.unique(hashed[mask])
-    slots = {w: np.searchsorted(used, h[m]) for w, h, m in zip(every_word, hashed, mask)}
+    slots = {w: np.searchsorted(used, h[m]).astype(np.int32) for w, h, m in zip(every_word, hashed, mask)}
     weights = np.zeros(len(used))
     kept = [(np.concatenate([slots[x] for x in w]), np.array([len(slots[x]) for x in w]), y) for w, y in kept]
     rng = np.random.default_rng(7)
@@ -235,7 +239,9 @@ def fit(sample: pd.DataFrame, odds: float | None = None) -> Field:
     every = np.zeros(1 << HASH_BITS, np.float32)
     every[used] = weights
     field = Field(every, transition, (1.0, 0.0))
-    gathered = np.array([x for x, _ in _documents(field, sample["text"].tolist(), {}, [np.zeros(0)])])
+    texts, cache, table = sample["text"].tolist(), {}, [np.zeros(0)]
+    slices = (texts[at : at + 1000] for at in range(0, len(texts), 1000))
+    gathered = np.array([x for some in slices for x, _ in _documents(field, some, cache, table)])
     # toxic documents without a marked token tell nothing about how tokens speak for a document
     told = (sample["toxic"].to_numpy() == 0) | np.array([y.any() for y in labels])
     slope, intercept = _logistic(gathered[told], sample["toxic"].to_numpy()[told].astype(float))
@@ -304,7 +310,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
         rows = labels.filter(F.col("toxic") == y).select("doc_id", "toxic").dropDuplicates(["doc_id"])
         by_class.append(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS))
     chosen = F.broadcast(by_class[0].unionByName(by_class[1]))
-    text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, SAMPLE_CHARS).alias("text")
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     sample = docs.select("doc_id", text).join(chosen, "doc_id").select("doc_id", "text", "toxic").toPandas()
     return sample.sort_values(["doc_id", "toxic", "text"], ignore_index=True)[["text", "toxic"]]
 

@@ -200,3 +200,18 @@ def test_near_copies_against_brute_force():
     got = toxicity.without_near_copies(sample)
     assert [(y, runs(t)) for t, y in zip(got["text"], got["toxic"])] == kept
     assert 60 <= len(kept) < len(texts)
+
+
+def test_whole_sampled_texts_are_learned(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    calm = lambda n: " ".join(f"{a}{k}" for a, k in zip(rng.choice(["calm", "fine", "good", "mild"], n), rng.integers(0, 500, n)))
+    rows = [(i, f"{calm(2000)} idiot {calm(5)}", 1) for i in range(40)] + [(i, f"{calm(2000)} {calm(5)}", 0) for i in range(40, 100)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels)
+    assert sorted(sample["text"]) == sorted(t for _, t, _ in rows)
+    field = toxicity.fit(pd.DataFrame({"text": [t for _, t, _ in rows], "toxic": [y for *_, y in rows]}))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, field).collect()}
+    assert all(got[i] == y for i, _, y in rows)
