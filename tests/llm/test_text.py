@@ -215,3 +215,16 @@ def test_whole_sampled_texts_are_learned(spark):
     field = toxicity.fit(pd.DataFrame({"text": [t for _, t, _ in rows], "toxic": [y for *_, y in rows]}))
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, field).collect()}
     assert all(got[i] == y for i, _, y in rows)
+
+
+def test_models_keep_all_grams(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_GRAMS", 100, raising=False)
+    docs = spark.read.parquet(f"{TINY}/documents.parquet").filter("lang in ('en', 'de')").limit(60).cache()
+    models = langid.train(docs)
+    counts: dict = {}
+    for r in langid.count_grams(docs.filter("text is not null")).collect():
+        counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+    want = langid.build({lang: langid._language_model(c) for lang, c in counts.items()})
+    events = sorted({g for c in counts.values() for g in c} | {"^zqx", "xqzzy", "一", "ab一"})
+    assert models.langs == want.langs
+    assert models.event_scores(events) == pytest.approx(want.event_scores(events), abs=1e-4)
