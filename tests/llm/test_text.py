@@ -228,3 +228,16 @@ def test_models_keep_all_grams(spark, monkeypatch):
     events = sorted({g for c in counts.values() for g in c} | {"^zqx", "xqzzy", "一", "ab一"})
     assert models.langs == want.langs
     assert models.event_scores(events) == pytest.approx(want.event_scores(events), abs=1e-4)
+
+
+def test_every_language_gets_a_bound(spark):
+    rows = [(i, f"plain english words {i} of many" + " and more" * (i % 7), "en") for i in range(1500)]
+    rows += [(5000 + i, f"wenige deutsche wörter {i} " + "und mehr " * (i % 3), "de") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    models = langid.train(docs)
+    assert models.langs == ["de", "en"] and np.isfinite(models.bound).all()
+    texts = spark.createDataFrame([(1, "qqxzj vvkkq zzxqj"), (2, rows[0][1]), (3, rows[-1][1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["rejected"] for r in langid.predict(texts, models).collect()}
+    assert got == {1: True, 2: False, 3: False}
+    shares, held = langid.calibration_shares(docs)
+    assert held == {"en": 0.05} and shares == {"en": 0.05, "de": 1.0}
