@@ -86,52 +86,47 @@ def member_changes(stakes: DataFrame, unstakes: DataFrame, pending: DataFrame) -
     return rows.select(member_id.alias("member_id"), "pool", fixed.alias("change"))
 
 
-STATE = (
-    "alive boolean, asset_addr string, rune_addr string, units long, added_asset long, added_rune long, withdrawn_asset long, "
-    "withdrawn_rune long, pending_asset long, pending_rune long, first_added long, last_added long"
-)
-
-
-def _fold(state: Column, c: Column) -> Column:
-    """One step of a member's life. A state without units and pendings ends; the next change starts a new life."""
-    zero = F.lit(0).cast("long")
-    old = lambda name, empty: F.when(state["alive"], state[name]).otherwise(empty)
-    none_s, none_l = F.lit(None).cast("string"), F.lit(None).cast("long")
-    add, withdraw = c["kind"] == "add", c["kind"] == "withdraw"
-    units = old("units", zero) + F.coalesce(c["units"], zero)
-    resets = add | (c["kind"] == "pending_withdraw")
-    pending = lambda name: (
-        F.when(resets, zero).when(c["kind"] == "pending_add", old(name, zero) + c[name]).otherwise(old(name, zero))
-    )
-    p_asset, p_rune = pending("pending_asset"), pending("pending_rune")
-    total = lambda name, hit, value: old(name, zero) + F.when(hit, value).otherwise(zero)
-    fields = {
-        "alive": (units != 0) | (p_asset != 0) | (p_rune != 0),
-        "asset_addr": F.coalesce(old("asset_addr", none_s), c["asset_addr"]),
-        "rune_addr": F.coalesce(old("rune_addr", none_s), c["rune_addr"]),
-        "units": units,
-        "added_asset": total("added_asset", add, c["asset_e8"]),
-        "added_rune": total("added_rune", add, c["rune_e8"]),
-        "withdrawn_asset": total("withdrawn_asset", withdraw, -c["asset_e8"]),
-        "withdrawn_rune": total("withdrawn_rune", withdraw, -c["rune_e8"]),
-        "pending_asset": p_asset,
-        "pending_rune": p_rune,
-        "first_added": F.when(add, F.coalesce(old("first_added", none_l), c["t"])).otherwise(old("first_added", none_l)),
-        "last_added": F.when(add, c["t"]).otherwise(old("last_added", none_l)),
-    }
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
-
-
 def members(changes: DataFrame) -> DataFrame:
-    """Living members per pool: fold of each member's changes in order of time, then kind of change.
+    """Living members per pool: each member's changes in order of time, then kind of change.
 
-    The fold runs per (member, pool) inside one row; a member's whole history must fit into a task's memory.
+    A state without units and pendings ends a life, and the next change starts a new one. Running sums find the lives:
+    units and pendings are zero at the end of each, so the sums need not start anew. The windows can spill, and only
+    one pre-aggregated row per (member, pool, life) is kept.
     """
-    start = ", ".join("false" if f.split()[0] == "alive" else f"cast(null as {f.split()[1]})" for f in STATE.split(", "))
-    names = ", ".join(f"'{f.split()[0]}', {v}" for f, v in zip(STATE.split(", "), start.split(", ")))
-    grouped = changes.groupBy("member_id", "pool").agg(F.array_sort(F.collect_list("change")).alias("changes"))
-    folded = grouped.withColumn("s", F.aggregate("changes", F.expr(f"named_struct({names})"), _fold))
-    return folded.filter("s.alive").select("member_id", "pool", "s.*").drop("alive")
+    key = ["member_id", "pool"]
+    zero = F.lit(0).cast("long")
+    order = Window.partitionBy(*key).orderBy("n")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    add, withdraw = F.col("kind") == "add", F.col("kind") == "withdraw"
+    resets = (add | (F.col("kind") == "pending_withdraw")).cast("long")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("change"))
+    rows = changes.withColumn("n", nth).select(*key, "n", "change.*")
+    rows = rows.withColumn("running", F.sum(F.coalesce("units", zero)).over(upto)).withColumn("reset", F.sum(resets).over(upto))
+    since = Window.partitionBy(*key, "reset").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    waiting = lambda name: F.sum(F.when(F.col("kind") == "pending_add", F.coalesce(name, zero)).otherwise(zero)).over(since)
+    rows = rows.withColumns({"open_asset": waiting("pending_asset"), "open_rune": waiting("pending_rune")})
+    alive = (F.col("running") != 0) | (F.col("open_asset") != 0) | (F.col("open_rune") != 0)
+    rows = rows.withColumn("alive", alive)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("life", F.coalesce(F.sum((~F.col("alive")).cast("long")).over(before), zero))
+    first = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("n")))
+    last = lambda name: F.max_by(name, "n")
+    total = lambda hit, value: F.sum(F.when(hit, value).otherwise(zero))
+    lives = rows.groupBy(*key, "life").agg(
+        last("alive").alias("alive"),
+        first("asset_addr").alias("asset_addr"),
+        first("rune_addr").alias("rune_addr"),
+        last("running").alias("units"),
+        total(add, F.col("asset_e8")).alias("added_asset"),
+        total(add, F.col("rune_e8")).alias("added_rune"),
+        total(withdraw, -F.col("asset_e8")).alias("withdrawn_asset"),
+        total(withdraw, -F.col("rune_e8")).alias("withdrawn_rune"),
+        last("open_asset").alias("pending_asset"),
+        last("open_rune").alias("pending_rune"),
+        F.min(F.when(add, F.col("t"))).alias("first_added"),
+        F.max(F.when(add, F.col("t"))).alias("last_added"),
+    )
+    return lives.filter("alive").drop("life", "alive")
 
 
 def member_units(stakes: DataFrame, unstakes: DataFrame) -> DataFrame:

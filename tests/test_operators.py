@@ -162,6 +162,37 @@ def test_members(spark):
     assert {r["rune_addr"] for r in ledger.open_pending(p, s).collect()} == {"r9"}
 
 
+def test_members_against_a_fold_of_rows(spark):
+    rng, changes = random.Random(8), []
+    for _ in range(3000):
+        member, kind, t = f"m{rng.randrange(60)}", rng.choice(["add", "withdraw", "withdraw", "pending_add", "pending_withdraw"]), rng.randrange(40)
+        a, r = rng.choice([None, "a1", "a2"]), rng.choice([None, "r1"])
+        x, y, n = rng.randrange(3), rng.randrange(3), rng.randrange(3)
+        change = {
+            "add": (t, kind, 0, n, a, r, x, y, None, None), "withdraw": (t, kind, 0, -n, None, None, -x, -y, None, None),
+            "pending_add": (t, kind, 0, 0, a, r, None, None, x, y), "pending_withdraw": (t, kind, 0, 0, a, r, None, None, -x, -y),
+        }[kind]
+        changes += [(member, "P.P", change)] * rng.choice([1, 1, 1, 2])
+    want = {}
+    for member, _, c in sorted(changes, key=lambda x: (x[0], tuple((v is not None, v) for v in x[2]))):
+        t, kind, _, units, a, r, asset, rune, p_asset, p_rune = c
+        s = want.pop(member, None) or [None, None, 0, 0, 0, 0, 0, 0, 0, None, None]
+        s[0], s[1], s[2] = s[0] or a, s[1] or r, s[2] + units
+        if kind == "add":
+            s[3:5], s[9], s[10] = [s[3] + asset, s[4] + rune], t if s[9] is None else s[9], t
+        if kind == "withdraw":
+            s[5:7] = [s[5] - asset, s[6] - rune]
+        if kind == "pending_add":
+            s[7:9] = [s[7] + p_asset, s[8] + p_rune]
+        if kind in ("add", "pending_withdraw"):
+            s[7:9] = [0, 0]
+        if s[2] or s[7] or s[8]:
+            want[member] = s
+    got = ledger.members(spark.createDataFrame(changes, f"member_id string, pool string, change struct<{ledger.CHANGE.replace(' ', ':').replace(',:', ',')}>"))
+    assert {r[0]: list(r[2:]) for r in got.collect()} == want and want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_actions(spark):
     rune, pool = "THOR.RUNE", "BTC.BTC"
     memo = "=:THOR.RUNE:thoraddress:12345678:ouraffiliateaddress:100"
