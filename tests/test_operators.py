@@ -289,3 +289,16 @@ def test_nodes_and_lookup(spark):
     keys = spark.createDataFrame([("n1", "s1", "e1", "v", 1), ("n2", "s1", "e2", "v", 2)], "node_addr string, secp256k1 string, ed25519 string, validator_consensus string, block_timestamp long")
     assert {(r["kind"], r["key"]): r["node_addr"] for r in lookups.node_keys(keys, 5).collect()} == {("secp256k1", "s1"): "n2", ("ed25519", "e1"): "n1", ("ed25519", "e2"): "n2"}
     assert schemas.schema_hash() == schemas.schema_hash() and len(schemas.table_names()) == 33
+
+
+def test_every_event_is_asked_for_its_previous_depth(spark):
+    rng = random.Random(9)
+    left = [(rng.choice("abc"), k, rng.randrange(500)) for k in range(400)]
+    right = sorted({(rng.choice("ab"), rng.randrange(500)) for _ in range(80)})
+    right = [(p, t, k) for k, (p, t) in enumerate(right)]
+    got = asof.as_of_join(
+        spark.createDataFrame(left, "pool string, event_id long, block_timestamp long"),
+        spark.createDataFrame(right, "pool string, block_timestamp long, asset_e8 long"), ["pool"], ["asset_e8"],
+    )
+    want = {k: max(((u, v) for q, u, v in right if q == p and u <= t), default=(0, None))[1] for p, k, t in left}
+    assert {r["event_id"]: r["asset_e8"] for r in got.collect()} == want and got.count() == len(left)
