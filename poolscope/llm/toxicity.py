@@ -2,8 +2,9 @@
 
 Labels are of documents; token labels are derived from them: in toxic documents, tokens with a word or word start that
 many toxic and next to no clean documents hold are toxic. The field has two states, features of the word and its first
-letters, and transitions; it is fitted on a bounded sample of labelled rows. Scoring runs over whole texts of all rows:
-forward-backward marginals per token, aggregated to a document score, with the character offsets of toxic spans.
+letters, and transitions; it is fitted on a bounded sample of labelled rows, held as integer word numbers. Scoring runs
+over whole texts of all rows: forward-backward marginals of all tokens, aggregated to a document score, with the
+character offsets of toxic spans.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolscope.llm.common import BASE, mix64, text_slices
 
-#: Bound of the labelled sample: so many rows per class, the lowest by hash of the id, with their whole texts.
-SAMPLE_PER_CLASS = 2500
+#: Bounds of the labelled sample: so many rows per class, the lowest by hash of the id, with their whole texts, which
+#: together have so many bytes at most (one row is always taken).
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 2500, 24_000_000
 #: A word or word start marks toxic tokens if in so many toxic documents and so much more often than in clean ones.
 MIN_SUPPORT, MIN_SHARE, MIN_LIFT = 4, 0.01, 40.0
 STARTS = (4, 5, 6, 7)
@@ -33,36 +34,41 @@ STEPS, BATCH, RATE, L2 = 200, 128, 0.5, 1e-6
 WINDOW = 12
 #: What is learned is cut into sequences of so many tokens at most; none is left out.
 SEQUENCE = 300
-#: Rows of one label whose runs of so many words agree to this share count once in the sample.
+#: Rows of one label whose runs of so many words agree to this share (Jaccard) count once in the sample.
 NEAR_RUN, NEAR_SHARE = 4, 0.8
 THRESHOLD = 0.3
 SPAN_THRESHOLD = 0.5
-#: A document's score rests on so many of its tokens, those with the highest marginals, so that length alone adds nothing.
-TOP = 8
+#: A document's score is about some token that so many independent readings of the field all mark; every token counts,
+#: and the many faint marginals of a long text add next to nothing.
+READINGS = 2
 CACHED_WORDS = 150_000
+#: Tokens of the sample that are scored at once.
+SLICE_TOKENS = 200_000
 TOKEN = re.compile(r"[^\W_]+")
 
 
-def features(word: str) -> list[str]:
-    """The word and its starts; a start only of longer words."""
-    return [f"w:{word}", *[f"{k}:{word[:k]}" for k in STARTS if len(word) > k]]
-
-
 def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of each word, one row per word; the mask tells which of them the word has."""
+    """64-bit hashes of each word's features, the word and its starts, one row per word; the mask tells which it has.
+
+    A start counts only for longer words.
+    """
     n = len(words)
-    codes = np.array(words, dtype=f"<U{WORD_CHARS}").view("<u4").reshape(n, WORD_CHARS).astype(np.uint64)
+    codes = np.array(words, dtype=f"<U{WORD_CHARS}").view("<u4").reshape(n, WORD_CHARS)
     sizes = np.fromiter(map(len, words), np.uint64, n)
     state, found = np.full(n, 0xCBF29CE484222325, np.uint64), []
     for k in range(min(WORD_CHARS, int(sizes.max()) if n else 0)):
-        state = np.where(codes[:, k] > 0, (state ^ codes[:, k]) * np.uint64(0x9E3779B97F4A7C15), state)
+        state = np.where(codes[:, k] > 0, (state ^ codes[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), state)
         if k + 1 in STARTS:
             found.append((state + np.uint64(k + 1), sizes > k + 1))
     found.append((state + (sizes << np.uint64(8)), np.ones(n, bool)))
     while len(found) <= len(STARTS):
         found.insert(0, (state, np.zeros(n, bool)))
-    hashed = mix64(np.stack([h for h, _ in found], 1)) >> np.uint64(64 - HASH_BITS)
-    return hashed.astype(np.int64), np.stack([m for _, m in found], 1)
+    return mix64(np.stack([h for h, _ in found], 1)), np.stack([m for _, m in found], 1)
+
+
+def places_of(hashed: np.ndarray) -> np.ndarray:
+    """Places of feature hashes in the table of weights."""
+    return (hashed >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
 @dataclass
@@ -74,8 +80,8 @@ class Field:
     line: tuple[float, float]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        slots, mask = slots_of(words)
-        return (self.weights[slots] * mask).sum(1)
+        hashed, mask = slots_of(words)
+        return (self.weights[places_of(hashed)] * mask).sum(1)
 
 
 def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,61 +118,56 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
     return both / (1 + both), pairs
 
 
-def token_labels(sample: pd.DataFrame) -> tuple[list[list[str]], list[np.ndarray]]:
-    """Words of each sampled text and 1 for those that toxic documents explain."""
-    one: dict[str, str] = {}  # equal words of the whole sample are one string
-    words = [[one.setdefault(w, w) for w in TOKEN.findall(t.lower())] for t in sample["text"]]
-    toxic = sample["toxic"].to_numpy() == 1
-    held: dict[str, list[int]] = {}
-    for w, y in zip(words, toxic):
-        for name in {f for word in set(w) for f in features(word)}:
-            held.setdefault(name, [0, 0])[int(y)] += 1
-    n_toxic, n_clean = max(1, toxic.sum()), max(1, (~toxic).sum())
-    marks = {
-        f for f, (c, x) in held.items() if x >= max(MIN_SUPPORT, MIN_SHARE * n_toxic) and (x / n_toxic) >= MIN_LIFT * ((c + 0.1) / n_clean)
-    }
-    labels = []
-    for w, y in zip(words, toxic):
-        known = {word: any(f in marks for f in features(word)) for word in set(w)} if y else {}
-        labels.append(np.array([bool(y) and known[word] for word in w], bool))
-    return words, labels
+def numbered(texts: pa.ChunkedArray) -> tuple[list[np.ndarray], list[str]]:
+    """Each text's tokens as numbers, and the word of each number. No token is held as a string of its own."""
+    ids: dict[str, int] = {}
+    found = []
+    for chunk in texts.chunks:
+        for _, _, some in text_slices(chunk):
+            for text in some:
+                found.append(np.array([ids.setdefault(w, len(ids)) for w in TOKEN.findall((text or "").lower())], np.int32))
+    return found, list(ids)
 
 
-def runs_of(texts: list[str]) -> list[np.ndarray]:
-    """Per text: hashes of its different runs of NEAR_RUN words, as ranks with those of the fewest texts first."""
-    ids: dict[str, int] = {}
+def runs_of(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Per text: its different runs of NEAR_RUN words, numbered so that those of the fewest texts come first.
+
+    Runs that no other text holds are counted, not listed: -1 comes once for each.
+    """
     hashed = []
-    for text in texts:
-        words = np.array([ids.setdefault(w, len(ids) + 1) for w in TOKEN.findall(text.lower())], np.uint64)
-        words = np.pad(words, (0, max(0, NEAR_RUN - len(words))))
-        code = np.zeros(len(words) - NEAR_RUN + 1, np.uint64)
+    for w in words:
+        w = np.pad(w.astype(np.uint64) + np.uint64(1), (0, max(0, NEAR_RUN - len(w))))
+        code = np.zeros(len(w) - NEAR_RUN + 1, np.uint64)
         for k in range(NEAR_RUN):
-            code = mix64(code * np.uint64(BASE) + words[k : len(words) - NEAR_RUN + 1 + k])
+            code = mix64(code * np.uint64(BASE) + w[k : len(w) - NEAR_RUN + 1 + k])
         hashed.append(np.unique(code))
     every, back, held = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
-    rank = np.empty(len(every), np.int64)
-    rank[np.argsort(held, kind="stable")] = np.arange(len(every))
+    del every
+    rank = np.empty(len(held), np.int32)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(held), dtype=np.int32)
+    rank[held == 1] = -1
     return [np.sort(r) for r in np.split(rank[back], np.cumsum([len(h) for h in hashed])[:-1])]
 
 
-def near_copies(texts: list[str]) -> np.ndarray:
+def near_copies(words: list[np.ndarray]) -> np.ndarray:
     """Whether each text is a near copy of an earlier one that is none: their runs of words agree to NEAR_SHARE (Jaccard).
 
     Sets that agree so far share one of the rarest 1 - NEAR_SHARE of their runs, so only those are looked up; what is
     found is compared in full.
     """
-    copies = np.zeros(len(texts), bool)
-    if not len(texts):
+    copies = np.zeros(len(words), bool)
+    if not len(words):
         return copies
-    runs = runs_of(texts)
+    runs = runs_of(words)
     kept: dict[int, list[int]] = {}
     for i, mine in enumerate(runs):
-        rare = mine[: len(mine) - math.ceil(NEAR_SHARE * len(mine) - 1e-9) + 1].tolist()
+        rare = mine[: len(mine) - math.ceil(NEAR_SHARE * len(mine) - 1e-9) + 1]
+        rare = rare[rare >= 0].tolist()
         for j in sorted({j for r in rare for j in kept.get(r, ())}):
             theirs = runs[j]
             if min(len(mine), len(theirs)) < NEAR_SHARE * max(len(mine), len(theirs)):
                 continue
-            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+            both = len(np.intersect1d(mine[mine >= 0], theirs[theirs >= 0], assume_unique=True))
             if both >= NEAR_SHARE * (len(mine) + len(theirs) - both):
                 copies[i] = True
                 break
@@ -176,58 +177,75 @@ def near_copies(texts: list[str]) -> np.ndarray:
     return copies
 
 
-def without_near_copies(sample: pd.DataFrame) -> pd.DataFrame:
-    """The sample without near copies of earlier rows of the same label."""
-    kept = np.ones(len(sample), bool)
-    for y in sample["toxic"].unique():
-        at = np.flatnonzero((sample["toxic"] == y).to_numpy())
-        kept[at] = ~near_copies(sample["text"].iloc[at].tolist())
-    return sample[kept].reset_index(drop=True)
+def without_near_copies(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Rows of the sample that are no near copies of earlier rows of the same label."""
+    kept = np.ones(len(words), bool)
+    for y in (False, True):
+        at = np.flatnonzero(toxic == y)
+        kept[at] = ~near_copies([words[i] for i in at])
+    return np.flatnonzero(kept)
 
 
-def fit(sample: pd.DataFrame, odds: float | None = None) -> Field:
-    """Fit on (text, toxic) rows by gradient steps on the field's likelihood. Without both classes all scores are low.
+def token_labels(words: list[np.ndarray], toxic: np.ndarray, features: np.ndarray, n_features: int) -> list[np.ndarray]:
+    """Per text: whether each token is toxic, as toxic documents explain it. features: those of each word, -1 for none."""
+    held = np.zeros((2, n_features), np.int64)
+    for w, y in zip(words, toxic):
+        own = np.unique(features[np.unique(w)])
+        held[int(y), own[own >= 0]] += 1
+    n_toxic, n_clean = max(1, toxic.sum()), max(1, (~toxic).sum())
+    marks = (held[1] >= max(MIN_SUPPORT, MIN_SHARE * n_toxic)) & (held[1] / n_toxic >= MIN_LIFT * ((held[0] + 0.1) / n_clean))
+    marked = (np.append(marks, False)[features]).any(1)
+    return [marked[w] if y else np.zeros(len(w), bool) for w, y in zip(words, toxic)]
 
-    odds are those of a toxic label among all labels, where the sample holds relatively more toxic ones.
-    """
-    weights, transition = np.zeros(1 << HASH_BITS, np.float32), np.log(np.array([[0.99, 0.01], [0.7, 0.3]]))
-    sample = sample.assign(text=sample["text"].fillna(""))
-    sample = without_near_copies(sample)
-    if sample["toxic"].nunique() < 2:
-        return Field(weights, transition, (0.0, -6.0))
-    words, labels = token_labels(sample)
-    kept = []
+
+def learned_sequences(words: list[np.ndarray], labels: list[np.ndarray]):
+    """(word numbers, labels) of the windows around toxic tokens, and of whole texts without one."""
     for w, y in zip(words, labels):
         near = np.zeros(len(w), bool)
         for i in np.flatnonzero(y):
             near[max(0, i - WINDOW) : i + WINDOW + 1] = True
-        if not y.any():
-            near[:] = True
-        cuts = np.flatnonzero(near)
+        cuts = np.flatnonzero(near) if y.any() else np.arange(len(w))
         for run in np.split(cuts, np.flatnonzero(np.diff(cuts) > 1) + 1):
             for some in np.split(run, range(SEQUENCE, len(run), SEQUENCE)):
                 if len(some):
-                    kept.append(([w[i] for i in some], y[some]))
-    every_word = sorted({word for w, _ in kept for word in w})
-    hashed, mask = slots_of(every_word)
-    used = np.unique(hashed[mask])
-    slots = {w: np.searchsorted(used, h[m]).astype(np.int32) for w, h, m in zip(every_word, hashed, mask)}
-    weights = np.zeros(len(used))
-    kept = [(np.concatenate([slots[x] for x in w]), np.array([len(slots[x]) for x in w]), y) for w, y in kept]
+                    yield w[some], y[some]
+
+
+def fit(sample: pa.Table, odds: float | None = None) -> Field:
+    """Fit on (text, toxic) rows by gradient steps on the field's likelihood. Without both classes all scores are low.
+
+    Near copies within a label count once. odds are those of a toxic label among all labels, where the sample holds
+    relatively more toxic ones. Apart from the sample itself, memory is a few numbers per token.
+    """
+    transition = np.log(np.array([[0.99, 0.01], [0.7, 0.3]]))
+    toxic = sample.column("toxic").to_numpy() == 1
+    words, vocabulary = numbered(sample.column("text"))
+    del sample
+    rows = without_near_copies(words, toxic)
+    words, toxic = [words[i] for i in rows], toxic[rows]
+    if toxic.all() or not toxic.any():
+        return Field(np.zeros(1 << HASH_BITS, np.float32), transition, (0.0, -6.0))
+    hashed, mask = slots_of(vocabulary)
+    different, features = np.unique(hashed, return_inverse=True)
+    features = np.where(mask, features.reshape(hashed.shape), -1).astype(np.int32)
+    labels = token_labels(words, toxic, features, len(different))
+    del different, features
+    used, slots = np.unique(places_of(hashed), return_inverse=True)
+    slots = np.where(mask, slots.reshape(hashed.shape), len(used)).astype(np.int32)  # the last weight stays 0
+    kept = list(learned_sequences(words, labels))
+    weights = np.zeros(len(used) + 1)
     rng = np.random.default_rng(7)
     squares, pair_squares = np.full(len(weights), 1e-6), np.full((2, 2), 1e-3)
     parts = max(1, len(kept) // BATCH)
     for _ in range(-(-STEPS // parts)):
         for some in np.array_split(rng.permutation(len(kept)), parts):
-            at = np.concatenate([kept[i][0] for i in some])
-            held = np.concatenate([kept[i][1] for i in some])
-            truth = np.concatenate([kept[i][2] for i in some]).astype(float)
-            lengths = np.array([len(kept[i][2]) for i in some])
-            owner = np.repeat(np.arange(len(held)), held)
-            emission = np.bincount(owner, weights[at], len(held))
-            got, pairs = marginals(emission, lengths, transition)
-            gradient = np.bincount(at, (truth - got)[owner], len(weights)) / len(some) - L2 * weights
-            inside = np.ones(len(held), bool)
+            at = slots[np.concatenate([kept[i][0] for i in some])]
+            truth = np.concatenate([kept[i][1] for i in some]).astype(float)
+            lengths = np.array([len(kept[i][1]) for i in some])
+            got, pairs = marginals(weights[at].sum(1), lengths, transition)
+            gradient = np.bincount(at.ravel(), np.repeat(truth - got, at.shape[1]), len(weights)) / len(some) - L2 * weights
+            gradient[-1] = 0
+            inside = np.ones(len(truth), bool)
             inside[np.cumsum(lengths) - 1] = False
             a, b = truth[:-1][inside[:-1]].astype(int), truth[1:][inside[:-1]].astype(int)
             seen = np.bincount(2 * a + b, minlength=4).reshape(2, 2)
@@ -237,17 +255,37 @@ def fit(sample: pd.DataFrame, odds: float | None = None) -> Field:
             weights += RATE * gradient / np.sqrt(squares)
             transition += 0.1 * pair_gradient / np.sqrt(pair_squares)
     every = np.zeros(1 << HASH_BITS, np.float32)
-    every[used] = weights
-    field = Field(every, transition, (1.0, 0.0))
-    texts, cache, table = sample["text"].tolist(), {}, [np.zeros(0)]
-    slices = (texts[at : at + 1000] for at in range(0, len(texts), 1000))
-    gathered = np.array([x for some in slices for x, _ in _documents(field, some, cache, table)])
+    every[used] = weights[:-1]
+    emission, gathered = weights[slots].sum(1), []
+    for some in _slices(words):
+        lengths = np.array([len(w) for w in some])
+        got, _ = marginals(emission[np.concatenate(some)], lengths, transition)
+        gathered.append(evidence(got, lengths))
     # toxic documents without a marked token tell nothing about how tokens speak for a document
-    told = (sample["toxic"].to_numpy() == 0) | np.array([y.any() for y in labels])
-    slope, intercept = _logistic(gathered[told], sample["toxic"].to_numpy()[told].astype(float))
-    drawn = max(1, told.sum() - (sample["toxic"] == 0).sum()) / max(1, (sample["toxic"] == 0).sum())
-    field.line = slope, intercept + (np.log(odds) - np.log(drawn) if odds and odds < drawn else 0.0)
-    return field
+    told = ~toxic | np.array([y.any() for y in labels])
+    slope, intercept = _logistic(np.concatenate(gathered)[told], toxic[told].astype(float))
+    drawn = max(1, (told & toxic).sum()) / max(1, (~toxic).sum())
+    return Field(every, transition, (slope, intercept + (np.log(odds) - np.log(drawn) if odds and odds < drawn else 0.0)))
+
+
+def _slices(words: list[np.ndarray]):
+    held, size = [], 0
+    for w in words:
+        held.append(w)
+        size += len(w)
+        if size > SLICE_TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def evidence(toxic: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Per text: the log-odds that some token is marked by all of READINGS independent readings, from all its marginals."""
+    faint = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(toxic, 1 - 1e-9) ** READINGS))])
+    ends = np.cumsum(lengths)
+    clean = faint[ends] - faint[ends - lengths]  # none of them marked
+    return np.clip(np.log(np.maximum(-np.expm1(clean), 1e-12)) - clean, -20, 20)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -264,7 +302,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _documents(field: Field, texts: list[str], cache: dict[str, int], table: list[np.ndarray]):
-    """Per text: the log-odds that one of its likeliest tokens is toxic, and the bounds of toxic runs."""
+    """The evidence of each text, and the bounds of its toxic runs."""
     if len(cache) > CACHED_WORDS:
         cache.clear()
         table[0] = np.zeros(0)
@@ -276,16 +314,11 @@ def _documents(field: Field, texts: list[str], cache: dict[str, int], table: lis
     lengths = np.array([len(w) for w in words], np.int64)
     at = np.fromiter((cache[w] for some in words for w in some), np.int64, int(lengths.sum()))
     got, _ = marginals(table[0][at], lengths, field.transition)
+    hits = np.flatnonzero(got >= SPAN_THRESHOLD)
     ends = np.cumsum(lengths)
-    for text, to, n in zip(texts, ends, lengths):
-        mine = got[to - n : to]
-        top = np.partition(mine, n - TOP)[n - TOP :] if n > TOP else mine
-        clean = np.log1p(-np.minimum(top, 1 - 1e-9)).sum()  # none of them toxic
-        odds = np.log(max(-np.expm1(clean), 1e-12)) - clean
-        spans = []
-        if n and mine.max() >= SPAN_THRESHOLD:
-            spans = _spans(text, np.flatnonzero(mine >= SPAN_THRESHOLD))
-        yield float(np.clip(odds, -20, 20)), spans
+    cuts = np.searchsorted(hits, [ends - lengths, ends])
+    spans = [_spans(text, hits[a:b] - (to - n)) if b > a else [] for text, to, n, a, b in zip(texts, ends, lengths, *cuts)]
+    return evidence(got, lengths), spans
 
 
 def _spans(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
@@ -303,16 +336,23 @@ def _spans(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """At most SAMPLE_PER_CLASS labelled rows of each class, chosen by hash of the id, in order of their ids."""
-    by_class = []
-    for y in (0, 1):
-        rows = labels.filter(F.col("toxic") == y).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-        by_class.append(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS))
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
+    """(text, toxic) of at most SAMPLE_PER_CLASS labelled rows of each class, chosen by hash of the id, in order of ids.
+
+    A document with labels of both classes is toxic; labels without a class or id teach nothing. Of each class only the
+    first rows by hash with SAMPLE_BYTES of text between them are taken; every text is whole.
+    """
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("doc_id is not null")
+    by_class = [
+        labels.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS) for y in (0, 1)
+    ]
     chosen = F.broadcast(by_class[0].unionByName(by_class[1]))
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    sample = docs.select("doc_id", text).join(chosen, "doc_id").select("doc_id", "text", "toxic").toPandas()
-    return sample.sort_values(["doc_id", "toxic", "text"], ignore_index=True)[["text", "toxic"]]
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = docs.select("doc_id", text).join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    rows = rows.withColumn("before", F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("own", F.octet_length("text")).filter(F.coalesce(F.col("before") + F.col("own"), F.lit(0)) <= SAMPLE_BYTES)
+    return rows.select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).select(["text", "toxic"])
 
 
 def label_odds(labels: DataFrame) -> float:
@@ -354,9 +394,8 @@ def _scorer(docs: DataFrame, field: Field):
         field, cache, table = held.value, {}, [np.zeros(0)]
 
         def scores(texts: list[str | None]) -> tuple[np.ndarray, list]:
-            got = list(_documents(field, [t or "" for t in texts], cache, table))
-            z = np.array([x for x, _ in got], float)
-            return 1 / (1 + np.exp(-np.clip(field.line[0] * z + field.line[1], -30, 30))), [s for _, s in got]
+            z, spans = _documents(field, [t or "" for t in texts], cache, table)
+            return 1 / (1 + np.exp(-np.clip(field.line[0] * z + field.line[1], -30, 30))), spans
 
         return scores
 

@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,34 +149,87 @@ def test_marginals_match_enumeration():
 
 
 def test_toxicity_finds_held_out_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     part = F.crc32(F.col("doc_id").cast("string")) % 4
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     field = toxicity.train(docs, labels.filter(part != 2))
-    got = toxicity.score(docs, field).join(labels.filter(part == 2), "doc_id").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
-    english = [r for r in got if r["lang"] == "en"]
-    assert all(r["predicted"] == 1 for r in english if r["toxic"] == 1)
-    assert sum(r["predicted"] for r in got if r["toxic"] == 0) <= 0.02 * len(got)
+    asked = docs.join(labels.filter(part == 2), "doc_id")
+    got = toxicity.score(asked, field).join(asked.select("doc_id", "lang", "text", "toxic"), "doc_id").collect()
+    for lang in {r["lang"] for r in got}:  # a few labels are wrong on purpose
+        toxic = [r["predicted"] for r in got if r["lang"] == lang and r["toxic"] == 1]
+        clean = [r["predicted"] for r in got if r["lang"] == lang and r["toxic"] == 0]
+        assert sum(toxic) >= 0.8 * len(toxic) > 0 and sum(clean) <= 0.05 * len(clean), lang
     for r in got:
         for span in r["spans"]:
             assert r["text"].lower()[span["start"] : span["end"]].strip()
 
 
-def test_toxicity_of_odd_texts(spark, messy, nothing):
-    import pandas as pd
+def test_toxicity_query_learns_from_labels_of_its_split_only(spark):
+    from poolscope.llm import queries
 
-    sample = pd.DataFrame({"text": ["you idiot"] * 3 + ["fine words"] * 3 + [f"idiot number {k}" for k in range(9)] + [f"calm {k}" for k in range(40)], "toxic": [1] * 3 + [0] * 3 + [1] * 9 + [0] * 40})
-    field = toxicity.fit(sample)
+    got = queries.op9_toxicity(spark, TINY)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:4] == [
+        ("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")
+    ]
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    labels = [r for r in spark.read.parquet(f"{TINY}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    field = toxicity.train(docs, spark.createDataFrame(labels))
+    want = {r["doc_id"]: r["score"] for r in toxicity.score(docs, field).collect()}
+    rows = got.collect()
+    assert len(rows) == docs.count() and {r["doc_id"]: r["score"] for r in rows} == pytest.approx(want)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_evidence_rests_on_every_marginal():
+    rng = np.random.default_rng(3)
+    lengths = np.array([5, 0, 40, 1])
+    toxic = rng.random(lengths.sum()) ** 3
+    got, at = toxicity.evidence(toxic, lengths), 0
+    for n, z in zip(lengths, got):
+        none = np.prod(1 - toxic[at : at + n] ** toxicity.READINGS)
+        assert z == pytest.approx(np.clip(np.log(max(1 - none, 1e-12) / none), -20, 20))
+        at += n
+
+
+def sample_of(texts, toxic):
+    return pa.table({"text": pa.chunked_array([texts]), "toxic": toxic})
+
+
+def test_toxicity_of_odd_texts(spark, messy, nothing):
+    texts = ["you idiot"] * 3 + ["fine words"] * 3 + [f"idiot number {k}" for k in range(9)] + [f"calm {k}" for k in range(40)]
+    marks = [1] * 3 + [0] * 3 + [1] * 9 + [0] * 40
+    field = toxicity.fit(sample_of(texts, marks))
     rows = toxicity.score(messy, field).collect()
     assert len(rows) == messy.count() and all(0 <= r["score"] <= 1 for r in rows) and toxicity.score(nothing, field).count() == 0
     assert toxicity.keep_clean(messy, field).columns == messy.columns
-    alone = toxicity.fit(sample[sample.toxic == 0])
+    long = spark.createDataFrame([(1, "calm 3 " * 300_000), (2, "calm 3 " * 150_000 + "you idiot " + "calm 4 " * 150_000)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["predicted"], r["spans"]) for r in toxicity.score(long, field).collect()}
+    assert got[1] == (0, []) and got[2][0] == 1 and [tuple(s) for s in got[2][1]] == [(1_050_004, 1_050_009)]
+    alone = toxicity.fit(sample_of([t for t, y in zip(texts, marks) if not y], [0] * 43))
     assert toxicity.score(messy, alone).filter("predicted = 1").count() == 0
 
 
-def test_near_copies_against_brute_force():
-    import pandas as pd
+def test_labelled_sample_of_odd_labels(spark, messy, nothing):
+    labels = spark.createDataFrame([(3, 0), (3, 1), (4, 0), (5, None), (None, 1), (6, 0), (6, 0), (999, 1)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(messy, labels)
+    assert sample.column("toxic").to_pylist() == [1, 0, 0]
+    assert toxicity.labelled_sample(nothing, labels).num_rows == 0 and toxicity.labelled_sample(messy, labels.limit(0)).num_rows == 0
+    assert toxicity.train(messy, labels.filter("toxic = 0")).line[1] < -5
+
+
+def test_labelled_sample_is_bounded_by_whole_rows(spark, monkeypatch):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2600)
+    sample = toxicity.labelled_sample(docs, labels)
+    assert sorted(sample.column("toxic").to_pylist()) == [0] * 5 + [1] * 5
+    assert set(sample.column("text").to_pylist()) == {"word " * 100}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10)
+    assert sorted(toxicity.labelled_sample(docs, labels).column("toxic").to_pylist()) == [0, 1]
 
+
+def test_near_copies_against_brute_force():
     rng = np.random.default_rng(4)
     vocabulary = [f"w{k}" for k in range(3000)]
     passage = " ".join(rng.choice(vocabulary, 60))
@@ -186,33 +240,31 @@ def test_near_copies_against_brute_force():
             words[at] = f"edit{at}"
         texts.append(" ".join(words))
     texts += ["", "one", "one", "one two three four", texts[3]]
-    sample = pd.DataFrame({"text": texts, "toxic": [k % 2 for k in range(len(texts))]})
+    toxic = np.array([k % 2 == 1 for k in range(len(texts))])
 
     def runs(text):
         words = text.split()
         return {tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))}
 
     kept = []
-    for text, y in zip(sample["text"], sample["toxic"]):
+    for k, (text, y) in enumerate(zip(texts, toxic)):
         mine = runs(text)
-        if not any(y == z and len(mine & other) >= 0.8 * len(mine | other) for z, other in kept):
-            kept.append((y, mine))
-    got = toxicity.without_near_copies(sample)
-    assert [(y, runs(t)) for t, y in zip(got["text"], got["toxic"])] == kept
+        if not any(y == z and len(mine & other) >= 0.8 * len(mine | other) for _, z, other in kept):
+            kept.append((k, y, mine))
+    words, _ = toxicity.numbered(pa.chunked_array([texts]))
+    assert toxicity.without_near_copies(words, toxic).tolist() == [k for k, *_ in kept]
     assert 60 <= len(kept) < len(texts)
 
 
 def test_whole_sampled_texts_are_learned(spark):
-    import pandas as pd
-
     rng = np.random.default_rng(6)
     calm = lambda n: " ".join(f"{a}{k}" for a, k in zip(rng.choice(["calm", "fine", "good", "mild"], n), rng.integers(0, 500, n)))
     rows = [(i, f"{calm(2000)} idiot {calm(5)}", 1) for i in range(40)] + [(i, f"{calm(2000)} {calm(5)}", 0) for i in range(40, 100)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     sample = toxicity.labelled_sample(docs, labels)
-    assert sorted(sample["text"]) == sorted(t for _, t, _ in rows)
-    field = toxicity.fit(pd.DataFrame({"text": [t for _, t, _ in rows], "toxic": [y for *_, y in rows]}))
+    assert sorted(sample.column("text").to_pylist()) == sorted(t for _, t, _ in rows)
+    field = toxicity.fit(sample)
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, field).collect()}
     assert all(got[i] == y for i, _, y in rows)
 
