@@ -1,13 +1,17 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-Bounded-space online best-fit: every task keeps at most `open_bins` open bins, indexed by a bitset over free space.
-A piece goes into the open bin with the least sufficient free space; when a bin too many would be open, the fullest
-one closes. The work is map-only: no shuffle, and memory is bounded by one Arrow batch and the open bins.
+Bounded-space online best-fit: every packing task keeps at most `open_bins` open bins, indexed by a bitset over free
+space. A piece goes into the open bin with the least sufficient free space; when a bin too many would be open, the
+fullest one closes. Texts are tokenised where they are read; what travels from there to the packing tasks is one narrow
+row per piece. The number of packing tasks follows the number of tokens, so that the bins each leaves open are few
+beside those it has filled, however many tasks read the texts.
 """
 
 from __future__ import annotations
 
-import json
+import math
+import os
+import re
 import zlib
 from array import array
 
@@ -17,73 +21,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import text_slices
+from poolscope.llm.common import materialize, text_slices
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-COLUMNS = [("doc_id", pa.int64()), ("piece", pa.int32())]
-COLUMNS += [(name, pa.int64()) for name in ("start", "length", "ids_crc32", "sequence_id", "offset")]
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SCHEMA = f"{PIECES}, sequence_id long, offset long"
 CAPACITY = 2048
 OPEN_BINS = 1024
-#: The published pre-tokeniser of the byte-level vocabulary (fixed value).
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Tokens that one packing task takes, about.
+TASK_TOKENS = 1 << 25
+#: Longer texts are handed to the tokenizer in parts of about so many characters.
+PART_CHARS = 1 << 18
+#: Bytes of texts that are tokenised at once.
+SLICE_BYTES = 500_000
+#: Where a text may be cut without changing its ids: no token of a byte-level vocabulary holds a space after another character.
+SAFE_CUT = re.compile(r"(?<=\S) ")
 
+_tokenizers: dict[str, object] = {}
 
-def byte_symbols() -> dict[str, int]:
-    """The byte that each symbol of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
+def tokenizer_of(path: str):
+    """One tokenizer per worker process and file; Spark's tasks are the parallelism."""
+    if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, for a file of the tokenizers library.
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
 
-    Where the file is a plain byte-level BPE whose ids follow its merges, the same ids come faster from its vocabulary
-    as ranks; texts that hold a special token's string, and any other file, go to the tokenizers library itself.
-    """
-
-    def __init__(self, path: str):
-        self.path, self.tokenizer = path, None
-        with open(path, encoding="utf-8") as file:
-            told = json.load(file)
-        self.special = [t["content"] for t in told.get("added_tokens", [])]
-        self.ranks = self._as_ranks(told)
-
-    def _as_ranks(self, told: dict):
-        model, pre = told["model"], told.get("pre_tokenizer") or {}
-        plain = model.get("type") == "BPE" and not told.get("normalizer") and not model.get("dropout")
-        plain = plain and not model.get("byte_fallback") and not model.get("ignore_merges")
-        plain = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex")
-        if not plain:
-            return None
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        vocabulary = model["vocab"]
-        if any(vocabulary.get("".join(m)) != 256 + k for k, m in enumerate(merges)):
-            return None
-        import tiktoken
-
-        symbols = byte_symbols()
-        ranks = {bytes(symbols[c] for c in w): i for w, i in vocabulary.items() if w not in self.special}
-        return tiktoken.Encoding("vocabulary", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str) -> bytes:
-        if self.ranks is not None and not any(s in text for s in self.special):
-            return array("I", self.ranks.encode_ordinary(text)).tobytes()
-        if self.tokenizer is None:
-            from tokenizers import Tokenizer
 
-            self.tokenizer = Tokenizer.from_file(self.path)
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+def parts(text: str, size: int = PART_CHARS) -> list[str]:
+    """The text, cut at spaces after other characters into parts of `size` characters or, without such spaces, more."""
+    out, at = [], 0
+    while len(text) - at > size:
+        cut = SAFE_CUT.search(text, at + size)
+        if cut is None:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoded(tokenizer, texts: list[str], size: int = PART_CHARS):
+    """The ids of each text as little-endian 32-bit bytes; added tokens in a text count as such, none is put in."""
+    cut = [parts(text, size) for text in texts]
+    got = iter(tokenizer.encode_batch_fast([p for some in cut for p in some], add_special_tokens=False))
+    for some in cut:
+        yield b"".join(array("I", next(got).ids).tobytes() for _ in some)
 
 
 class OpenBins:
@@ -127,6 +110,27 @@ def pieces(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n_ids, capacity)]
 
 
+def tokenised(docs: DataFrame, tokenizer_path: str | None, capacity: int, separator_id: int) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        tokenizer = tokenizer_of(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        end = array("I", [separator_id]).tobytes()
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for at, to, texts in text_slices(batch.column(1), SLICE_BYTES):
+                rows = []
+                for doc_id, got in zip(ids[at:to], encoded(tokenizer, [t or "" for t in texts])):
+                    got += end
+                    for k, (start, length) in enumerate(pieces(len(got) // 4, capacity)):
+                        rows.append((doc_id, k, start, length, zlib.crc32(got[4 * start : 4 * (start + length)])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str | None = None,
@@ -136,24 +140,21 @@ def pack(
 ) -> DataFrame:
     """One row per piece with its sequence and offset.
 
-    Null or empty texts are the separator alone; repeated rows are packed once each; other columns are ignored; an
-    empty table gives no rows. Sequences never span tasks, so each task leaves at most `open_bins` unfilled.
+    Null or empty texts are the separator alone; texts of any length and make are tokenised whole; repeated rows are
+    packed once each; rows with a null id are packed like others; other columns are ignored; an empty table gives no
+    rows. Sequences never span packing tasks. Pieces come to them dealt and ordered by hash, so a task that is repeated
+    makes the same sequences.
     """
+    cut = materialize(tokenised(docs, tokenizer_path, capacity, separator_id), "packing-pieces")
+    n_tasks = math.ceil((cut.agg(F.sum("length")).first()[0] or 1) / TASK_TOKENS)
 
     def run(batches):
-        encoder = encoder_of(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
-        end = array("I", [separator_id]).tobytes()
         for batch in batches:
-            rows, ids = [], batch.column(0).to_pylist()
-            for at, to, texts in text_slices(batch.column(1)):
-                for doc_id, text in zip(ids[at:to], texts):
-                    got = encoder.encode(text or "") + end
-                    for k, (start, length) in enumerate(pieces(len(got) // 4, capacity)):
-                        crc = zlib.crc32(got[4 * start : 4 * (start + length)])
-                        rows.append((doc_id, k, start, length, crc, *bins.place(length)))
-            columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(COLUMNS)]
-            yield pa.RecordBatch.from_arrays(columns, [name for name, _ in COLUMNS])
+            placed = [bins.place(n) for n in batch.column(3).to_pylist()]
+            columns = [*batch.columns, pa.array([s for s, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "sequence_id", "offset"])
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, SCHEMA)
+    row = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = cut.repartition(n_tasks, row).sortWithinPartitions(row, "doc_id", "piece", "ids_crc32")
+    return dealt.mapInArrow(run, SCHEMA)

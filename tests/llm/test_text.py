@@ -39,6 +39,44 @@ def test_packing_matches_the_tokenizer(messy):
         assert at <= 64
 
 
+def test_parts_leave_the_ids_as_they_are():
+    import public_tokenizers
+
+    tokenizer = packing.tokenizer_of(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(8)
+    marks = ["a", "B", " ", "  ", "\n", "\t", "\x1c", "\u2003", "é", "你", "7", "'s", "<|endoftext|>", "!", "😀", "\u0300"]
+    for _ in range(60):
+        text = "".join(rng.choice(marks, 200))
+        assert "".join(packing.parts(text, 7)) == text
+        got, want = packing.encoded(tokenizer, [text, ""], 7), tokenizer.encode(text, add_special_tokens=False).ids
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want, []]
+
+
+def test_packing_of_very_long_texts(spark):
+    import public_tokenizers
+
+    texts = {1: " " * 2_000_000 + "a", 2: "a" * 2_000_000, 3: "\n" * 1_000_000, 4: "word " * 400_000}
+    tokenizer = packing.tokenizer_of(public_tokenizers.path("byte_bpe_50k.json"))
+    got = collections.Counter()
+    for r in packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+
+
+def test_packing_is_tight_however_the_rows_are_split(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(64)
+    got = packing.pack(docs).agg(F.sum("length").alias("tokens"), F.countDistinct("sequence_id").alias("sequences")).first()
+    assert got["sequences"] <= 1.02 * math.ceil(got["tokens"] / packing.CAPACITY)
+
+
+def test_packing_query_has_the_contract_columns(spark):
+    from poolscope.llm import queries
+
+    rows = queries.op8_packing(spark, TINY)
+    assert rows.schema.simpleString() == f"struct<{packing.SCHEMA}>".replace(" long", ":bigint").replace(" int", ":int").replace(", ", ",")
+    assert rows.select("doc_id").distinct().count() == spark.read.parquet(f"{TINY}/documents.parquet").count()
+
+
 def test_open_bins_against_brute_force():
     rng = np.random.default_rng(0)
     bins, free = packing.OpenBins(50, 4, 0), []
