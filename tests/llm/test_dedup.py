@@ -37,6 +37,30 @@ def test_exact_dedup_compares_bytes(messy, monkeypatch):
     assert got == want
 
 
+def test_exact_dedup_goes_on_from_kept_state(spark, messy, tmp_path):
+    """A second run with the same folder streams its own rows only, and counts those of the first."""
+    rows = messy.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    want = {r["doc_id"]: tuple(r) for r in exact_dedup.exact_dedup(rows).collect()}
+    state = f"file://{tmp_path}/state"
+    early, late = rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1")
+    assert sum(1 for _ in exact_dedup.exact_dedup(early, state_dir=state).collect()) == early.count()
+    got = {r["doc_id"]: tuple(r) for r in exact_dedup.exact_dedup(late, state_dir=state).collect()}
+    assert got == {i: w for i, w in want.items() if i % 2}
+    offsets = sorted(p.name for p in (tmp_path / "state/checkpoint/commits").iterdir() if p.name.isdigit())
+    assert offsets == ["0", "1"]
+
+
+def test_exact_dedup_reads_content_at_its_place(spark, messy, tmp_path, monkeypatch):
+    path = f"{tmp_path}/docs"
+    messy.select("doc_id", "text").repartition(3).write.parquet(path)
+    rows = exact_dedup.located(spark.read.parquet(path), None)
+    assert rows.select("file", "row").distinct().count() == messy.count()
+    monkeypatch.setattr(exact_dedup, "GROUP_ROWS", 2)
+    assert rows.select("file").distinct().count() == 3
+    want = sorted(map(str, exact_dedup.exact_dedup(messy).collect()))
+    assert sorted(map(str, exact_dedup.exact_dedup(spark.read.parquet(path)).collect())) == want
+
+
 def test_exact_dedup_of_nothing(nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
@@ -70,6 +94,8 @@ def test_near_dedup_in_small_blocks(messy, monkeypatch):
     want = sorted(map(str, near_dedup.near_dedup(messy).collect()))
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     assert sorted(map(str, near_dedup.near_dedup(messy).collect())) == want
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2000)
+    assert sorted(map(str, near_dedup.near_dedup(messy).collect())) == want
 
 
 def test_near_dedup_of_nothing(nothing):
