@@ -12,13 +12,19 @@ MAX_ROUNDS = 40
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One round: every node's larger neighbours, then its smaller ones, move to the smallest node in reach."""
+    """One round: every node's larger neighbours, then its smaller ones, move to the smallest node in reach.
+
+    Least neighbours are written before they are joined, so that both sides of a join are plain exchanges: a node with
+    very many neighbours is pre-aggregated, and its join can be split.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = materialize(least, "least")
     large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = large.filter("a <> b").distinct()
     down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    down = materialize(down, "down")
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -26,8 +32,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge to another; component is the smallest node in reach.
 
-    edges: (a, b) long, in any direction; loops and nulls are ignored. Hot nodes are pre-aggregated, and joins on them
-    can be split by adaptive execution.
+    edges: (a, b) long, in any direction; loops and nulls are ignored.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")

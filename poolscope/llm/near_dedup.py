@@ -30,8 +30,8 @@ BANDS, BAND_REGISTERS = 25, 5
 EMPTY = 0xFFFF
 #: An estimate passes if it is within so many standard errors of the threshold.
 MARGIN = 5.0
-#: Members of a block; larger groups are cut.
-BLOCK = 512
+#: Members of a block, and bytes of their sets or sketches, about; larger groups are cut.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -159,14 +159,17 @@ def stars(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[far], centre[far]
 
 
-def in_blocks(members: DataFrame, key: str, count: str) -> DataFrame:
-    """Rows of every pair of blocks of a group, next to each other: adds i and j; groups of one block get (0, 0)."""
-    blocks = F.ceil(F.col(count) / BLOCK).cast("int")
-    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col(count) > 2 * BLOCK, blocks).otherwise(1)).cast("int"))
-    last = F.when(F.col(count) > 2 * BLOCK, blocks).otherwise(1) - 1
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+def in_blocks(members: DataFrame, key: str, count: str, size: str) -> DataFrame:
+    """Rows of every pair of blocks of a group, next to each other: adds i and j; groups of one block get (0, 0).
+
+    count and size are columns with the group's members and their bytes.
+    """
+    blocks = F.ceil(F.greatest(F.col(count) / BLOCK, F.col(size) / BLOCK_BYTES)).cast("int")
+    blocks = F.when(blocks > 2, F.least(blocks, F.col(count))).otherwise(1).cast("int")
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    return members.drop("own", "other", count).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return members.drop("own", "other", count, size).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def find_edges(blocks: DataFrame, key: str, columns: list[str], linked) -> DataFrame:
@@ -260,7 +263,8 @@ def coarse_groups(classes: DataFrame) -> DataFrame:
     keys = band_keys(classes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = keys.join(shared, "key").join(classes.select("node", "n_shingles", "registers"), "node")
-    edges = find_edges(in_blocks(members, "key", "n"), "key", ["registers", "n_shingles"], _estimated)
+    members = members.withColumn("size", F.lit(2 * BUCKETS) * F.col("n"))
+    edges = find_edges(in_blocks(members, "key", "n", "size"), "key", ["registers", "n_shingles"], _estimated)
     return connected_components(edges)
 
 
@@ -284,7 +288,7 @@ def candidate_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, component, n, shingles) of the members; texts that cannot be members are dropped where they are read."""
+    """The members with the shingles of each; texts that cannot be members are dropped where they are read."""
     bits = docs.sparkSession.sparkContext.broadcast(candidate_filter(members))
 
     def run(batches):
@@ -312,9 +316,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"), first).select("digest", "node", "s.*")
     classes = materialize(classes, "classes")
     coarse = coarse_groups(classes)
-    sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = coarse.join(sizes, "component")
-    held = in_blocks(with_sets(docs, materialize(members, "members")), "component", "n")
+    coarse = coarse.join(classes.select("node", "n_shingles"), "node")
+    sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles")).alias("size"))
+    members = coarse.drop("n_shingles").join(sizes, "component")
+    held = in_blocks(with_sets(docs, materialize(members, "members")), "component", "n", "size")
     found = connected_components(find_edges(held, "component", ["shingles"], _verified))
     labels = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sketches.join(labels, "digest", "left")
