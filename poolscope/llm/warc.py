@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import struct
 
 import pyarrow as pa
@@ -17,9 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import new_folder
+from poolscope.llm.common import materialize, new_folder
 
 FRAME_BYTES = 1 << 20
+#: Plain bytes that a reading task takes, about.
+READ_BYTES = 32 << 20
 LEVEL = 3
 #: Format values of seekable Zstandard (fixed values): skippable frame's magic, seek table's magic.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -80,6 +83,7 @@ def page_of(urn: str) -> int | None:
     return int(number) if number else None
 
 
+#: Sizes are 32-bit in the table. A frame is at most frame_bytes or one record, and Spark's strings end at 2 GiB.
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
     entries = b"".join(struct.pack("<II", stored, plain) for stored, plain in sizes)
     footer = struct.pack("<IBI", len(sizes), 0, SEEKABLE_MAGIC)
@@ -192,8 +196,9 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                 names = ["page_id", "record_type", "refers_to", "payload_digest", "body_bytes", "intact"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    frames = list_frames(index, folder)
-    return frames.repartition("bundle", "frame").mapInArrow(run, RECORDS)
+    frames = materialize(list_frames(index, folder), "warc-frames")
+    n_tasks = math.ceil((frames.agg(F.sum("plain")).first()[0] or 1) / READ_BYTES)  # a given number is not coalesced
+    return frames.repartition(n_tasks, "bundle", "frame").mapInArrow(run, RECORDS)
 
 
 def read_record(spark: SparkSession, index: DataFrame, folder: str, page_id: int):
