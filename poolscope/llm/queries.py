@@ -18,6 +18,32 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
+           THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+           WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (min(x.n) + min(y.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS least FROM documents
+  UNION
+  SELECT e.b, r.least FROM reach r JOIN e ON e.a = r.doc_id WHERE r.least < e.b
+), c AS (
+  SELECT doc_id, min(least) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -41,6 +67,31 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+OP3_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents
+), w AS (
+  SELECT doc_id, pos, substr(x, 2 * pos + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(0, n_bytes - 99)) AS pos FROM h)
+), r AS (
+  SELECT doc_id, pos FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) > 1
+), m AS (
+  SELECT doc_id, pos, max(pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM r
+), g AS (
+  SELECT doc_id, pos, sum(CASE WHEN last IS NULL OR last + 100 < pos THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m
+), k AS (
+  SELECT doc_id, run, min(pos) AS start, max(pos) + 100 AS stop FROM g GROUP BY doc_id, run
+), b AS (
+  SELECT doc_id, list(start ORDER BY start) AS starts, list(stop ORDER BY start) AS stops, sum(stop - start)::BIGINT AS n_removed,
+         count(*) AS n_spans FROM k GROUP BY doc_id
+)
+SELECT h.doc_id, h.n_bytes, coalesce(b.n_removed, 0) AS n_removed, coalesce(b.n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN b.doc_id IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(starts) + 1),
+         lambda k: substr(x, (CASE WHEN k = 0 THEN 0 ELSE 2 * stops[k] END + 1)::BIGINT,
+           (2 * (CASE WHEN k = len(starts) THEN n_bytes ELSE starts[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE stops[k] END))::BIGINT)), '') END)) AS kept_sha256
+FROM h LEFT JOIN b ON b.doc_id = h.doc_id
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -64,6 +115,20 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
 
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest,
+         sha1(coalesce(html, '')) AS hex FROM pages
+)
+SELECT page_id, strlen(payload) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> newest THEN newest END AS refers_to, true AS intact
+FROM p
+"""
+
+
 #: (verdict, host, path) of the given rules.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -114,7 +179,8 @@ r AS (
                  * pow(n, {mixing.TEMPERATURE}) / n AS rate FROM n
 ), c AS (
   SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
-  FROM r, range(0, 400) t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 25)
+  FROM r, generate_series(0, (SELECT ceil(max(rate + 12 * sqrt(rate) + 25))::BIGINT FROM r)) t(k)
+  WHERE k <= ceil(rate + 12 * sqrt(rate) + 25)
 ), u AS (
   SELECT doc_id, source, text,
          (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
@@ -146,4 +212,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op10_mixing": OP10_SQL}
+    return {
+        "op1_minhash": OP1_SQL,
+        "op2_top_k": OP2_SQL,
+        "op3_suffix_dedup": OP3_SQL,
+        "op4_exact_dedup": OP4_SQL,
+        "op5_warc": OP5_SQL,
+        "op10_mixing": OP10_SQL,
+    }
