@@ -336,8 +336,8 @@ def _spans(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
-    """(text, toxic) of at most SAMPLE_PER_CLASS labelled rows of each class, chosen by hash of the id, in order of ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of at most SAMPLE_PER_CLASS labelled rows of each class, chosen by hash of the id.
 
     A document with labels of both classes is toxic; labels without a class or id teach nothing. Of each class only the
     first rows by hash with SAMPLE_BYTES of text between them are taken; every text is whole.
@@ -352,7 +352,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
     by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     rows = rows.withColumn("before", F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("own", F.octet_length("text")).filter(F.coalesce(F.col("before") + F.col("own"), F.lit(0)) <= SAMPLE_BYTES)
-    return rows.select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).select(["text", "toxic"])
+    return rows.select("doc_id", "text", "toxic")
 
 
 def label_odds(labels: DataFrame) -> float:
@@ -362,7 +362,25 @@ def label_odds(labels: DataFrame) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    return fit(labelled_sample(docs, labels), label_odds(labels))
+    """The field of a bounded sample of the labelled rows. One task fits it, the driver gets the weights alone."""
+    odds = label_odds(labels)
+
+    def run(batches):
+        held = [pa.record_batch([b.column(k) for k in range(3)], ["doc_id", "text", "toxic"]) for b in batches]
+        if not held:
+            return
+        field = fit(pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")]), odds)
+        used = np.flatnonzero(field.weights).astype("<i4")
+        parts = [used, field.weights[used].astype("<f4"), field.transition.astype("<f8"), np.array(field.line, "<f8")]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["used", "weights", "transition", "line"])
+
+    sample = labelled_sample(docs, labels).repartition(1)
+    got = sample.mapInArrow(run, "used binary, weights binary, transition binary, line binary").first()
+    if got is None:
+        return fit(pa.table({"text": pa.chunked_array([[]], pa.string()), "toxic": pa.array([], pa.int32())}), odds)
+    weights = np.zeros(1 << HASH_BITS, np.float32)
+    weights[np.frombuffer(got["used"], "<i4")] = np.frombuffer(got["weights"], "<f4")
+    return Field(weights, np.frombuffer(got["transition"], "<f8").reshape(2, 2), tuple(np.frombuffer(got["line"], "<f8").tolist()))
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:

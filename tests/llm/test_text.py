@@ -39,24 +39,37 @@ def test_packing_matches_the_tokenizer(messy):
         assert at <= 64
 
 
-def test_parts_leave_the_ids_as_they_are():
+def test_parts_leave_the_ids_as_they_are(monkeypatch):
     import public_tokenizers
+    import tokenizers
 
-    tokenizer = packing.tokenizer_of(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = packing.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    assert encoder.byte_level and not packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).byte_level
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
     rng = np.random.default_rng(8)
-    marks = ["a", "B", " ", "  ", "\n", "\t", "\x1c", "\u2003", "é", "你", "7", "'s", "<|endoftext|>", "!", "😀", "\u0300"]
-    for _ in range(60):
-        text = "".join(rng.choice(marks, 200))
-        assert "".join(packing.parts(text, 7)) == text
-        got, want = packing.encoded(tokenizer, [text, ""], 7), tokenizer.encode(text, add_special_tokens=False).ids
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want, []]
+    marks = ["a", "B", " ", "  ", "\n", "\t", "\x0b", "\r", "\x1c", "\x85", "\u2003", "\u200b", "é", "你", "7", "'s", "<|endoftext|>", "!", "😀", "\u0300"]
+    common = [m for m in marks if not packing.UNCLEAR_SPACE.search(m)]
+    texts = ["".join(rng.choice(some, 200)) for some in (marks, common) for _ in range(150)] + ["", " ", "\n\n", " a ", "a \n b"]
+    every = "".join(f"a{c} {c}{c}\n{c}b" for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000, 3)]))
+    texts += [every[k : k + 5000] for k in range(0, len(every), 5000)]
+    assert all("".join(encoder.parts(t)) == t for t in texts)
+    for at in range(0, len(texts), 20):
+        some = texts[at : at + 20]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(some)]
+        assert got == [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
+    # a character is no white space for any of the libraries involved, or the text is not split
+    letters = [chr(c) for c in range(0x3200) if not packing.UNCLEAR_SPACE.match(chr(c)) and chr(c) not in "\t\n\x0b\x0c\r "]
+    assert not any(c.isspace() for c in letters)
+    got = encoder.encode([f"{c} b\n" for c in letters])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in plain.encode_batch([f"{c} b\n" for c in letters], add_special_tokens=False)]
 
 
 def test_packing_of_very_long_texts(spark):
     import public_tokenizers
 
     texts = {1: " " * 2_000_000 + "a", 2: "a" * 2_000_000, 3: "\n" * 1_000_000, 4: "word " * 400_000}
-    tokenizer = packing.tokenizer_of(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = packing.encoder_of(public_tokenizers.path("byte_bpe_50k.json")).tokenizer
     got = collections.Counter()
     for r in packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
         got[r["doc_id"]] += r["length"]
@@ -250,9 +263,10 @@ def test_toxicity_of_odd_texts(spark, messy, nothing):
 
 def test_labelled_sample_of_odd_labels(spark, messy, nothing):
     labels = spark.createDataFrame([(3, 0), (3, 1), (4, 0), (5, None), (None, 1), (6, 0), (6, 0), (999, 1)], "doc_id long, toxic int")
-    sample = toxicity.labelled_sample(messy, labels)
-    assert sample.column("toxic").to_pylist() == [1, 0, 0]
-    assert toxicity.labelled_sample(nothing, labels).num_rows == 0 and toxicity.labelled_sample(messy, labels.limit(0)).num_rows == 0
+    sample = toxicity.labelled_sample(messy, labels).orderBy("doc_id").collect()
+    assert [r["toxic"] for r in sample] == [1, 0, 0]
+    assert toxicity.labelled_sample(nothing, labels).count() == 0 and toxicity.labelled_sample(messy, labels.limit(0)).count() == 0
+    assert toxicity.train(nothing, labels).line[1] < -5
     assert toxicity.train(messy, labels.filter("toxic = 0")).line[1] < -5
 
 
@@ -260,11 +274,11 @@ def test_labelled_sample_is_bounded_by_whole_rows(spark, monkeypatch):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100).alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2600)
-    sample = toxicity.labelled_sample(docs, labels)
+    sample = toxicity.labelled_sample(docs, labels).toArrow()
     assert sorted(sample.column("toxic").to_pylist()) == [0] * 5 + [1] * 5
     assert set(sample.column("text").to_pylist()) == {"word " * 100}
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10)
-    assert sorted(toxicity.labelled_sample(docs, labels).column("toxic").to_pylist()) == [0, 1]
+    assert sorted(r["toxic"] for r in toxicity.labelled_sample(docs, labels).collect()) == [0, 1]
 
 
 def test_near_copies_against_brute_force():
@@ -300,7 +314,7 @@ def test_whole_sampled_texts_are_learned(spark):
     rows = [(i, f"{calm(2000)} idiot {calm(5)}", 1) for i in range(40)] + [(i, f"{calm(2000)} {calm(5)}", 0) for i in range(40, 100)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    sample = toxicity.labelled_sample(docs, labels)
+    sample = toxicity.labelled_sample(docs, labels).toArrow()
     assert sorted(sample.column("text").to_pylist()) == sorted(t for _, t, _ in rows)
     field = toxicity.fit(sample)
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, field).collect()}
