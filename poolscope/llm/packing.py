@@ -9,6 +9,7 @@ beside those it has filled, however many tasks read the texts.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -29,44 +30,64 @@ CAPACITY = 2048
 OPEN_BINS = 1024
 #: Tokens that one packing task takes, about.
 TASK_TOKENS = 1 << 25
-#: Longer texts are handed to the tokenizer in parts of about so many characters.
-PART_CHARS = 1 << 18
 #: Bytes of texts that are tokenised at once.
 SLICE_BYTES = 500_000
-#: Where a text may be cut without changing its ids: no token of a byte-level vocabulary holds a space after another character.
-SAFE_CUT = re.compile(r"(?<=\S) ")
+#: A byte-level tokenizer first splits a text into words, and no word holds white space after another character. So the
+#: ids of a text are those of these parts, one after the other, and of parts that come again they are remembered.
+PARTS = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+#: What only some libraries take for white space: a text with any of it is not split.
+UNCLEAR_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
+#: Parts that a worker remembers, and how long they are at most.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 40
 
-_tokenizers: dict[str, object] = {}
 
+class Encoder:
+    """The ids of texts as little-endian 32-bit bytes, by a file of the tokenizers library; Spark's tasks are the parallelism.
 
-def tokenizer_of(path: str):
-    """One tokenizer per worker process and file; Spark's tasks are the parallelism."""
-    if path not in _tokenizers:
+    Added tokens in a text count as such, none is put in.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        pre = told.get("pre_tokenizer") or {}
+        self.byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not told.get("normalizer")
+        # an added token may hold white space or take that around it
+        self.byte_level &= not any(t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in told["added_tokens"])
+
+    def parts(self, text: str) -> list[str]:
+        if not self.byte_level or UNCLEAR_SPACE.search(text):
+            return [text]
+        return PARTS.findall(text)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, cut = self.known, [self.parts(text) for text in texts]
+        new = list({part for some in cut for part in some if part not in known})
+        long = {part: None for part in new if len(part) > REMEMBERED_CHARS}
+        known.update(zip(new, self._ids(new)))
+        out = [b"".join([known[part] for part in some]) for some in cut]
+        for part in long:
+            del known[part]
+        return out
 
 
-def parts(text: str, size: int = PART_CHARS) -> list[str]:
-    """The text, cut at spaces after other characters into parts of `size` characters or, without such spaces, more."""
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = SAFE_CUT.search(text, at + size)
-        if cut is None:
-            break
-        out.append(text[at : cut.start()])
-        at = cut.start()
-    return [*out, text[at:]]
+_encoders: dict[str, Encoder] = {}
 
 
-def encoded(tokenizer, texts: list[str], size: int = PART_CHARS):
-    """The ids of each text as little-endian 32-bit bytes; added tokens in a text count as such, none is put in."""
-    cut = [parts(text, size) for text in texts]
-    got = iter(tokenizer.encode_batch_fast([p for some in cut for p in some], add_special_tokens=False))
-    for some in cut:
-        yield b"".join(array("I", next(got).ids).tobytes() for _ in some)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class OpenBins:
@@ -116,13 +137,13 @@ def tokenised(docs: DataFrame, tokenizer_path: str | None, capacity: int, separa
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        tokenizer = tokenizer_of(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        encoder = encoder_of(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
         end = array("I", [separator_id]).tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, to, texts in text_slices(batch.column(1), SLICE_BYTES):
                 rows = []
-                for doc_id, got in zip(ids[at:to], encoded(tokenizer, [t or "" for t in texts])):
+                for doc_id, got in zip(ids[at:to], encoder.encode([t or "" for t in texts])):
                     got += end
                     for k, (start, length) in enumerate(pieces(len(got) // 4, capacity)):
                         rows.append((doc_id, k, start, length, zlib.crc32(got[4 * start : 4 * (start + length)])))
