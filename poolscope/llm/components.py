@@ -14,8 +14,8 @@ MAX_ROUNDS = 40
 def _stars(edges: DataFrame) -> DataFrame:
     """One round: every node's larger neighbours, then its smaller ones, move to the smallest node in reach.
 
-    Least neighbours are written before they are joined, so that both sides of a join are plain exchanges: a node with
-    very many neighbours is pre-aggregated, and its join can be split.
+    Least neighbours are written before they are joined, so that both sides of the join are plain exchanges: a node with
+    very many larger neighbours is pre-aggregated, and its join can be split. Smaller neighbours are few after that.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -23,8 +23,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = large.filter("a <> b").distinct()
     down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    down = materialize(down, "down")
-    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
