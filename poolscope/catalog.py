@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolscope.functions import assets, pricing
@@ -13,30 +11,10 @@ from poolscope.functions.numeric import NANOS, exact_sum, ieee_div
 from poolscope.operators import actions, asof, buckets, checks, decode, depths, history, ledger, lookups
 from poolscope.operators.buckets import Buckets
 from poolscope.plans import adapters as A
+from poolscope.registry import oracle_sql, queries, query
 from poolscope.streaming import views
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f: Query) -> Query:
-        _queries[name] = f
-        if sql is not None:
-            _sql[name] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
+__all__ = ["oracle_sql", "queries"]
 
 def second(text: str) -> int:
     return int(datetime.fromisoformat(text).replace(tzinfo=UTC).timestamp())
@@ -97,17 +75,17 @@ def swap_history_sql(b: Buckets, where: str = "true") -> str:
 
 @query("q1_swap_history_day", swap_history_sql(DAYS))
 def q1_day(spark, d):
-    return history.swap_history(A.swap_events(spark, d), DAYS)
+    return history.swap_history(A.swap_events(spark, d, False, DAYS), DAYS)
 
 
 @query("q1_swap_history_month_pool", swap_history_sql(MONTHS, "pool = 'N.O'"))
 def q1_month(spark, d):
-    return history.swap_history(A.swap_events(spark, d), MONTHS, "N.O")
+    return history.swap_history(A.swap_events(spark, d, False, MONTHS), MONTHS, "N.O")
 
 
 @query("agg4_swap_history_odd_range", swap_history_sql(ODD))
 def q1_odd(spark, d):
-    return history.swap_history(A.swap_events(spark, d), ODD)
+    return history.swap_history(A.swap_events(spark, d, False, ODD), ODD)
 
 
 MARKS = [("%:aff1:%", None), ("%:aff3:%", second("1997-01-01") * NANOS)]
@@ -115,7 +93,7 @@ MARKS = [("%:aff1:%", None), ("%:aff3:%", second("1997-01-01") * NANOS)]
 
 @query("q2_marked_swap_history", swap_history_sql(MONTHS, f"(memo LIKE '%:aff1:%' OR (memo LIKE '%:aff3:%' AND block_timestamp < {MARKS[1][1]}))"))
 def q2(spark, d):
-    return history.swap_history(history.marked_swaps(A.swap_events(spark, d), MARKS), MONTHS)
+    return history.swap_history(history.marked_swaps(A.swap_events(spark, d, False, MONTHS), MARKS), MONTHS)
 
 
 @query(
@@ -126,7 +104,7 @@ def q2(spark, d):
 )
 def agg3(spark, d):
     agg = history.swaps_aggregate()
-    return agg.final(agg.rollup(A.swap_events(spark, d), "quarter"))
+    return agg.final(agg.rollup(A.swap_events(spark, d, False), "quarter"))
 
 
 @query(
@@ -135,12 +113,12 @@ def agg3(spark, d):
     sum({VOLUME})::BIGINT AS total_volume_e8 FROM swap_events WHERE {inside(DAYS)}""",
 )
 def agg15(spark, d):
-    return history.history_meta(history.swap_history(A.swap_events(spark, d), DAYS), ["total_swap_count", "total_volume_e8"])
+    return history.history_meta(history.swap_history(A.swap_events(spark, d, False, DAYS), DAYS), ["total_swap_count", "total_volume_e8"])
 
 
 @query("agg7_q24_unique_swappers", f"WITH {A.SWAPS} SELECT count(DISTINCT from_addr) AS unique_swappers FROM swap_events WHERE {inside(WINDOW)}")
 def q24(spark, d):
-    return lookups.unique_swappers(A.swap_events(spark, d), WINDOW)
+    return lookups.unique_swappers(A.swap_events(spark, d, True, WINDOW), WINDOW)
 
 
 @query(
@@ -149,7 +127,7 @@ def q24(spark, d):
     FROM swap_events WHERE {inside(WINDOW)} GROUP BY pool""",
 )
 def q24_fees(spark, d):
-    return lookups.window_sums(A.swap_events(spark, d), WINDOW, ["liq_fee_in_rune_e8"], keys=["pool"])
+    return lookups.window_sums(A.swap_events(spark, d, False, WINDOW), WINDOW, ["liq_fee_in_rune_e8"], keys=["pool"])
 
 
 NOW = second("1998-08-01")
@@ -164,7 +142,7 @@ NOW = second("1998-08-01")
     coalesce(sum(v) FILTER (block_timestamp >= {(NOW - 30 * 86400) * NANOS}), 0)::BIGINT AS volume_30d FROM s GROUP BY 1""",
 )
 def q14(spark, d):
-    return lookups.global_swap_stats(A.swap_events(spark, d), NOW)
+    return lookups.global_swap_stats(A.swap_events(spark, d, False), NOW)
 
 
 @query(
@@ -337,7 +315,7 @@ lagged AS (SELECT *, coalesce(lag(a) OVER w, 0) AS la, coalesce(lag(r) OVER w, 0
     f"WITH {EFFECTS} SELECT pool, block_timestamp, a::BIGINT AS asset_e8, r::BIGINT AS rune_e8, s::BIGINT AS synth_e8 FROM lagged WHERE a <> la OR r <> lr OR s <> ls",
 )
 def fold1(spark, d):
-    tables = {"swap_events": A.swap_events(spark, d), "stake_events": A.stake_events(spark, d), "unstake_events": A.unstake_events(spark, d)}
+    tables = {"swap_events": A.swap_events(spark, d, False), "stake_events": A.stake_events(spark, d), "unstake_events": A.unstake_events(spark, d)}
     return depths.block_depths(depths.depth_effects(tables))
 
 
@@ -347,18 +325,17 @@ def fold1(spark, d):
     WHERE block_timestamp <= (SELECT epoch_us(ts) * 1000 FROM events WHERE event_id = 500) GROUP BY pool""",
 )
 def join7(spark, d):
-    moment = A.block_log(spark, d).filter("height = 500").select(F.col("timestamp").alias("moment"))
-    rows = A.block_pool_depths(spark, d).join(F.broadcast(moment), F.col("block_timestamp") <= F.col("moment"))
-    return lookups.latest(rows, ["pool"], ["asset_e8", "rune_e8"])
+    rows = lookups.pool_state_at_height(A.block_pool_depths(spark, d), A.block_log(spark, d), 500)
+    return rows.select("pool", "asset_e8", "rune_e8")
 
 
 @query(
     "asof_join_previous_depth",
-    f"""WITH {A.DEPTHS}, q AS (SELECT event_type AS pool, event_id, epoch_us(ts) * 1000 - 1 AS block_timestamp FROM events WHERE user_id % 3 = 0)
+    f"""WITH {A.DEPTHS}, q AS (SELECT event_type AS pool, event_id, epoch_us(ts) * 1000 - 1 AS block_timestamp FROM events)
     SELECT q.pool, q.event_id, q.block_timestamp, d.asset_e8 FROM q ASOF LEFT JOIN depths d ON q.pool = d.pool AND q.block_timestamp >= d.block_timestamp""",
 )
 def asof_join(spark, d):
-    rows = A.table(spark, d, "events").filter("user_id % 3 = 0")
+    rows = A.table(spark, d, "events")
     left = rows.select(F.col("event_type").alias("pool"), "event_id", (A.nanos("ts") - 1).alias("block_timestamp"))
     return asof.as_of_join(left, A.block_pool_depths(spark, d), ["pool"], ["asset_e8"])
 
@@ -376,7 +353,7 @@ NODE_SQL = f"""{A.NODES}, {grid(EVENT_DAYS)},
 
 
 def active_before(spark, d):
-    return lookups.active_node_count(A.node_status_events(spark, d), EVENT_DAYS.start * NANOS).first()[0]
+    return lookups.active_node_count(A.node_status_events(spark, d), EVENT_DAYS.start * NANOS).scalar()
 
 
 @query("win14_weighted_node_count", f"WITH {NODE_SQL} SELECT start_s, end_s, weighted::BIGINT AS weighted_sum, weighted / (end_s - start_s)::DOUBLE AS average FROM grid JOIN w USING (start_s)")
@@ -459,13 +436,7 @@ def q22(spark, d):
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS bond FROM bonds""",
 )
 def join12(spark, d):
-    from pyspark.sql import Window
-
-    bonds = A.bond_events(spark, d)
-    sign = F.when(F.col("bond_type").isin("bond_paid", "bond_reward"), F.col("e8")).otherwise(-F.col("e8"))
-    log = A.block_log(spark, d).select("height", F.col("timestamp").alias("block_timestamp"))
-    order = Window.partitionBy("from_addr").orderBy("block_timestamp", "event_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return bonds.join(log, "block_timestamp").select("from_addr", "event_idx", F.sum(sign).over(order).alias("bond"))
+    return ledger.bond_replay(A.bond_events(spark, d), A.block_log(spark, d)).select("from_addr", "event_idx", "bond")
 
 
 @query("agg10_active_nodes", f"WITH {A.NODES} SELECT count(*) AS active_nodes FROM (SELECT node_addr, max_by(current, block_timestamp) AS c FROM nodes WHERE block_timestamp <= {MIDDLE} GROUP BY 1) WHERE c = 'Active'")
@@ -503,18 +474,6 @@ def agg16(spark, d):
     return pricing.bond_metrics(node_bonds(spark, d), 100000)
 
 
-@query(
-    "q15_network",
-    f"""WITH {METRICS}, {A.DEPTHS}, t AS (SELECT sum(v)::BIGINT AS pooled FROM (SELECT max_by(rune_e8, block_timestamp) AS v FROM depths GROUP BY pool)),
-    x AS (SELECT *, CASE WHEN act > pooled THEN (act - pooled) / (act + pooled)::DOUBLE ELSE 0 END AS share FROM
-      (SELECT max(total) FILTER (status = 'Active') AS act, max(total) FILTER (status = 'Standby') AS st, max(median) FILTER (status = 'Active') AS am FROM m), t)
-    SELECT act AS active_total, st AS standby_total, am AS active_median, pooled, round(share, 9) AS pool_share, trunc(1e9 / (2 * 520.0))::BIGINT AS block_reward FROM x""",
-)
-def q15(spark, d):
-    rows = lookups.network(A.block_pool_depths(spark, d), node_bonds(spark, d), 10**9, 2, 520, 100000)
-    return rows.select("active_total", "standby_total", "active_median", "pooled", F.round("pool_share", 9).alias("pool_share"), "block_reward")
-
-
 # --- balances and members ---
 
 
@@ -606,34 +565,14 @@ def mv6_units(spark, d):
     return rows.filter("units <> 0").select("member_id", "pool", "units")
 
 
-@query("mv6_q9_members")
-def mv6(spark, d):
-    return ledger.members(ledger.member_changes(A.stake_events(spark, d), A.unstake_events(spark, d), A.pending_liquidity_events(spark, d)))
-
-
 @query(
     "q9_member_ids",
     f"""WITH {A.LIQUIDITY}, u AS (SELECT member_id, pool, sum(u) AS units FROM (SELECT {MEMBER} AS member_id, pool, stake_units AS u FROM stake_events
     UNION ALL SELECT from_addr, pool, -stake_units FROM unstake_events) GROUP BY 1, 2) SELECT DISTINCT member_id FROM u WHERE units > 0""",
 )
 def q9(spark, d):
-    return mv6(spark, d).filter("units > 0").select("member_id").distinct()
-
-
-@query(
-    "q11_lp_detail",
-    f"""WITH {A.LIQUIDITY}, log AS (
-      SELECT block_timestamp, 'add' AS kind, sum(stake_units)::BIGINT AS units, sum(asset_e8)::BIGINT AS asset, sum(rune_e8)::BIGINT AS rune FROM stake_events
-      WHERE {MEMBER} = 'r10' AND pool = '1-URGENT' GROUP BY 1
-      UNION ALL SELECT block_timestamp, 'withdraw', sum(-stake_units)::BIGINT, sum(-emit_asset_e8)::BIGINT, sum(-emit_rune_e8)::BIGINT FROM unstake_events
-      WHERE from_addr = 'r10' AND pool = '1-URGENT' GROUP BY 1)
-    SELECT block_timestamp, kind, units, asset, rune, sum(units) OVER (ORDER BY block_timestamp, kind)::BIGINT AS held FROM log""",
-)
-def q11(spark, d):
-    stakes, unstakes = A.stake_events(spark, d), A.unstake_events(spark, d)
-    changes = history.unit_changes(stakes, unstakes)
-    rows = lookups.lp_detail(stakes, unstakes, A.swap_events(spark, d), A.reward_entries(spark, d), changes, "r10", "1-URGENT")
-    return rows.select("block_timestamp", "kind", "units", "asset", "rune", "held")
+    rows = ledger.members(ledger.member_changes(A.stake_events(spark, d), A.unstake_events(spark, d), A.pending_liquidity_events(spark, d)))
+    return rows.filter("units > 0").select("member_id").distinct()
 
 
 # --- actions ---
@@ -708,31 +647,6 @@ def srt2(spark, d):
 # --- pools, names, constants, blocks ---
 
 
-@query(
-    "q12_pools",
-    f"""WITH {A.DEPTHS}, l AS (SELECT pool, max_by(struct_pack(a := asset_e8, r := rune_e8, s := synth_e8), block_timestamp) AS v FROM depths WHERE block_timestamp <= {EVENTS[1] * NANOS} GROUP BY 1)
-    SELECT pool, v.a AS asset_e8, v.r AS rune_e8, v.s AS synth_e8, round(CASE WHEN v.a = 0 THEN 0 ELSE v.r / v.a::DOUBLE END, 9) AS asset_price,
-      CASE WHEN pool IN ('click', 'view') THEN 'available' ELSE 'staged' END AS status FROM l""",
-)
-def q12(spark, d):
-    depth = A.block_pool_depths(spark, d)
-    status = depth.filter(F.col("pool").isin("click", "view")).select(F.col("pool").alias("asset"), F.lit("Available").alias("status"), "block_timestamp", "event_idx")
-    changes = history.unit_changes(A.stake_events(spark, d), A.unstake_events(spark, d))
-    rows = lookups.pool_summary(depth, A.swap_events(spark, d), changes, status, EVENTS[1])
-    return rows.select("pool", *history.DEPTHS, F.round("asset_price", 9).alias("asset_price"), "status")
-
-
-@query(
-    "q13_pool_stats",
-    f"""WITH {A.SWAPS} SELECT pool, count(*) AS swap_count, sum(CASE WHEN direction % 2 = 1 THEN {VOLUME} ELSE 0 END)::BIGINT AS to_rune_volume,
-    sum(CASE WHEN direction % 2 = 0 THEN {VOLUME} ELSE 0 END)::BIGINT AS to_asset_volume, sum(liq_fee_in_rune_e8)::BIGINT AS total_fees,
-    count(DISTINCT from_addr) AS unique_swappers FROM swap_events WHERE {inside(WINDOW)} GROUP BY 1""",
-)
-def q13(spark, d):
-    rows = lookups.pool_stats(A.swap_events(spark, d), A.stake_events(spark, d), A.unstake_events(spark, d), A.block_pool_depths(spark, d), WINDOW)
-    return rows.filter("swap_count > 0").select("pool", "swap_count", "to_rune_volume", "to_asset_volume", "total_fees", "unique_swappers")
-
-
 ENTRIES = "e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, chain ORDER BY block_timestamp DESC) AS r FROM names) WHERE r = 1)"
 
 
@@ -823,7 +737,7 @@ def fn6(spark, d):
 
 @query("agg6_exact_totals", f"WITH {A.SWAPS} SELECT pool, sum(from_e8::HUGEINT)::BIGINT AS total, min(from_e8) AS least, max(from_e8) AS most, count(*) AS n FROM swap_events GROUP BY pool")
 def agg6(spark, d):
-    return A.swap_events(spark, d).groupBy("pool").agg(exact_sum(F.col("from_e8")).alias("total"), F.min("from_e8").alias("least"), F.max("from_e8").alias("most"), F.count(F.lit(1)).alias("n"))
+    return A.swap_events(spark, d, False).groupBy("pool").agg(exact_sum(F.col("from_e8")).alias("total"), F.min("from_e8").alias("least"), F.max("from_e8").alias("most"), F.count(F.lit(1)).alias("n"))
 
 
 # --- decoding, checks, streams ---
@@ -917,3 +831,6 @@ def str2(spark, d):
 @query("str4_kind_totals", f"WITH k AS ({KEYED}) SELECT kind, count(*) AS n, sum(rune_e8)::BIGINT AS rune_e8 FROM k GROUP BY 1")
 def str4(spark, d):
     return views.kind_totals(keyed_events(spark, d))
+
+
+from poolscope import catalog_events, catalog_views  # noqa: E402, F401 - they register more queries

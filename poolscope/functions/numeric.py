@@ -35,6 +35,16 @@ def int_div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, b)
 
 
+def ts_nano(t: Column) -> Column:
+    """Timestamp to nanoseconds since 1970."""
+    return F.unix_micros(t.cast("timestamp")) * 1000
+
+
+def nano_ts(t: Column) -> Column:
+    """Nanoseconds since 1970 to timestamp, in whole microseconds."""
+    return F.timestamp_micros(int_div(t, 1000))
+
+
 def exact_sum(x: Column) -> Column:
     """Sum of longs that cannot overflow midway; an error only if the total leaves 64 bits."""
     return F.sum(x.cast("decimal(38,0)")).cast("long")

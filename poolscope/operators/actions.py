@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolscope.functions.assets import RUNE, affiliate, coins, transaction, transaction_list
@@ -74,18 +74,28 @@ def withdraw_actions(unstakes: DataFrame) -> DataFrame:
     return _action(unstakes, "withdraw", tx, _present(source, target), F.array(tx), F.array("pool"), F.array("pool"), ins, meta=meta)
 
 
+def _marked(swaps: DataFrame) -> DataFrame:
+    """Swaps with whether all rows of their tx and block pay the same asset. What is made of it shares one exchange."""
+    same = Window.partitionBy("tx", "block_timestamp")
+    return swaps.withColumn("__one", F.min("from_asset").over(same) == F.max("from_asset").over(same))
+
+
 def single_swaps(swaps: DataFrame) -> DataFrame:
-    """Swaps with no row of the same tx and block that pays another asset: one grouped pass instead of an anti self-join."""
-    kinds = swaps.groupBy("tx", "block_timestamp").agg((F.min("from_asset") == F.max("from_asset")).alias("single"))
-    return swaps.join(kinds, ["tx", "block_timestamp"]).filter("single").select(*swaps.columns)
+    """Swaps with no row of the same tx and block that pays another asset."""
+    return _marked(swaps).filter("__one").drop("__one")
 
 
 def double_swaps(swaps: DataFrame) -> DataFrame:
-    """Both legs of swaps through the base asset, columns prefixed with a_ and b_."""
-    legs = lambda p: swaps.select(*[F.col(c).alias(p + c) for c in swaps.columns])
-    a, b = legs("a_").filter(F.col("a_to_asset") == RUNE), legs("b_").filter(F.col("b_from_asset") == RUNE)
-    same = (F.col("a_tx") == F.col("b_tx")) & (F.col("a_block_timestamp") == F.col("b_block_timestamp"))
-    return a.join(b, same & (F.col("a_from_asset") != F.col("b_to_asset")))
+    """Both legs of swaps through the base asset, columns prefixed with a_ and b_.
+
+    The legs pay different assets, so they are no single swaps; of one tx and block there are a few at most.
+    """
+    leg = F.struct(*swaps.columns)
+    legs = lambda hit: F.collect_list(F.when(hit, leg))
+    groups = _marked(swaps).filter("not __one").groupBy("tx", "block_timestamp")
+    groups = groups.agg(legs(F.col("to_asset") == RUNE).alias("a"), legs(F.col("from_asset") == RUNE).alias("b"))
+    pairs = groups.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b")).filter("a.from_asset <> b.to_asset")
+    return pairs.select(*[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("a", "b") for c in swaps.columns])
 
 
 def swap_actions(swaps: DataFrame) -> DataFrame:
@@ -176,20 +186,23 @@ def with_height(actions: DataFrame, block_log: DataFrame) -> DataFrame:
     return actions.join(log, "block_timestamp", "left").withColumn("height", F.coalesce("height", F.lit(0).cast("long")))
 
 
-def build_actions(tables: dict[str, DataFrame]) -> DataFrame:
-    """All actions from the event tables that are given."""
+def base_actions(tables: dict[str, DataFrame]) -> DataFrame:
+    """All actions from the event tables that are given, without their outbound transactions and fees."""
     stakes, pending = tables["stake_events"], tables["pending_liquidity_events"]
-    parts = [add_liquidity_actions(stakes, pending)]
     makers = {
         "switch_events": switch_actions, "refund_events": refund_actions, "add_events": donate_actions,
         "unstake_events": withdraw_actions, "swap_events": swap_actions,
     }
-    parts += [make(tables[name]) for name, make in makers.items() if name in tables]
-    actions = parts[0]
-    for part in parts[1:]:
-        actions = actions.unionByName(part)
-    actions = trim_pending(actions, stakes, pending)
-    actions = attach_outbounds(actions, tables["outbound_events"], tables["fee_events"])
+    actions = trim_pending(add_liquidity_actions(stakes, pending), stakes, pending)
+    for name, make in makers.items():
+        if name in tables:
+            actions = actions.unionByName(make(tables[name]))
+    return actions
+
+
+def build_actions(tables: dict[str, DataFrame]) -> DataFrame:
+    """All actions, whole."""
+    actions = attach_outbounds(base_actions(tables), tables["outbound_events"], tables["fee_events"])
     return with_height(actions, tables["block_log"]) if "block_log" in tables else actions
 
 
@@ -265,3 +278,15 @@ def page(actions: DataFrame, limit: int = MAX_PAGE, offset: int = 0) -> DataFram
         raise BadRequest(f"limit out of range: {limit}, allowed [1..{MAX_PAGE}]")
     ordered = actions.orderBy(F.desc("block_timestamp"), F.asc_nulls_last("main_ref"), "type", F.to_json("ins"))
     return ordered.offset(offset).limit(limit)
+
+
+def page_with_total(actions: DataFrame, outbounds: DataFrame, fees: DataFrame, limit: int = MAX_PAGE, offset: int = 0) -> DataFrame:
+    """A page of base actions, whole and with their status, each row with the number of all actions.
+
+    The order of a page rests on the actions alone, so outbound transactions and fees are looked up for the page only.
+    """
+    rows = page(actions, limit, offset)
+    refs = F.broadcast(rows.select("main_ref").distinct())
+    own = lambda df, ref: df.join(refs, F.col(ref) == F.col("main_ref"), "left_semi")
+    whole = with_status(attach_outbounds(rows, own(outbounds, "in_tx"), own(fees, "tx")))
+    return whole.join(F.broadcast(actions.agg(F.count(F.lit(1)).alias("total"))))

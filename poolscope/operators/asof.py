@@ -17,13 +17,67 @@ def as_of(table: DataFrame, keys: list[str], moment: int | Column, values: list[
     return rows.groupBy(*keys).agg(F.max_by(F.struct("block_timestamp", *values), order).alias("r")).select(*keys, "r.*")
 
 
+#: Length of the slices of time in which running values are ordered.
+SLICE_NANOS = 86_400 * NANOS
+
+
+def running(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    values: list[str],
+    reset: Column | None = None,
+    steady: list[str] | None = None,
+    slice_nanos: int = SLICE_NANOS,
+) -> DataFrame:
+    """Replace values by their running sums per key in order of time; a row where reset holds starts the sums anew after it.
+
+    steady are values whose sums run on over resets.
+
+    Rows are ordered within slices of time only, and what is carried from slice to slice is one row each, so a hot key
+    is spread over as many tasks as it has slices. Adds slice, and opening: the struct of sums at the slice's start.
+    order starts with block_timestamp.
+    """
+    marks = rows.withColumn("slice", F.call_function("div", F.col("block_timestamp"), F.lit(slice_nanos)))
+    inner = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.coalesce(reset.cast("long"), F.lit(0)) if reset is not None else F.lit(0).cast("long")
+    marks = marks.withColumn("__life", F.sum(hit).over(inner) if reset is not None else hit)
+    life = Window.partitionBy(*keys, "slice", "__life").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    anew = (hit == 1) if reset is not None else F.lit(False)
+    steady = steady or []
+    sums = {v: F.sum(F.when(anew, 0).otherwise(F.coalesce(v, F.lit(0)))).over(life).cast("long") for v in values}
+    marks = marks.withColumns(sums | {v: F.sum(F.coalesce(v, F.lit(0))).over(inner).cast("long") for v in steady})
+    ends = marks.groupBy(*keys, "slice").agg(F.max_by(F.struct("__life", *values, *steady), F.struct(*order)).alias("e"))
+    ends = ends.select(*keys, "slice", "e.*")
+    upto = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("__age", F.sum("__life").over(upto))
+    aged = Window.partitionBy(*keys, "__age").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    totals = [F.sum(v).over(aged).cast("long").alias(v) for v in values] + [F.sum(v).over(upto).cast("long").alias(v) for v in steady]
+    closing = ends.select(*keys, "slice", F.struct(*totals).alias("c"))
+    before = F.lag("c").over(Window.partitionBy(*keys).orderBy("slice"))
+    zero = F.struct(*[F.lit(0).cast("long").alias(v) for v in [*values, *steady]])
+    opening = closing.select(*keys, "slice", F.coalesce(before, zero).alias("opening"))
+    joined = marks.join(opening, [*keys, "slice"])
+    carried = {v: F.col(v) + F.when(F.col("__life") == 0, F.col("opening")[v]).otherwise(0) for v in values}
+    carried |= {v: F.col(v) + F.col("opening")[v] for v in steady}
+    return joined.withColumns(carried).drop("__life")
+
+
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Each left row with the newest right values at or before its block_timestamp, per key; one shuffle, no range join."""
+    """Each left row with the newest right values at or before its block_timestamp, per key; no range join.
+
+    Rows are ordered within slices of time; from slice to slice one row a key is carried.
+    """
     marked = left.withColumn("__left", F.lit(True)).withColumn("__v", F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema[0].dataType))
     other = right.select(*keys, "block_timestamp", F.struct(*values).alias("__v")).withColumn("__left", F.lit(False))
     both = marked.unionByName(other, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy("block_timestamp", "__left").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("__v", F.last("__v", ignorenulls=True).over(upto)).filter("__left")
+    both = both.withColumn("__slice", F.call_function("div", F.col("block_timestamp"), F.lit(SLICE_NANOS)))
+    inner = Window.partitionBy(*keys, "__slice").orderBy("block_timestamp", "__left").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.groupBy(*keys, "__slice").agg(F.max_by("__v", F.when(~F.col("__left"), F.col("block_timestamp"))).alias("__end"))
+    older = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    opening = ends.select(*keys, "__slice", F.last("__end", ignorenulls=True).over(older).alias("__open"))
+    filled = both.withColumn("__v", F.last("__v", ignorenulls=True).over(inner)).filter("__left").join(opening, [*keys, "__slice"])
+    filled = filled.withColumn("__v", F.coalesce("__v", "__open"))
     return filled.select(*left.columns, *[F.col("__v")[v].alias(v) for v in values])
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolscope.functions.assets import folded_address, parse_coin, parse_coin_list, parse_lower_coin, swap_direction
 from poolscope.schemas import table_schema
@@ -56,11 +57,16 @@ IGNORED = [
 NOT_AMOUNTS = {"rewards": ["bond_reward"], "slash": ["pool"]}
 
 
-def flatten_blocks(blocks: DataFrame) -> DataFrame:
-    """One row per event in block order: begin, transactions, end; event_idx counts within the block from 0."""
-    events = F.concat(
-        F.coalesce("begin", F.array()), F.flatten(F.transform(F.coalesce("txs", F.array()), lambda t: t["events"])), F.coalesce("end", F.array())
-    )
+def flatten_blocks(blocks: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """One row per event in block order: begin, transactions, end, extra events; event_idx counts within the block from 0.
+
+    extra: (height, events) of events that belong at the end of their block.
+    """
+    parts = [F.coalesce("begin", F.array()), F.flatten(F.transform(F.coalesce("txs", F.array()), lambda t: t["events"])), F.coalesce("end", F.array())]
+    if extra is not None:
+        blocks = blocks.join(extra.select("height", F.col("events").alias("__extra")), "height", "left")
+        parts.append(F.coalesce("__extra", F.array()))
+    events = F.concat(*parts)
     rows = blocks.select("height", F.col("time_ns").alias("block_timestamp"), F.posexplode(events).alias("event_idx", "event"))
     return rows.select("height", "block_timestamp", F.col("event_idx").cast("long").alias("event_idx"), "event.type", "event.attributes")
 
@@ -85,18 +91,36 @@ def _field(kind: str, keys: list[str]) -> tuple[list[Column], Column]:
     return [raw], F.lit(False)
 
 
-def decode(events: DataFrame, event_type: str) -> DataFrame:
-    """The fields of all events of a type, with `malformed` naming the bad fields (empty if none)."""
-    table, fields = FIELDS[event_type]
-    rows = events.filter(F.col("type") == event_type)
+def _fields(event_type: str) -> tuple[dict[str, Column], Column]:
+    """The columns of an event type, and the names of its bad fields."""
     columns, bad = {}, []
-    for part in fields.split("; "):
+    for part in FIELDS[event_type][1].split("; "):
         names, _, source = part.partition("=")
         source, _, kind = source.rpartition(":") if source.rpartition(":")[2] in ("long", "double", "bool", "coin", "lowcoin") else (source, "", "text")
         values, malformed = _field(kind, source.split("|"))
         columns |= dict(zip(names.split(","), values))
         bad.append(F.when(malformed, F.lit(names)))
-    out = rows.select("*", F.array_compact(F.array(*bad)).alias("malformed"), *[v.alias(k) for k, v in columns.items()])
+    if event_type == "swap":
+        bad.append(F.when(swap_direction(columns["from_asset"], columns["to_asset"]).isNull(), F.lit("direction")))
+    if event_type in ("add_liquidity", "pending_liquidity"):
+        bad.append(F.when(F.size(_asset_ids()) > 1, F.lit("txid")))
+    return columns, F.array_compact(F.array(*bad))
+
+
+def _ids() -> Column:
+    return F.filter("attributes", lambda a: F.lower(a["key"]).endswith("_txid"))
+
+
+def _asset_ids() -> Column:
+    return F.filter(_ids(), lambda a: F.lower(a["key"]) != "thor_txid")
+
+
+def decode(events: DataFrame, event_type: str) -> DataFrame:
+    """The fields of all events of a type, with `malformed` naming the bad fields (empty if none)."""
+    table, _ = FIELDS[event_type]
+    rows = events.filter(F.col("type") == event_type)
+    columns, malformed = _fields(event_type)
+    out = rows.select("*", malformed.alias("malformed"), *[v.alias(k) for k, v in columns.items()])
     out = _extra(out, event_type)
     amounts = [f.name for f in table_schema(table).fields if f.name in columns and f.dataType.simpleString() == "bigint"]
     return out.fillna(0, [c for c in amounts if c not in ("event_idx", "block_timestamp")])
@@ -109,23 +133,18 @@ def _extra(rows: DataFrame, event_type: str) -> DataFrame:
             rows = rows.withColumn(side, folded_address(F.col(side), F.col("chain")))
     if event_type == "swap":
         rows = rows.withColumn("_direction", swap_direction(F.col("from_asset"), F.col("to_asset")))
-        wrong = F.when(F.col("_direction").isNull(), F.array(F.lit("direction"))).otherwise(F.array().cast("array<string>"))
-        rows = rows.withColumn("malformed", F.concat("malformed", wrong))
     if event_type == "refund":
         listed = parse_coin_list(attribute("coin"))
         for k, names in enumerate((("asset", "asset_e8"), ("asset_2nd", "asset_2nd_e8"))):
             coin = F.get(listed, F.lit(k))
             rows = rows.withColumn(names[0], coin["asset"]).withColumn(names[1], F.coalesce(coin["e8"], F.lit(0)))
     if event_type in ("add_liquidity", "pending_liquidity"):
-        ids = F.filter("attributes", lambda a: F.lower(a["key"]).endswith("_txid"))
-        rune = F.filter(ids, lambda a: F.lower(a["key"]) == "thor_txid")
-        other = F.filter(ids, lambda a: F.lower(a["key"]) != "thor_txid")
+        rune = F.filter(_ids(), lambda a: F.lower(a["key"]) == "thor_txid")
+        other = _asset_ids()
         rows = rows.withColumn("rune_tx", F.try_element_at(rune, F.lit(-1))["value"])
         rows = rows.withColumn("asset_tx", F.try_element_at(other, F.lit(-1))["value"])
         rows = rows.withColumn("asset_chain", F.upper(F.regexp_replace(F.try_element_at(other, F.lit(-1))["key"], "(?i)_txid$", "")))
         rows = rows.withColumn("asset_addr", folded_address(F.col("asset_addr"), F.col("asset_chain")))
-        twice = F.when(F.size(other) > 1, F.array(F.lit("txid"))).otherwise(F.array().cast("array<string>"))
-        rows = rows.withColumn("malformed", F.concat("malformed", twice))
     return rows
 
 
@@ -137,13 +156,12 @@ def good(decoded: DataFrame, event_type: str) -> DataFrame:
 
 
 def dead_letters(events: DataFrame) -> DataFrame:
-    """Events with malformed fields, and of types that are neither known nor ignored, with the reason."""
-    known = [*FIELDS, "slash", *IGNORED]
-    unknown = events.filter(~F.col("type").isin(known)).select(*events.columns, F.array(F.lit("unknown type")).alias("malformed"))
+    """Events with malformed fields, and of types that are neither known nor ignored, with the reason; one pass."""
+    kind = F.col("type")
+    reason = F.when(~kind.isin([*FIELDS, "slash", *IGNORED]), F.array(F.lit("unknown type")))
     for event_type in FIELDS:
-        bad = decode(events, event_type).filter(F.size("malformed") > 0)
-        unknown = unknown.unionByName(bad.select(*events.columns, "malformed"))
-    return unknown
+        reason = reason.when(kind == event_type, _fields(event_type)[1])
+    return events.withColumn("malformed", reason).filter(F.size("malformed") > 0)
 
 
 def open_amounts(events: DataFrame, event_type: str) -> DataFrame:
@@ -166,39 +184,76 @@ def slash_amounts(events: DataFrame) -> DataFrame:
     return got.select(F.col("event_pool").alias("pool"), "asset", F.col("amount").alias("asset_e8"), "event_idx", "block_timestamp")
 
 
-def decode_all(events: DataFrame) -> dict[str, DataFrame]:
-    """Every event table, lazily; tables that are never read cost nothing."""
-    out = {table: good(decode(events, kind), kind) for kind, (table, _) in FIELDS.items()}
-    out["rewards_event_entries"] = rewards_entries(events)
-    out["slash_amounts"] = slash_amounts(events)
-    return out
+def decode_all(events: DataFrame, tables: list[str] | None = None) -> dict[str, DataFrame]:
+    """Every event table, or those of the given names, lazily; tables that are never read cost only their planning."""
+    others = {"rewards_event_entries": rewards_entries, "slash_amounts": slash_amounts}
+    wanted = lambda name: tables is None or name in tables
+    out = {table: good(decode(events, kind), kind) for kind, (table, _) in FIELDS.items() if wanted(table)}
+    return out | {name: make(events) for name, make in others.items() if wanted(name)}
 
 
 def corrected(
-    events: DataFrame, extra: DataFrame | None = None, discard: DataFrame | None = None, patches: DataFrame | None = None
+    events: DataFrame,
+    extra: DataFrame | None = None,
+    discard: DataFrame | None = None,
+    patches: DataFrame | None = None,
+    times: DataFrame | None = None,
+    chain_id: str | None = None,
 ) -> DataFrame:
-    """Apply correction tables: add events, drop (height, type, tx) rows, replace attributes of (height, tx, key).
+    """Apply correction tables: add events, drop (height, type, tx) rows, replace attributes of (height, tx, key), and
+    set the time of blocks.
 
-    extra has the columns of events; discard is (height, type, tx); patches is (height, tx, key, value). tx is the
-    event's id attribute.
+    extra has the columns of events; discard is (height, type, tx); patches is (height, tx, key, value); times is
+    (height, block_timestamp). tx is the event's id, tx_id, in_tx_id or tx attribute, the first that it has. Tables with a chain_id column hold the corrections of
+    several chains, of which those of the given one are applied; without a chain_id no such row is. events can be a
+    stream, but for extra events, which then are a stream too.
     """
-    tx = attribute("id", "tx_id", "in_tx_id", "tx")
+
+    def own(table):
+        if table is None or "chain_id" not in table.columns:
+            return table
+        return table.filter(F.col("chain_id") == F.lit(chain_id)).drop("chain_id")
+
+    extra, discard, patches, times = map(own, (extra, discard, patches, times))
+    tx = F.coalesce(*[attribute(name) for name in ("id", "tx_id", "in_tx_id", "tx")])
+    if times is not None:
+        moved = times.select("height", F.col("block_timestamp").alias("__time"))
+        joined = events.join(moved, "height", "left").withColumn("block_timestamp", F.coalesce("__time", "block_timestamp"))
+        events = joined.select(*events.columns)
     if discard is not None:
         marked = events.withColumn("tx", tx)
-        events = marked.join(F.broadcast(discard), ["height", "type", "tx"], "left_anti").select(*events.columns)
+        events = marked.join(discard, ["height", "type", "tx"], "left_anti").select(*events.columns)
     if patches is not None:
         new = patches.groupBy("height", "tx").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("new"))
-        joined = events.withColumn("tx", tx).join(F.broadcast(new), ["height", "tx"], "left")
+        joined = events.withColumn("tx", tx).join(new, ["height", "tx"], "left")
         value = lambda a: F.coalesce(F.try_element_at("new", a["key"]), a["value"])
         patched = F.transform("attributes", lambda a: F.struct(a["key"].alias("key"), value(a).alias("value")))
         events = joined.withColumn("attributes", patched).select(*events.columns)
     return events if extra is None else events.unionByName(extra)
 
 
+# Fixed value: what stands before a text that should be base64 and is not.
+NO_BASE64 = "ERROR during base64 decoding: "
+
+
 def unwrap_base64(value: Column) -> Column:
-    """Base64 text decoded where it is valid and printable, else unchanged."""
-    decoded = F.try_validate_utf8(F.try_to_binary(value, F.lit("base64")).cast("string"))
-    return F.when(decoded.rlike(r"^[\x20-\x7e]+$") & (F.length(value) > 0), decoded).otherwise(value)
+    """Base64 text decoded; a text that is none is kept behind a mark."""
+    decoded = F.try_to_binary(value, F.lit("base64")).cast("string")
+    return F.when(value.isNotNull(), F.coalesce(decoded, F.concat(F.lit(NO_BASE64), value)))
+
+
+def unwrapped(value: Column, kind: T.DataType, names: tuple[str, ...] = ("key", "value", "data")) -> Column:
+    """A nested column with every text field of the given names decoded from base64, at any depth of structs and arrays."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: unwrapped(x, kind.elementType, names))
+    if not isinstance(kind, T.StructType):
+        return value
+    fields = []
+    for field in kind.fields:
+        inner = value[field.name]
+        text = field.name in names and isinstance(field.dataType, T.StringType)
+        fields.append((unwrap_base64(inner) if text else unwrapped(inner, field.dataType, names)).alias(field.name))
+    return F.when(value.isNotNull(), F.struct(*fields))
 
 
 def squashed_attributes(attributes: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from poolscope.functions import pricing
 from poolscope.functions.assets import ASSET_TO_RUNE, RUNE_TO_ASSET, RUNE_TO_SYNTH, SYNTH_TO_RUNE, coin_type, is_rune, native_asset
 from poolscope.functions.numeric import ieee_div
+from poolscope.operators.asof import running
 
 EFFECT = ["pool", "asset", "rune", "synth", "reset", "event_idx", "block_timestamp"]
 
@@ -62,24 +63,24 @@ def depth_effects(t: dict[str, DataFrame]) -> DataFrame:
 
 def running_depths(effects: DataFrame) -> DataFrame:
     """Balances right after each effect: running sums that start anew at each reset (synths run on)."""
-    order = Window.partitionBy("pool").orderBy("block_timestamp", "event_idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = effects.withColumn("life", F.sum(F.col("reset").cast("int")).over(order))
-    life = Window.partitionBy("pool", "life").orderBy("block_timestamp", "event_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(
-        "pool", "block_timestamp", "event_idx",
-        F.sum("asset").over(life).alias("asset_e8"), F.sum("rune").over(life).alias("rune_e8"), F.sum("synth").over(order).alias("synth_e8"),
-    )
+    return _running(effects).select("pool", "block_timestamp", "event_idx", *BALANCES)
+
+
+BALANCES = ["asset_e8", "rune_e8", "synth_e8"]
+
+
+def _running(effects: DataFrame) -> DataFrame:
+    """running_depths with slice and opening."""
+    sums = effects.withColumnsRenamed({"asset": "asset_e8", "rune": "rune_e8", "synth": "synth_e8"})
+    return running(sums, ["pool"], ["block_timestamp", "event_idx"], BALANCES[:2], F.col("reset"), BALANCES[2:])
 
 
 def block_depths(effects: DataFrame) -> DataFrame:
     """Balances at the end of each block that changed them: one row per (pool, block), only where a value differs."""
     last = F.max_by(F.struct("asset_e8", "rune_e8", "synth_e8"), "event_idx")
-    ends = running_depths(effects).groupBy("pool", "block_timestamp").agg(last.alias("d")).select("pool", "block_timestamp", "d.*")
-    order = Window.partitionBy("pool").orderBy("block_timestamp")
-    now = F.struct("asset_e8", "rune_e8", "synth_e8")
-    rows = ends.withColumn("__before", F.lag(now).over(order))
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("asset_e8", "rune_e8", "synth_e8")])
-    return rows.filter(~now.eqNullSafe(F.coalesce("__before", zero))).drop("__before")
+    rows = _running(effects).groupBy("pool", "slice", "block_timestamp").agg(last.alias("d"), F.first("opening").alias("opening"))
+    before = F.coalesce(F.lag("d").over(Window.partitionBy("pool", "slice").orderBy("block_timestamp")), F.col("opening"))
+    return rows.withColumn("before", before).filter("d <> before").select("pool", "block_timestamp", "d.*")
 
 
 def swap_usd_prices(swaps: DataFrame, running: DataFrame, block_prices: DataFrame) -> DataFrame:

@@ -156,6 +156,21 @@ def candles(depths: DataFrame, buckets: Buckets, pool: str) -> DataFrame:
     return dense.select("start_s", "end_s", "pool", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 
 
+def ohlcv(depths: DataFrame, swaps: DataFrame, buckets: Buckets, pool: str, usd_pools: list[str]) -> DataFrame:
+    """Candles with the swap volume of each bucket and the pool's liquidity in USD at its end, truncated.
+
+    Liquidity is asset depth at the closing price plus base-asset depth at its USD price, 0 where there is no USD price.
+    """
+    rows = candles(depths, buckets, pool)
+    volume = swap_history(swaps, buckets, pool).select("start_s", F.col("total_volume_e8").alias("volume"))
+    ends = depth_history(depths, buckets, [pool]).select("start_s", *DEPTHS[:2])
+    usd = usd_history(depths, buckets, usd_pools)
+    rows = rows.join(volume, "start_s", "left").join(ends, "start_s", "left").join(usd, "start_s", "left")
+    value = F.col("asset_e8") * F.col("close") + F.col("rune_e8") * F.col("rune_price_usd")
+    liquidity = F.when(F.isnan(value) | value.isNull(), F.lit(0)).otherwise(value.cast("long"))
+    return rows.select("start_s", "end_s", "pool", "open", "high", "low", "close", "high_s", "low_s", "volume", liquidity.alias("liquidity"))
+
+
 def earnings_history(
     swaps: DataFrame, rewards: DataFrame, entries: DataFrame, node_changes: DataFrame, active_before: int | Column, buckets: Buckets
 ) -> DataFrame:

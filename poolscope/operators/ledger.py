@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolscope.operators.asof import as_of
+from poolscope.operators.asof import SLICE_NANOS, as_of, running
 
 
 def balance_deltas(transfers: DataFrame) -> DataFrame:
@@ -22,8 +22,9 @@ def balance_deltas(transfers: DataFrame) -> DataFrame:
 
 def balances(transfers: DataFrame) -> DataFrame:
     """Balance of each (address, asset) after each block that changes it."""
-    upto = Window.partitionBy("addr", "asset").orderBy("block_timestamp").rowsBetween(Window.unboundedPreceding, 0)
-    return balance_deltas(transfers).select("addr", "asset", "block_timestamp", F.sum("delta").over(upto).alias("balance"))
+    # most addresses have few rows: slices of a month are still small for the busy ones
+    rows = running(balance_deltas(transfers), ["addr", "asset"], ["block_timestamp"], ["delta"], slice_nanos=30 * SLICE_NANOS)
+    return rows.select("addr", "asset", "block_timestamp", F.col("delta").alias("balance"))
 
 
 def balances_at(transfers: DataFrame, moment: int, address: str | None = None) -> DataFrame:
@@ -40,10 +41,23 @@ def current_balances(log: DataFrame) -> DataFrame:
     return log.groupBy("addr", "asset").agg(F.max_by("balance", "block_timestamp").alias("balance"))
 
 
+def balances_of_slice(log: DataFrame, slice_rows: DataFrame) -> DataFrame:
+    """Current balances of the keys that occur in a slice of a balance log."""
+    return current_balances(log.join(slice_rows.select("addr", "asset").distinct(), ["addr", "asset"], "left_semi"))
+
+
 def balance_as_of(log: DataFrame, moment: int | Column) -> DataFrame:
     return as_of(log, ["addr", "asset"], moment, ["balance"]).select("addr", "asset", "balance")
 
 
+def bond_replay(bonds: DataFrame, block_log: DataFrame) -> DataFrame:
+    """Each bond event with its block's height and the address's bond after it."""
+    sign = F.when(F.col("bond_type").isin("bond_paid", "bond_reward"), F.col("e8")).otherwise(-F.col("e8"))
+    log = block_log.select("height", F.col("timestamp").alias("block_timestamp"))
+    rows = bonds.join(log, "block_timestamp").withColumn("bond", sign)
+    return running(rows, ["from_addr"], ["block_timestamp", "event_idx"], ["bond"]).drop("slice", "opening")
+
+
 CHANGE = (
     "t long, kind string, idx long, units long, asset_addr string, rune_addr string, "
     "asset_e8 long, rune_e8 long, pending_asset long, pending_rune long"
@@ -129,6 +143,24 @@ def members(changes: DataFrame) -> DataFrame:
     return lives.filter("alive").drop("life", "alive")
 
 
+def member_pools(members: DataFrame, address: str) -> DataFrame:
+    """The pools of a member, found by id or asset address; times in whole seconds, absent ones 0."""
+    rows = members.filter((F.col("member_id") == address) | (F.col("asset_addr") == address))
+    seconds = [F.coalesce(F.call_function("div", F.col(c), F.lit(10**9)), F.lit(0)).alias(c) for c in ("first_added", "last_added")]
+    kept = [c for c in rows.columns if c not in ("member_id", "rune_addr", "asset_addr", "first_added", "last_added")]
+    return rows.select(*kept, *[F.coalesce(c, F.lit("")).alias(c) for c in ("rune_addr", "asset_addr")], *seconds).orderBy("pool")
+
+
+def exact_or_lowered(find, address: str) -> DataFrame:
+    """find(address), or where that has no rows find(address in lower case)."""
+    lower = address.lower()
+    exact = find(address)
+    if lower == address:
+        return exact
+    found = exact.agg(F.count(F.lit(1)).alias("n"))
+    return exact.unionByName(find(lower).join(F.broadcast(found.filter("n = 0")), how="cross").drop("n"))
+
+
 def member_units(stakes: DataFrame, unstakes: DataFrame) -> DataFrame:
     """Simple check: units per (member, pool) as added minus withdrawn."""
     member = F.coalesce("rune_addr", "asset_addr").alias("member_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from poolscope.functions import pricing
 from poolscope.functions.numeric import NANOS, ieee_div
-from poolscope.operators.asof import as_of
+from poolscope.operators.asof import as_of, as_of_join, running
 from poolscope.operators.buckets import Buckets
 from poolscope.operators.history import DEPTHS
 
@@ -24,6 +24,24 @@ def newest_block(block_log: DataFrame, moment: int | None = None) -> DataFrame:
     return rows.orderBy(F.desc("timestamp")).limit(1)
 
 
+def last_activation_height(activations: DataFrame, block_log: DataFrame) -> DataFrame:
+    """Height of the newest block in which a vault became active, -1 if there is none; one row."""
+    newest = activations.agg(F.max("block_timestamp").alias("timestamp"))
+    return newest.join(block_log, "timestamp", "left").agg(F.coalesce(F.max("height"), F.lit(-1).cast("long")).alias("height"))
+
+
+def height_nano(heights: DataFrame, block_log: DataFrame) -> DataFrame:
+    """Heights with the time of their block in nanoseconds; null for unknown ones."""
+    return heights.join(block_log.select("height", "timestamp"), "height", "left")
+
+
+def pool_state_at_height(depths: DataFrame, block_log: DataFrame, height: int) -> DataFrame:
+    """Newest depths of each pool at or before the block of a height."""
+    moment = block_log.filter(F.col("height") == height).agg(F.max("timestamp").alias("moment"))
+    rows = depths.join(F.broadcast(moment), F.col("block_timestamp") <= F.col("moment"))
+    return latest(rows, ["pool"], DEPTHS)
+
+
 def block_by_id(block_log: DataFrame, number: int) -> DataFrame:
     """The block whose height or timestamp is the number."""
     return block_log.filter((F.col("height") == number) | (F.col("timestamp") == number))
@@ -65,9 +83,10 @@ def node_keys(keys: DataFrame, moment: int) -> DataFrame:
 
 def name_entries(names: DataFrame) -> DataFrame:
     """Newest row of each (name, chain)."""
-    tie = [F.desc("event_idx")] if "event_idx" in names.columns else []
-    newest = Window.partitionBy("name", "chain").orderBy(F.desc("block_timestamp"), *tie)
-    return names.withColumn("r", F.row_number().over(newest)).filter("r = 1").drop("r")
+    order = ["block_timestamp", *(["event_idx"] if "event_idx" in names.columns else [])]
+    rest = [c for c in names.columns if c not in ("name", "chain")]
+    newest = F.max_by(F.struct(*rest), F.struct(*order))
+    return names.groupBy("name", "chain").agg(newest.alias("r")).select("name", "chain", "r.*")
 
 
 def name_owner(names: DataFrame) -> DataFrame:
@@ -111,6 +130,42 @@ def unique_swappers(swaps: DataFrame, buckets: Buckets) -> DataFrame:
     return rows.agg(F.count_distinct("from_addr").alias("unique_swappers"))
 
 
+def switched_rune(switches: DataFrame) -> DataFrame:
+    """Total of the base asset that switches minted, 0 without any; one row."""
+    return switches.agg(F.coalesce(F.sum("mint_e8"), F.lit(0).cast("long")).alias("switched_rune"))
+
+
+def global_stats(
+    swaps: DataFrame, stakes: DataFrame, unstakes: DataFrame, switches: DataFrame, depths: DataFrame, usd_pools: list[str], now: int
+) -> DataFrame:
+    """Totals of the whole network before now, in one row: swaps, users, adds, withdraws, switches, depth and USD price."""
+    t, end = F.col("block_timestamp"), now * NANOS
+    volume = F.when(F.col("_direction") % 2 == 1, F.col("to_e8") + F.col("liq_fee_in_rune_e8")).otherwise(F.col("from_e8"))
+    day, month = (t >= end - span * NANOS for span in (86400, 30 * 86400))
+    zero = F.lit(0).cast("long")
+    total = lambda value: F.coalesce(F.sum(value), zero)
+    traded = [total(volume).alias("swap_volume"), F.count(F.lit(1)).alias("swap_count")]
+    traded += [F.count(F.when(recent, 1)).alias(f"swap_count_{name}") for name, recent in (("24h", day), ("30d", month))]
+    traded += [F.count(F.when(F.col("_direction") == d, 1)).alias(name) for d, name in enumerate(("to_asset_count", "to_rune_count", "synth_mint_count", "synth_burn_count"))]
+    users = [F.count_distinct(F.when(recent, F.col("from_addr"))) for recent in (day, month, F.lit(True))]
+    traded += [u.alias(n) for u, n in zip(users, ("daily_active_users", "monthly_active_users", "unique_swapper_count"))]
+    added = total(F.col("_asset_in_rune_e8") + F.col("rune_e8")).alias("add_liquidity_volume")
+    taken = total(F.col("_emit_asset_in_rune_e8") + F.col("emit_rune_e8")).alias("withdraw_volume")
+    protection = total("imp_loss_protection_e8").alias("impermanent_loss_protection_paid")
+    before = lambda df: df.filter(t < end)
+    newest = latest(before(depths), ["pool"], ["asset_e8", "rune_e8"])
+    usd = newest.transform(lambda d: pricing.rune_usd_price(d, usd_pools)).agg(F.max("rune_price_usd").alias("rune_price_usd"))
+    parts = [
+        before(swaps).agg(*traded), before(stakes).agg(F.count(F.lit(1)).alias("add_liquidity_count"), added),
+        before(unstakes).agg(F.count(F.lit(1)).alias("withdraw_count"), taken, protection), switched_rune(switches),
+        newest.agg(total("rune_e8").alias("rune_depth")), usd,
+    ]
+    out = parts[0]
+    for part in parts[1:]:  # every part is one row
+        out = out.join(F.broadcast(part))
+    return out
+
+
 def global_swap_stats(swaps: DataFrame, now: int) -> DataFrame:
     """Swap counts and volume per direction: all time, 24 hours and 30 days before now."""
     t, volume = F.col("block_timestamp"), F.when(F.col("_direction") % 2 == 1, F.col("to_e8") + F.col("liq_fee_in_rune_e8")).otherwise(F.col("from_e8"))
@@ -198,11 +253,8 @@ def health(block_log: DataFrame, aggregated_ns: int, now_s: int, limit_s: int =
     return newest.withColumn("in_sync", F.lit(now_s - aggregated_ns // NANOS < limit_s))
 
 
-def lp_detail(stakes: DataFrame, unstakes: DataFrame, swaps: DataFrame, entries: DataFrame, changes: DataFrame, member_id: str, pool: str) -> DataFrame:
-    """Event log of a member in a pool, with the pool's fees and rewards from each event to the next and the member's share.
-
-    Fees count from after an event up to the next one, inclusive.
-    """
+def lp_events(stakes: DataFrame, unstakes: DataFrame, member_id: str, pool: str) -> DataFrame:
+    """Adds and withdraws of a member in a pool: (block_timestamp, kind, units, asset, rune), one row per block and kind."""
     member = F.coalesce("rune_addr", "asset_addr")
     log = stakes.filter((member == member_id) & (F.col("pool") == pool)).select(
         "block_timestamp", F.lit("add").alias("kind"), F.col("stake_units").alias("units"), F.col("asset_e8").alias("asset"), F.col("rune_e8").alias("rune")
@@ -214,24 +266,76 @@ def lp_detail(stakes: DataFrame, unstakes: DataFrame, swaps: DataFrame, entries:
             (-F.col("emit_asset_e8")).alias("asset"), (-F.col("emit_rune_e8")).alias("rune"),
         )
     )
-    log = log.groupBy("block_timestamp", "kind").agg(*[F.sum(c).alias(c) for c in ("units", "asset", "rune")])
-    order = Window.partitionBy(F.lit(member_id)).orderBy("block_timestamp", "kind")
-    held = F.sum("units").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    log = log.select("*", held.alias("held"), F.lead("block_timestamp").over(order).alias("next"))
-    mine = F.col("pool") == pool
-    flows = swaps.filter(mine).select(F.col("block_timestamp").alias("t"), F.col("liq_fee_in_rune_e8").alias("fees"), F.lit(0).cast("long").alias("rewards"))
-    flows = flows.unionByName(entries.filter(mine).select(F.col("block_timestamp").alias("t"), F.lit(0).cast("long").alias("fees"), F.col("rune_e8").alias("rewards")))
-    between = (F.col("t") > F.col("block_timestamp")) & (F.col("t") <= F.coalesce("next", F.lit((1 << 63) - 1)))
-    spans = F.broadcast(log.select("block_timestamp", "kind", "next"))
-    sums = flows.join(spans, between).groupBy("block_timestamp", "kind").agg(F.sum("fees").alias("fees"), F.sum("rewards").alias("rewards"))
-    total = changes.filter(mine).select(F.col("block_timestamp").alias("t"), "units")
-    pool_units = total.join(F.broadcast(log.select("block_timestamp", "kind")), F.col("t") <= F.col("block_timestamp"))
-    pool_units = pool_units.groupBy("block_timestamp", "kind").agg(F.sum("units").alias("pool_units"))
-    rows = log.join(sums, ["block_timestamp", "kind"], "left").join(pool_units, ["block_timestamp", "kind"], "left")
-    share = F.when(F.col("held") > 0, ieee_div(F.col("held"), F.col("pool_units"))).otherwise(F.lit(0.0))
+    return log.groupBy("block_timestamp", "kind").agg(*[F.sum(c).alias(c) for c in ("units", "asset", "rune")])
+
+
+def with_block_info(log: DataFrame, depths: DataFrame, block_log: DataFrame) -> DataFrame:
+    """LP events with the height of their block and their pool's depths at the end of their five minutes; 0 if unknown.
+
+    depths: depths of the pool, with priceusd.
+    """
+    five = F.call_function("div", F.col("block_timestamp"), F.lit(300 * NANOS))
+    info = depths.groupBy(five.alias("five")).agg(F.max_by(F.struct("priceusd", "asset_e8", "rune_e8"), "block_timestamp").alias("d"))
+    heights = block_log.select(F.col("timestamp").alias("block_timestamp"), "height")
+    rows = log.withColumn("five", five).join(heights, "block_timestamp", "left").join(info, "five", "left")
+    zero = F.lit(0).cast("long")
+    asset_usd = F.coalesce("d.priceusd", F.lit(0.0))
+    price = pricing.asset_price(F.col("d.asset_e8"), F.col("d.rune_e8"))
     return rows.select(
-        "block_timestamp", "kind", "units", "asset", "rune", "held", "pool_units",
-        F.coalesce("fees", F.lit(0)).alias("fees"), F.coalesce("rewards", F.lit(0)).alias("rewards"), share.alias("share"),
+        *log.columns, F.coalesce("height", zero).alias("height"), F.coalesce("d.asset_e8", zero).alias("asset_depth"),
+        F.coalesce("d.rune_e8", zero).alias("rune_depth"), asset_usd.alias("asset_price_usd"),
+        F.when(F.col("d").isNull(), 0.0).otherwise(ieee_div(asset_usd, price)).alias("rune_price_usd"),
     )
 
 
+def lp_detail(
+    stakes: DataFrame, unstakes: DataFrame, swaps: DataFrame, entries: DataFrame, changes: DataFrame, member_id: str, pool: str, least_units: int = 0
+) -> DataFrame:
+    """Event log of a member in a pool, with the pool's fees and rewards from each event to the next and the member's share.
+
+    Fees count from after an event up to the next one, inclusive. An event after which the member holds no more than
+    least_units, which the caller derives from the smallest value that counts, ends a life: held starts anew, and only
+    the events of the last life stay. Sums of fees, rewards and units are running totals of the pool, as of each event.
+    """
+    log = lp_events(stakes, unstakes, member_id, pool)
+    order = Window.partitionBy(F.lit(member_id)).orderBy("block_timestamp", "kind")
+    log = log.withColumn("held", F.sum("units").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # units come and go in wholes, so a life that ends at 0 needs no new start of the sum; one that ends above does
+    log = log.withColumn("ends", F.col("held") <= least_units)
+    closed = F.max(F.when(F.col("ends"), F.struct("block_timestamp", "kind"))).over(Window.partitionBy(F.lit(member_id)))
+    left = F.max_by("held", F.when(F.col("ends"), F.struct("block_timestamp", "kind"))).over(Window.partitionBy(F.lit(member_id)))
+    log = log.withColumns({"closed": closed, "left": F.coalesce(left, F.lit(0))})
+    log = log.filter(F.col("closed").isNull() | (F.struct("block_timestamp", "kind") > F.col("closed")))
+    log = log.withColumn("held", F.col("held") - F.col("left")).drop("ends", "closed", "left")
+    log = log.withColumn("next", F.lead("block_timestamp").over(order))
+    mine, zero = F.col("pool") == pool, F.lit(0).cast("long")
+
+    def flow(df, fees=zero, rewards=zero, units=zero):
+        named = [x.alias(n) for x, n in ((fees, "fees"), (rewards, "rewards"), (units, "pool_units"))]
+        return df.filter(mine).select("pool", "block_timestamp", F.lit(0).cast("long").alias("event_idx"), *named)
+
+    flows = flow(swaps, fees=F.col("liq_fee_in_rune_e8")).unionByName(flow(entries, rewards=F.col("rune_e8"))).unionByName(flow(changes, units=F.col("units")))
+    flows = flows.groupBy("pool", "block_timestamp").agg(*[F.sum(c).alias(c) for c in ("fees", "rewards", "pool_units")])
+    totals = running(flows, ["pool"], ["block_timestamp"], ["fees", "rewards", "pool_units"])
+    end = F.coalesce("next", F.lit((1 << 63) - 1))
+    moments = log.select("kind", F.lit(pool).alias("pool"), F.explode(F.array(F.col("block_timestamp"), end)).alias("block_timestamp"), F.col("block_timestamp").alias("at"))
+    then = as_of_join(moments, totals, ["pool"], ["fees", "rewards", "pool_units"])
+    first = lambda c: F.coalesce(F.min_by(c, "block_timestamp"), zero)
+    last = lambda c: F.coalesce(F.max_by(c, "block_timestamp"), zero)
+    sums = then.groupBy(F.col("at").alias("block_timestamp"), "kind").agg(
+        first("pool_units").alias("pool_units"), *[(last(c) - first(c)).alias(c) for c in ("fees", "rewards")]
+    )
+    rows = log.join(sums, ["block_timestamp", "kind"])
+    share = F.when(F.col("held") > 0, ieee_div(F.col("held"), F.col("pool_units"))).otherwise(F.lit(0.0))
+    return rows.select("block_timestamp", "kind", "units", "asset", "rune", "held", "pool_units", "fees", "rewards", share.alias("share"))
+
+
+def lp_report(detail: DataFrame) -> DataFrame:
+    """What a member earned and staked, from its LP events with block info; one row, without any if there are no events."""
+    part = lambda c: F.sum(F.col(c) * F.col("share"))
+    usd = (F.col("asset") * F.col("asset_price_usd")).cast("long") + (F.col("rune") * F.col("rune_price_usd")).cast("long")
+    return detail.agg(
+        F.count(F.when(F.col("kind") == "add", 1)).alias("stakes"), F.count(F.when(F.col("kind") == "withdraw", 1)).alias("withdraws"),
+        F.sum("asset").alias("staked_asset"), F.sum("rune").alias("staked_rune"), F.sum(usd).alias("staked_usd"),
+        part("fees").alias("rune_earned"), part("rewards").alias("rewards"), F.sum(F.col("fees") * F.col("share") * F.col("rune_price_usd")).alias("usd_earned"),
+    ).filter("stakes + withdraws > 0")

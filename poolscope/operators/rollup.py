@@ -125,8 +125,11 @@ class Aggregate:
             stored = self.rollup(source.filter(buckets.holds(F.col("block_timestamp"))), buckets.interval, **options)
         return self.final(stored.filter((s >= buckets.start) & (s < buckets.end)))
 
-    def explain(self, source: DataFrame, buckets: Buckets) -> str:
-        """The physical plan of a bucketed query."""
-        return self.query(source, buckets)._jdf.queryExecution().explainString(
-            self.query(source, buckets).sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-        )
+    def explain(self, source: DataFrame, buckets: Buckets) -> DataFrame:
+        """The physical plan of a bucketed query, as one row of text."""
+        name = f"__explained_{self.name}"
+        self.query(source, buckets).createOrReplaceTempView(name)
+        try:
+            return source.sparkSession.sql(f"EXPLAIN FORMATTED SELECT * FROM {name}")
+        finally:
+            source.sparkSession.catalog.dropTempView(name)

@@ -5,10 +5,13 @@ The mapping is deterministic and integer-valued, so that results can be held aga
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolscope.functions.numeric import NANOS
+from poolscope.operators.buckets import Buckets
 
 RUNE = "THOR.RUNE"
 
@@ -25,11 +28,26 @@ def e8(x: Column) -> Column:
     return F.rint(x).cast("long")
 
 
-def swap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as swaps: pool by return flag and status, direction by line number, in cents."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+def within(rows: DataFrame, ts: str, buckets: Buckets | None) -> DataFrame:
+    """Rows of the buckets' range, by a condition on the stored column that reaches the scan."""
+    if buckets is None:
+        return rows
+    kind = rows.schema[ts].dataType
+    start, end = (F.lit(datetime.fromtimestamp(s, UTC).strftime("%Y-%m-%d %H:%M:%S")).cast(kind) for s in (buckets.start, buckets.end))
+    return rows.filter((F.col(ts) >= start) & (F.col(ts) < end))
+
+
+def swap_events(spark: SparkSession, sf_dir: str, addresses: bool = True, buckets: Buckets | None = None) -> DataFrame:
+    """Line items as swaps: pool by return flag and status, direction by line number, in cents.
+
+    The sender is a column of another table; without addresses it is null, and that table is not read.
+    """
+    rows = within(table(spark, sf_dir, "lineitem"), "l_shipdate", buckets)
     price = F.col("l_extendedprice")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if addresses:
+        rows = rows.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    else:
+        rows = rows.withColumn("o_custkey", F.lit(None).cast("long"))
     direction = (F.col("l_linenumber") % 4).cast("int")
     pool = F.concat("l_returnflag", F.lit("."), "l_linestatus")
     synth = F.concat("l_returnflag", F.lit("/"), "l_linestatus")
@@ -284,3 +302,96 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("height"), nanos("ts").alias("block_timestamp"), F.lit(0).cast("long").alias("event_idx"),
         F.col("event_type").alias("type"), pairs.alias("attributes"),
     )
+
+
+def pool_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as swaps in the pools of block_pool_depths."""
+    rows = table(spark, sf_dir, "events")
+    value, user = F.col("value"), F.col("user_id")
+    return rows.select(
+        F.col("event_id").cast("string").alias("tx"), F.concat(F.lit("u"), user.cast("string")).alias("from_addr"), F.col("event_type").alias("pool"),
+        (user % 4).cast("int").alias("_direction"), e8(value * 100).alias("from_e8"), e8(value * 90).alias("to_e8"), e8(value * 3).alias("liq_fee_in_rune_e8"),
+        (user % 50).alias("swap_slip_bp"), ((user % 8) / F.lit(4)).alias("priceusd"), F.col("event_id").alias("event_idx"), nanos("ts").alias("block_timestamp"),
+    )
+
+
+def pool_stakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of every third user as adds to the pools of block_pool_depths; of every seventh user without a base-asset address."""
+    rows = table(spark, sf_dir, "events").filter("user_id % 3 = 0")
+    member = (F.col("user_id") % 20).cast("string")
+    return rows.select(
+        F.col("event_type").alias("pool"), F.concat(F.lit("a"), member).alias("asset_addr"), F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("r"), member)).alias("rune_addr"),
+        (F.col("event_id") * 10 + 1_000_000).alias("stake_units"), e8(F.col("value") * 50).alias("asset_e8"), e8(F.col("value") * 70).alias("rune_e8"),
+        e8(F.col("value") * 60).alias("_asset_in_rune_e8"), F.col("event_id").alias("event_idx"), nanos("ts").alias("block_timestamp"),
+    )
+
+
+def pool_unstakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of another third of the users as withdraws from those pools."""
+    rows = table(spark, sf_dir, "events").filter("user_id % 3 = 1")
+    return rows.select(
+        F.col("event_type").alias("pool"), F.concat(F.lit("r"), (F.col("user_id") % 20).cast("string")).alias("from_addr"), F.col("event_id").alias("stake_units"),
+        e8(F.col("value") * 10).alias("emit_asset_e8"), e8(F.col("value") * 20).alias("emit_rune_e8"), e8(F.col("value") * 15).alias("_emit_asset_in_rune_e8"),
+        F.col("user_id").alias("imp_loss_protection_e8"), F.col("event_id").alias("event_idx"), nanos("ts").alias("block_timestamp"),
+    )
+
+
+def pool_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of every fifth user as block rewards of those pools."""
+    rows = table(spark, sf_dir, "events").filter("user_id % 5 = 0")
+    return rows.select(F.col("event_type").alias("pool"), e8(F.col("value") * 7).alias("rune_e8"), F.col("event_id").alias("event_idx"), nanos("ts").alias("block_timestamp"))
+
+
+POOLS = """pool_swaps AS (
+  SELECT event_id::VARCHAR AS tx, 'u' || user_id AS from_addr, event_type AS pool, (user_id % 4)::INT AS direction, (value * 100)::BIGINT AS from_e8, (value * 90)::BIGINT AS to_e8,
+    (value * 3)::BIGINT AS liq_fee_in_rune_e8, user_id % 50 AS swap_slip_bp, (user_id % 8) / 4.0::DOUBLE AS priceusd, event_id AS event_idx, epoch_us(ts) * 1000 AS block_timestamp FROM events
+),
+pool_stakes AS (
+  SELECT event_type AS pool, 'a' || (user_id % 20) AS asset_addr, CASE WHEN user_id % 7 <> 0 THEN 'r' || (user_id % 20) END AS rune_addr, event_id * 10 + 1000000 AS stake_units,
+    (value * 50)::BIGINT AS asset_e8, (value * 70)::BIGINT AS rune_e8, (value * 60)::BIGINT AS asset_in_rune, event_id AS event_idx, epoch_us(ts) * 1000 AS block_timestamp FROM events WHERE user_id % 3 = 0
+),
+pool_unstakes AS (
+  SELECT event_type AS pool, 'r' || (user_id % 20) AS from_addr, event_id AS stake_units, (value * 10)::BIGINT AS emit_asset_e8, (value * 20)::BIGINT AS emit_rune_e8,
+    (value * 15)::BIGINT AS asset_in_rune, user_id AS imp_loss, event_id AS event_idx, epoch_us(ts) * 1000 AS block_timestamp FROM events WHERE user_id % 3 = 1
+),
+pool_rewards AS (SELECT event_type AS pool, (value * 7)::BIGINT AS rune_e8, epoch_us(ts) * 1000 AS block_timestamp FROM events WHERE user_id % 5 = 0),
+pool_units AS (SELECT pool, stake_units AS u, block_timestamp AS t FROM pool_stakes UNION ALL SELECT pool, -stake_units, block_timestamp FROM pool_unstakes)"""
+
+
+def switch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as switches of old base assets, some of them of nothing."""
+    rows = table(spark, sf_dir, "supplier")
+    amount, key = e8(F.col("s_acctbal") * 100), F.col("s_suppkey").cast("string")
+    return rows.select(
+        F.concat(F.lit("sw"), key).alias("tx"), F.concat(F.lit("bnb"), key).alias("from_addr"), F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("thor"), key)).alias("to_addr"),
+        F.lit("BNB.RUNE-B1A").alias("burn_asset"), amount.alias("burn_e8"), amount.alias("mint_e8"), (F.col("s_suppkey") * 3600 * NANOS).alias("block_timestamp"),
+    )
+
+
+def refund_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as refunds."""
+    rows = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    return rows.select(
+        F.concat(F.lit("re"), key).alias("tx"), F.concat(F.lit("x"), key).alias("from_addr"), F.lit("vault").alias("to_addr"), F.lit("BTC.BTC").alias("asset"),
+        e8(F.col("c_acctbal") * 100).alias("asset_e8"), F.when(F.col("c_custkey") % 2 == 0, "ETH.ETH").alias("asset_2nd"), F.col("c_mktsegment").alias("reason"),
+        (F.col("c_custkey") * 60 * NANOS).alias("block_timestamp"),
+    )
+
+
+def donations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as donations to a pool of their nation."""
+    rows = table(spark, sf_dir, "customer")
+    key, pool = F.col("c_custkey").cast("string"), F.concat(F.lit("D."), F.col("c_nationkey").cast("string"))
+    return rows.select(
+        F.concat(F.lit("do"), key).alias("tx"), F.concat(F.lit("x"), key).alias("from_addr"), F.lit("vault").alias("to_addr"), pool.alias("asset"), pool.alias("pool"),
+        F.col("c_custkey").alias("asset_e8"), (F.col("c_custkey") % 3).alias("rune_e8"), (F.col("c_custkey") * 61 * NANOS).alias("block_timestamp"),
+    )
+
+
+def node_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as nodes of a nation that set their keys."""
+    rows = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    return rows.select(named("n", F.col("c_nationkey")).alias("node_addr"), named("s", key % 40).alias("secp256k1"), named("e", key % 60).alias("ed25519"), (key * NANOS).alias("block_timestamp"))

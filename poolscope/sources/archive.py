@@ -14,6 +14,13 @@ BLOCKS_PER_CHUNK = 10_000
 DAY_NANOS = 86_400 * 10**9
 
 
+def as_blocks(events: DataFrame) -> DataFrame:
+    """Events as blocks of one begin event each, in the archive's shape."""
+    one = F.array(F.struct("type", "attributes"))
+    shaped = {"height": F.col("height"), "time_ns": F.col("block_timestamp"), "begin": one}
+    return events.select(*[shaped.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in BLOCK])
+
+
 def write_blocks(blocks: DataFrame, path: str, per_chunk: int = BLOCKS_PER_CHUNK) -> None:
     """Append blocks; a chunk is named by its greatest possible height."""
     chunk = F.call_function("div", F.col("height") + (per_chunk - 1), F.lit(per_chunk)) * per_chunk
@@ -37,6 +44,16 @@ def chunk_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def wrong_chunks(found: DataFrame, published: DataFrame) -> DataFrame:
+    """Chunks whose hash differs from the published one or that are missing: (name, sha256, published).
+
+    A chunk's name is its folder and file.
+    """
+    names = found.select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"), "sha256")
+    want = published.select("name", F.col("sha256").alias("published"))
+    return want.join(names, "name", "left").filter(~F.col("sha256").eqNullSafe(F.col("published"))).select("name", "sha256", "published")
+
+
 def combined(archive: DataFrame, live: DataFrame) -> DataFrame:
     """Archive blocks, then live blocks beyond them."""
     newest = archive.agg(F.coalesce(F.max("height"), F.lit(-1)).alias("newest"))
@@ -54,7 +71,9 @@ def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "append")
     for name, df in tables.items():
         schema = table_schema(name)
         day = F.call_function("div", F.col("block_timestamp"), F.lit(DAY_NANOS))
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).withColumn("day", day).write.mode(mode).partitionBy("day").parquet(f"{path}/{name}")
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).withColumn("day", day)
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartition(n, "day").write.mode(mode).partitionBy("day").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(schema_hash(),)], "schema_hash string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_schema")
 

@@ -65,7 +65,8 @@ def refresh_rollup(source: DataFrame, aggregate: Aggregate, path: str, changed_f
     rows = source.filter(F.col("block_timestamp") >= first * DAY_NANOS)
     day = F.call_function("div", F.col("start_s"), F.lit(86_400))
     rollup = aggregate.rollup(rows, "5min").withColumn("day", day)
-    rollup.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rollup.repartition(n, "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def coarser(rollup: DataFrame, aggregate: Aggregate, interval: str) -> DataFrame:
@@ -161,3 +162,27 @@ def price_updates(depths: DataFrame, send: Callable[[list], None], checkpoint: s
         send([(r["pool"], r["price"]) for r in prices.toLocalIterator()])
 
     return depths.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_views(events: DataFrame, decode: Callable[[DataFrame], dict[str, DataFrame]], path: str, views: dict[str, WatermarkedView], checkpoint: str):
+    """Append the tables of every micro-batch under path, and bring each table's view up to the batch's newest block.
+
+    views names a table's view. The stream must come in order of blocks, with whole blocks; a repeated batch replaces
+    its own rows and leaves views that are already there.
+    """
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows = rows.persist()
+        try:
+            newest = rows.agg(F.max("block_timestamp")).first()[0]
+            if newest is None:
+                return
+            tables = decode(rows)
+            for name, view in views.items():
+                append_once(f"{path}/{name}")(tables[name], epoch)
+                if view.watermark() <= newest:
+                    view.refresh(rows.sparkSession.read.parquet(f"{path}/{name}").drop("epoch"), newest + 1)
+        finally:
+            rows.unpersist()
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -276,7 +276,7 @@ def test_assets(spark):
     assert one(spark, assets.sanitised(F.lit(b"ok"))) == "ok" and one(spark, assets.sanitised(F.lit(b"\xff"))) == "BASE64:/w=="
     assert one(spark, assets.address_is_rune(F.lit("tthor1x"))) and not one(spark, assets.address_is_rune(F.lit("bnb1")))
     assert one(spark, assets.affiliate(F.lit("=:a:me:1:me:10"), F.lit("me")))["address"] is None
-    assert one(spark, decode.unwrap_base64(F.lit("aGVsbG8="))) == "hello" and one(spark, decode.unwrap_base64(F.lit("no!"))) == "no!"
+    assert one(spark, decode.unwrap_base64(F.lit("aGVsbG8="))) == "hello" and one(spark, decode.unwrap_base64(F.lit("no!"))) == decode.NO_BASE64 + "no!"
 
 
 def test_bond_metrics(spark):
@@ -302,3 +302,43 @@ def test_every_event_is_asked_for_its_previous_depth(spark):
     )
     want = {k: max(((u, v) for q, u, v in right if q == p and u <= t), default=(0, None))[1] for p, k, t in left}
     assert {r["event_id"]: r["asset_e8"] for r in got.collect()} == want and got.count() == len(left)
+
+
+def test_running_sums_with_resets_in_slices(spark):
+    import random
+
+    from poolscope.operators import asof
+
+    rng, rows = random.Random(9), []
+    for pool in "ab":
+        for i in range(300):
+            rows.append((pool, rng.randrange(40) * asof.SLICE_NANOS // 7, i, rng.randrange(-9, 10), rng.randrange(5), rng.random() < 0.05))
+    df = spark.createDataFrame(rows, "pool string, block_timestamp long, event_idx long, x long, y long, reset boolean").repartition(4)
+    got = asof.running(df, ["pool"], ["block_timestamp", "event_idx"], ["x"], F.col("reset"), ["y"])
+    got = {(r["pool"], r["event_idx"]): (r["x"], r["y"]) for r in got.collect()}
+    want = {}
+    for pool in "ab":
+        x = y = 0
+        for _, t, i, dx, dy, reset in sorted(r for r in rows if r[0] == pool):
+            x, y = (0 if reset else x + dx), y + dy
+            want[pool, i] = (x, y)
+    assert got == want
+
+
+def test_suspended_pool_starts_anew(spark):
+    from poolscope.operators import asof, depths
+
+    day = asof.SLICE_NANOS
+    rows = [("p", 10, 20, 0, False, 1, 5), ("p", 0, 0, 0, True, 2, day + 5), ("p", 3, 4, 1, False, 3, 3 * day), ("p", 0, 0, 0, False, 4, 4 * day)]
+    df = spark.createDataFrame(rows, "pool string, asset long, rune long, synth long, reset boolean, event_idx long, block_timestamp long")
+    got = [tuple(r)[1:] for r in depths.block_depths(df).orderBy("block_timestamp").collect()]
+    assert got == [(5, 10, 20, 0), (day + 5, 0, 0, 0), (3 * day, 3, 4, 1)]
+
+
+def test_requests_that_cannot_be_answered():
+    from poolscope.operators import buckets
+
+    bad = [{"count": 3}, {"interval": "hours"}, {"interval": "day", "count": 401}, {"interval": "day", "count": 1, "start": 1, "until": 2}, {"interval": "5min", "start": 0, "until": 10**9}]
+    for request in bad:
+        with pytest.raises(buckets.BadRequest):
+            buckets.resolve(0, 10**9, **request)
