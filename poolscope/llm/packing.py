@@ -16,6 +16,7 @@ import re
 import zlib
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,8 +38,8 @@ SLICE_BYTES = 500_000
 PARTS = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: What only some libraries take for white space: a text with any of it is not split.
 UNCLEAR_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
-#: Parts that a worker remembers, and how long they are at most.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 40
+#: Words that a worker remembers: parts with white space at the beginning and not at the end, of so many characters at most.
+REMEMBERED, WORD = 100_000, re.compile(r"[\t-\r ]{1,4}[^\t-\r ]{1,40}")
 
 
 class Encoder:
@@ -57,6 +58,12 @@ class Encoder:
         pre = told.get("pre_tokenizer") or {}
         self.byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not told.get("normalizer")
         # an added token may hold white space or take that around it
+        # bytes that each id stands for: a byte-level vocabulary writes a byte as a character
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
+        for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(word)
+        for t in told["added_tokens"]:
+            self.sizes[t["id"]] = len(t["content"].encode())
         self.byte_level &= not any(t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in told["added_tokens"])
 
     def parts(self, text: str) -> list[str]:
@@ -64,18 +71,31 @@ class Encoder:
             return [text]
         return PARTS.findall(text)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words that each begin with white space and end without, read as one text and cut by their bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(w.encode()) for w in words])
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
+        data, out, at = ids.tobytes(), [], 0
+        for to in (4 * cuts).tolist():
+            out.append(data[at:to])
+            at = to
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, cut = self.known, [self.parts(text) for text in texts]
-        new = list({part for some in cut for part in some if part not in known})
-        long = {part: None for part in new if len(part) > REMEMBERED_CHARS}
-        known.update(zip(new, self._ids(new)))
+        new = {part for some in cut for part in some if part not in known}
+        words = [part for part in new if WORD.fullmatch(part)] if self.byte_level else []
+        known.update(zip(words, self._together(words) if words else []))
+        others = list(new.difference(words))
+        known.update(zip(others, self._each(others)))
         out = [b"".join([known[part] for part in some]) for some in cut]
-        for part in long:
+        for part in others:
             del known[part]
         return out
 
