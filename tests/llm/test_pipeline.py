@@ -87,3 +87,43 @@ def test_run_gives_the_same_rows(spark, stages):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     count = lambda df: collections.Counter(tuple(r) for r in df.select(*columns).collect())
     assert count(corpus_pipeline.run(spark, SF)) == count(stages["packing"])
+
+
+@pytest.fixture(scope="module")
+def sf(spark, messy, nothing, tmp_path_factory):
+    """Folders with the labels that the stages read: of the messy rows, and none."""
+    out = {}
+    for name, rows in (("messy", [(i, i % 2, int(i in (4, 5))) for i in range(30)]), ("nothing", [])):
+        out[name] = str(tmp_path_factory.mktemp(name))
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{out[name]}/labels.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_of_odd_rows(spark, messy, nothing, sf, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = messy.withColumns({"copy": F.lit(77), "shuffle_key": F.lit("mine"), "rows": F.lit(3)})
+    for docs, folder in ((rows, "messy"), (nothing, "nothing")):
+        docs = materialize(docs, "odd")
+        got = stage(spark, docs, sf[folder])
+        if name == "packing":
+            count = got.filter("piece = 0").count()
+            assert count == docs.count()
+            continue
+        assert got.columns == docs.columns
+        held = collections.Counter(str(tuple(r)) for r in docs.collect())
+        kept = collections.Counter(str(tuple(r)) for r in got.collect())
+        assert set(kept) <= set(held)  # whole rows of the input, values of clashing columns included
+        if name == "exact_dedup":
+            texts = {SPACE.sub("", r["text"] or "") for r in docs.collect()}
+            assert sum(kept.values()) == len(texts)
+        if name == "near_dedup":
+            alone = [r for r in docs.collect() if r["doc_id"] is None or not shingles(r["text"])]
+            assert all(kept[str(tuple(r))] == held[str(tuple(r))] for r in alone)
+        if name == "toxicity":
+            assert all(kept[k] in (0, n) for k, n in held.items())
+
+
+def test_run_of_nothing(spark, nothing, sf):
+    nothing.write.mode("overwrite").parquet(f"{sf['nothing']}/documents.parquet")
+    assert corpus_pipeline.run(spark, sf["nothing"]).count() == 0
