@@ -155,7 +155,25 @@ def test_suffix_dedup_of_random_small_alphabet(spark):
     assert got == brute_removal(list(enumerate(texts)))
 
 
-def test_columns_sort_suffixes():
+@pytest.mark.parametrize("frequent", [0, 3])
+def test_suffix_dedup_of_frequent_anchors(spark, messy, monkeypatch, frequent):
+    """Anchors of many surroundings are dealt by context, whichever tasks they are met in; the answer stays the same."""
+    import random
+
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(99))
+    texts = [f"{rng.random()} {rng.random()}{passage}{rng.random()} {rng.random()}" for _ in range(60)]
+    texts += [f"{rng.random()}{passage}!{rng.random()}{rng.random()}" for _ in range(5)] + [texts[3][5:140] * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_ANCHORS", 100)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_RANGES", 2)
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert got == brute_removal(list(enumerate(texts)))
+
+
+def test_columns_sort_suffixes(tmp_path):
     import random
 
     import numpy as np
@@ -167,7 +185,7 @@ def test_columns_sort_suffixes():
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     anchors = starts + np.array([rng.randrange(n) for n in lengths])
     seen = 0
-    for column, order, symbols, common in suffix_dedup.columns_of(text, starts, starts + lengths, anchors, 100):
+    for column, order, symbols, common in suffix_dedup.columns_of(text, starts, starts + lengths, anchors, 100, f"file://{tmp_path}"):
         suffixes = [texts[i][anchors[i] + column - starts[i] :] for i in order]
         assert suffixes == sorted(suffixes) and [s[0] for s in suffixes] == symbols.tolist()
         for a, b, n in zip(suffixes, suffixes[1:], common[1:]):
