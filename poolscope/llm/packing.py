@@ -38,7 +38,8 @@ SLICE_BYTES = 500_000
 PARTS = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: What only some libraries take for white space: a text with any of it is not split.
 UNCLEAR_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
-#: Words that a worker remembers: parts with white space at the beginning and not at the end, of so many characters at most.
+#: Words that a worker remembers, twice so many at most, those met last: parts with white space at the beginning and not at
+#: the end, of so many characters at most.
 REMEMBERED, WORD = 100_000, re.compile(r"[\t-\r ]{1,4}[^\t-\r ]{1,40}")
 
 
@@ -52,7 +53,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         pre = told.get("pre_tokenizer") or {}
@@ -87,14 +88,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         known, cut = self.known, [self.parts(text) for text in texts]
-        new = {part for some in cut for part in some if part not in known}
+        new = set().union(*cut).difference(known)
+        again = new.intersection(self.older)
+        known.update(zip(again, map(self.older.__getitem__, again)))
+        new -= again
         words = [part for part in new if WORD.fullmatch(part)] if self.byte_level else []
         known.update(zip(words, self._together(words) if words else []))
         others = list(new.difference(words))
         known.update(zip(others, self._each(others)))
-        out = [b"".join([known[part] for part in some]) for some in cut]
+        out = [b"".join(map(known.__getitem__, some)) for some in cut]
         for part in others:
             del known[part]
         return out
