@@ -27,20 +27,20 @@ ROWS = "d int, q int, dim int, is_query boolean, vec_id long, vec binary, lo lon
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vec array<double>, dim) with floor(SCALE * x); without null ids, null vectors, and null or non-finite components."""
+    """(vec_id, vec array<double>, dim) of the vectors that take part: without null ids, null vectors, and null or non-finite components."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(good)
-    vec = F.transform("embedding", lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("double"))
+    vec = F.transform("embedding", lambda x: x.cast("double"))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"), F.size("embedding").alias("dim"))
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """The same rows with each vector as binary little-endian doubles."""
+    """The same rows with floor(SCALE * x) of each component x, as binary little-endian doubles."""
 
     def run(batches):
         for batch in batches:
             column = batch.column(1)
-            values = [np.asarray(v.values if v.values is not None else [], "<f8").tobytes() for v in column]
+            values = [np.floor(SCALE * np.asarray(v.values if v.values is not None else [], "<f8")).tobytes() for v in column]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary()), batch.column(2)], ["vec_id", "vec", "dim"])
 
     return rows.select("vec_id", "vec", "dim").mapInArrow(run, "vec_id long, vec binary, dim int")
@@ -94,9 +94,21 @@ def per_block(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.select(*[c.split()[0] for c in ROWS.split(", ")]).mapInArrow(run, schema)
 
 
+#: Up to here a double holds every integer; longer vectors are multiplied in extended precision, which holds 64 bits.
+EXACT = 1 << 53
+
+
+def inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of whole numbers, as long; none of them leaves 64 bits."""
+    longest = float(np.sqrt((queries**2).sum(1).max(initial=0)) * np.sqrt((vectors**2).sum(1).max(initial=0)))
+    if longest * queries.shape[1] >= EXACT:
+        queries, vectors = queries.astype(np.longdouble), vectors.astype(np.longdouble)
+    return (queries @ vectors.T).astype(np.int64)
+
+
 def count_bins(ids, matrix, query_ids, query_matrix, lo, hi) -> pa.RecordBatch:
     """(query_id, bin, n): scores per bin of each query's interval."""
-    scores = (query_matrix @ matrix.T).astype(np.int64)
+    scores = inner_products(query_matrix, matrix)
     width = -(-(hi - lo) // BINS)
     at = (scores - lo[:, None]) // width[:, None]
     inside = (at >= 0) & (scores < hi[:, None]) & (ids[None, :] != query_ids[:, None])
@@ -109,7 +121,7 @@ def count_bins(ids, matrix, query_ids, query_matrix, lo, hi) -> pa.RecordBatch:
 
 def select_scores(k: int):
     def work(ids, matrix, query_ids, query_matrix, lo, hi) -> pa.RecordBatch:
-        scores = (query_matrix @ matrix.T).astype(np.int64)
+        scores = inner_products(query_matrix, matrix)
         order = np.argsort(ids, kind="stable")
         out = []
         for i, query in enumerate(query_ids):
@@ -128,7 +140,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of each query, ties to the smaller id.
 
     is_query is a condition on vec_id. Vectors of different lengths are not compared. Rows that repeat an id are
-    candidates each; of repeated queries one is asked; a query never meets rows of its own id.
+    candidates each; of repeated queries one is asked; a query never meets rows of its own id. Vectors that are null or hold
+    null or non-finite components take no part; an empty table gives no rows; extra columns are ignored. Scores have to
+    fit into a long: vectors so long that a score might not are an error.
     """
     vectors = materialize(packed(quantised(vectors)), "topk-vectors")
     asked = vectors.filter(is_query)
@@ -140,6 +154,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], out)
     n_d, n_q = math.ceil(norms / VECTOR_BLOCK), math.ceil(n_queries / QUERY_BLOCK)
     bound = max_score(vectors) + 1
+    if 2 * bound >= 1 << 62:
+        raise ValueError("scores of these vectors do not fit into 64 bits")
     state = queries.select("vec_id", "dim", "vec", F.lit(-bound).alias("lo"), F.lit(bound).alias("hi"), F.lit(k).cast("long").alias("need"))
     width = 2 * bound
     while width > 1:
@@ -181,4 +197,4 @@ def max_score(vectors: DataFrame) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([longest])], ["longest"])
 
     longest = vectors.select("vec").mapInArrow(run, "longest double").agg(F.max("longest")).first()[0]
-    return math.ceil(longest or 0)
+    return math.ceil(min(longest or 0.0, 2.0**63))

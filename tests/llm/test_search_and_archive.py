@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import struct
 
@@ -150,3 +151,46 @@ def test_mined_rules_block(spark):
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, [], mined).collect()}
     assert got == {i: "block" if any(a <= tokens[i] for a, _ in rules) else "allow" for i in range(400)}
     assert all((got[i] == "block") == (i % 4 == 0) for i in range(400))
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    vectors = {i: (rng.integers(-(2**22), 2**22, 4) + rng.random(4)).tolist() for i in range(30)}
+    vectors[0] = [2.0**22 - 1, 2.0**22 - 3, 1.0, 2.0**22 + 0.5]
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in vectors.items()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(rows, F.col("vec_id") % 10 == 0, 3).collect()}
+    for q in (0, 10, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[v])), v) for v in vectors if v != q)[:3]
+        assert [got[q, k + 1] for k in range(3)] == [(v, -s) for s, v in best]
+    assert max(abs(s) for _, s in got.values()) > 2**53
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+
+
+def test_tokens_of_the_same_pages_are_mined_once(spark):
+    """Twenty segments that always come together would make a million combinations."""
+    path = "/".join(f"s{k}" for k in range(20))
+    pages = spark.createDataFrame([(i, f"https://h{i % 7}.example/{path if i % 4 == 0 else 'x'}/{i}") for i in range(200)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(200)] + [(4, False)], "page_id long, block boolean")
+    rules = url_filter.mine(pages, labels, 0.02).collect()
+    assert 1 <= len(rules) < 100 and any(r["antecedent"] == ["p:s0"] for r in rules)
+    urls = spark.createDataFrame([(1, f"http://other.test/{path}"), (2, "http://other.test/x"), (3, None)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(urls, [], url_filter.mine(pages, labels, 0.02)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+    assert url_filter.mine(pages.limit(0), labels).count() == 0 and url_filter.mine(pages, labels.limit(0)).count() == 0
+
+
+def test_url_query_takes_the_labels_of_the_page(spark):
+    from poolscope.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.op6_url_filter(spark, sf)
+    assert got.columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    block = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        block[r["doc_id"]] = block.get(r["doc_id"], False) or r["toxic"] == 1 or r["quality"] == 0
+    labels = spark.createDataFrame(list(block.items()), "page_id long, block boolean")
+    want = url_filter.judge(pages, queries.URL_RULES, url_filter.mine(pages, labels)).collect()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == pages.count()
