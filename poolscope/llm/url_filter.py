@@ -69,11 +69,30 @@ def given_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return F.array_max(F.array_compact(listed))
 
 
+def telling_tokens(rows: DataFrame, min_support: float) -> DataFrame:
+    """One row with the array `kept` of the tokens to mine: those frequent enough to be in a rule, and of tokens that are on
+    exactly the same pages the first alone, since k such tokens make 2^k combinations that say the same.
+
+    Frequent tokens are at most the mean number of a page's tokens over min_support, so the array is small.
+    """
+    pages = rows.agg(F.count(F.lit(1)).alias("pages"))
+    held = rows.select("page_id", F.explode("tokens").alias("token")).groupBy("token")
+    held = held.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("page_id")).alias("x"), F.sum(F.xxhash64("page_id").cast("decimal(38,0)")).alias("s"))
+    held = held.join(F.broadcast(pages)).filter(F.col("n") >= F.ceil(F.col("pages") * min_support))
+    first = held.groupBy("n", "x", "s").agg(F.min("token").alias("token"))
+    return first.agg(F.collect_set("token").alias("kept"))
+
+
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(antecedent, confidence, lift, support) of rules that lead to blocking; labels: (page_id, block boolean)."""
+    """(antecedent, confidence, lift, support) of rules that lead to blocking; labels: (page_id, block boolean).
+
+    A page with labels of both kinds is blocked; rows that repeat a page id are learned each; without pages, labels or
+    blocked pages there are no rules.
+    """
     host, path = host_and_path(F.col("url"))
     known = labels.groupBy("page_id").agg(F.max("block").alias("block"))
     rows = pages.select("page_id", url_tokens(F.col("url"), host, path).alias("tokens")).join(known, "page_id")
+    rows = rows.withColumn("tokens", F.array_intersect("tokens", telling_tokens(rows, min_support).scalar()))
     items = F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCK_LABEL))).otherwise(F.col("tokens"))
     rows = rows.select(items.alias("items")).filter(F.size("items") > 0)
     kinds = "antecedent array<string>, confidence double, lift double, support double"
