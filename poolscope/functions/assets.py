@@ -86,7 +86,7 @@ def sanitised(raw: Column) -> Column:
     return F.when(text.isNull() | F.contains(text, F.lit("\0")), F.concat(F.lit("BASE64:"), F.base64(raw))).otherwise(text)
 
 
-#: The affiliate's address is the fifth part of a memo, its fee the sixth: one to five digits.
+# The affiliate's address is the fifth part of a memo, its fee the sixth, of one to five digits.
 _ADDRESS, _FEE = r"(?s):.*:.*:.*:(.*):.*", r"(?s):.*:.*:.*:.*:(\d{1,5})(:|$)"
 
 

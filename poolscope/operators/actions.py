@@ -11,6 +11,7 @@ from poolscope.operators.buckets import BadRequest
 
 COIN = "struct<asset:string,amount:long>"
 TX = f"struct<tx_id:string,address:string,coins:array<{COIN}>>"
+# The names and types of what an action tells beside its transactions.
 META = {
     "status": "string", "swapSingle": "boolean", "liquidityFee": "long", "swapTarget": "long", "swapSlip": "long",
     "affiliateFee": "long", "affiliateAddress": "string", "asymmetry": "double", "basisPoints": "long",

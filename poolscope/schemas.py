@@ -10,6 +10,7 @@ import hashlib
 
 from pyspark.sql import types as T
 
+# The names and types of each event table's own columns.
 _COLUMNS = {
     "active_vault_events": "add_asgard_addr string",
     "add_events": "tx string, chain string, from_addr string, to_addr string, asset string, asset_e8 long, memo string, rune_e8 long, pool string",
