@@ -40,7 +40,7 @@ PARTS = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 UNCLEAR_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 #: Words that a worker remembers, twice so many at most, those met last: parts with white space at the beginning and not at
 #: the end, of so many characters at most.
-REMEMBERED, WORD = 100_000, re.compile(r"[\t-\r ]{1,4}[^\t-\r ]{1,40}")
+REMEMBERED, WORD = 200_000, re.compile(r"[\t-\r ]{1,4}[^\t-\r ]{1,40}")
 
 
 class Encoder:
@@ -67,6 +67,10 @@ class Encoder:
             self.sizes[t["id"]] = len(t["content"].encode())
         self.byte_level &= not any(t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in told["added_tokens"])
 
+    def forget(self) -> None:
+        """Leave no words in a worker that goes on to other work."""
+        self.known, self.older = {}, {}
+
     def parts(self, text: str) -> list[str]:
         if not self.byte_level or UNCLEAR_SPACE.search(text):
             return [text]
@@ -172,6 +176,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str | None, capacity: int, separa
                     for k, (start, length) in enumerate(pieces(len(got) // 4, capacity)):
                         rows.append((doc_id, k, start, length, zlib.crc32(got[4 * start : 4 * (start + length)])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
