@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.llm import exact_dedup, langid, mixing, near_dedup, packing, suffix_dedup, topk, toxicity, url_filter, warc
+from poolscope.llm import exact_dedup, langid, mixing, near_dedup, packing, resampling, suffix_dedup, topk, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,6 +196,49 @@ FROM e
 """
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH crc AS (  -- the table of the reflected polynomial 0xEDB88320
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), w AS (
+  SELECT 0 AS part, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), d AS (
+  SELECT part, doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM w
+), g AS (
+  SELECT part, doc_id, row, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]),
+         list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) AS feature FROM d
+), f AS (
+  SELECT feature, xor(list_reduce(list_transform(range(0, octet_length(encode(feature))),
+           lambda k: ('0x' || substr(hex(encode(feature)), (2 * k + 1)::BIGINT, 2))::BIGINT),
+         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM g), crc
+), n AS (
+  SELECT part, row, bucket, count(*) AS n FROM g JOIN f USING (feature) GROUP BY ALL
+), s AS (
+  SELECT b.bucket, coalesce(sum(n) FILTER (part = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (part = 1), 0)::DOUBLE AS t
+  FROM range(10000) b(bucket) LEFT JOIN n USING (bucket) GROUP BY b.bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * ((SELECT sum(t) FROM s) + 10000))))::BIGINT AS gain FROM s
+), weight AS (
+  SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM n JOIN gain USING (bucket) WHERE part = 0 GROUP BY row
+), scored AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+         + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weight USING (row) WHERE part = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= (SELECT 5 * count(*) // 100 FROM scored WHERE n_words >= 20) THEN place END AS rank
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -208,6 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op13_resampling": op13_resampling,
     }
 
 
@@ -219,4 +263,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": OP4_SQL,
         "op5_warc": OP5_SQL,
         "op10_mixing": OP10_SQL,
+        "op13_resampling": OP13_SQL,
     }
