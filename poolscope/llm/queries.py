@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.llm import divergence, exact_dedup, langid, mixing, near_dedup, packing, resampling, suffix_dedup, topk, toxicity, url_filter, warc
+from poolscope.llm import divergence, exact_dedup, langid, mixing, near_dedup, packing, resampling, substring_dedup, suffix_dedup, topk, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,6 +196,29 @@ FROM e
 """
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS seq FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM d)
+), r AS (
+  SELECT doc_id, pos FROM w QUALIFY doc_id > min(doc_id) OVER (PARTITION BY seq)
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS word FROM r
+), gone AS (
+  SELECT doc_id, list(word) AS gone FROM g GROUP BY doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)),
+         lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -289,6 +312,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op11_substring_dedup": op11_substring_dedup,
         "op12_divergence": op12_divergence,
         "op13_resampling": op13_resampling,
     }
@@ -302,6 +326,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": OP4_SQL,
         "op5_warc": OP5_SQL,
         "op10_mixing": OP10_SQL,
+        "op11_substring_dedup": OP11_SQL,
         "op12_divergence": OP12_SQL,
         "op13_resampling": OP13_SQL,
     }
