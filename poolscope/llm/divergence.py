@@ -161,7 +161,7 @@ def distances(postings: DataFrame, groups: DataFrame) -> DataFrame:
                 if unit is None or unit.key != keys[at]:
                     if unit is not None:
                         yield unit.result()
-                    unit = Unit(keys[at])
+                    unit = Unit(keys[at], BLOCK, DENSE_TERMS)
                 unit.add(nos[at:to], terms[at:to], p[at:to])
                 at = to
         if unit is not None:
@@ -181,8 +181,8 @@ def distances(postings: DataFrame, groups: DataFrame) -> DataFrame:
 class Unit:
     """Sums of |p - p'| between the sources of two blocks over the terms of one slice, which come in order."""
 
-    def __init__(self, key: tuple[str, int, int, int]):
-        self.key = key
+    def __init__(self, key: tuple[str, int, int, int], sources: int, terms: int):
+        self.key, self.sources, self.terms = key, sources, terms
         self.nos: list[int] = []
         self.p0: list[int] = []
         self.place: dict[int, int] = {}
@@ -201,17 +201,17 @@ class Unit:
             if term != self.last:
                 self.last = term
                 self.row += 1
-                if self.row == DENSE_TERMS:
+                if self.row == self.terms:
                     self.compare()
             self.dense[self.row, self.place[no]] = value
 
     def begin(self) -> None:
-        block = np.array(self.nos) // BLOCK
+        block = np.array(self.nos) // self.sources
         one, two = (np.flatnonzero(block == b) for b in self.key[1:3])
         self.one, self.two = one, two
         self.sums = np.zeros((len(one), len(two)), np.int64)
         self.even = np.array(self.p0, np.int64)
-        self.dense = np.tile(self.even, (DENSE_TERMS, 1))
+        self.dense = np.tile(self.even, (self.terms, 1))
 
     def compare(self) -> None:
         some = self.dense[: self.row]

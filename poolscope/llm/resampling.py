@@ -9,6 +9,8 @@ out of a global sort of the narrow scores: a row's place in its partition plus t
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,13 +72,9 @@ def bucket_totals(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """The gain of every bucket: floor(1000 ln) of the target's smoothed share over the corpus's. Totals as bucket_totals."""
-    every = corpus.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
-    every = every.join(corpus.withColumnRenamed("n", "s"), "bucket", "left").join(target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0)
-    sums = every.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    one = lambda c: F.col(c).cast("double")
-    ratio = (one("t") + 1) * (one("all_s") + buckets) / ((one("s") + 1) * (one("all_t") + buckets))
-    got = every.crossJoin(F.broadcast(sums)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
-    return [r["gain"] for r in sorted(got.collect())]
+    s, t = ({r["bucket"]: r["n"] for r in totals.collect()} for totals in (corpus, target))  # a row a bucket at most
+    all_s, all_t = sum(s.values()) + buckets, sum(t.values()) + buckets
+    return [math.floor(1000 * math.log((t.get(b, 0) + 1.0) * all_s / ((s.get(b, 0) + 1.0) * all_t))) for b in range(buckets)]
 
 
 def weight(gain: list[int]) -> Column:

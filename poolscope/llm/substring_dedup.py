@@ -155,17 +155,17 @@ RANGE = np.dtype([("first", "<i4"), ("count", "<i4")])
 
 def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
     """(bucket, sure, blob) of all anchors. Those that a task meets in two documents are sure to be wanted: they are dealt
-    by document, and one row for document -1 stands for them.
+    by document, and one row with 0 windows stands for them.
     """
 
     def run(batches):
         held: list[list[np.ndarray]] = []
 
         def flush():
-            if not held:
-                return
             arrays = [np.concatenate(a).astype(k) for a, k in zip(zip(*held), ANCHOR_KINDS)]
             held.clear()
+            if not arrays or not len(arrays[0]):
+                return
             order = np.lexsort((arrays[2], arrays[0]))
             arrays = [a[order] for a in arrays]
             head = np.flatnonzero(np.concatenate([[True], arrays[0][1:] != arrays[0][:-1]]))
@@ -173,7 +173,7 @@ def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
             several = arrays[2][head] != arrays[2][tail]
             sure = np.repeat(several, tail - head + 1)
             alone = [np.concatenate([a[~sure], a[head[several]]]) for a in arrays]
-            alone[1][(~sure).sum() :] = -1
+            alone[4][(~sure).sum() :] = 0
             rows = [(k, False, pack(*some)) for k, some in dealt(alone, n_buckets)]
             known = [a[sure] for a in arrays]
             rows += [(k, True, pack(*some)) for k, some in dealt(known, n_buckets, mix64(known[1].view("<u8")))]
@@ -207,9 +207,9 @@ def repeated_anchors(sent: DataFrame, n_buckets: int) -> DataFrame:
             order = np.lexsort((place, anchor))
             head = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
             ends = np.append(head[1:], len(order))
-            several = (place[order][head] != place[order][ends - 1]) | np.logical_or.reduceat(uid[order] < 0, head)
+            several = (place[order][head] != place[order][ends - 1]) | (np.minimum.reduceat(count[order], head) == 0)
             keep = order[np.repeat(several, ends - head)]
-            keep = keep[uid[keep] >= 0] if (uid < 0).any() else keep
+            keep = keep[count[keep] > 0]
             yield from answers(uid[keep], first[keep], count[keep])
 
     def answers(uid, first, count):
@@ -453,7 +453,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs: (doc_id, text, ...); words are runs without ASCII white space, taken as they are; a null text has none, and texts
     of fewer than `length` words lose nothing. Windows are judged on the input, and only against documents with a smaller
     id: repeats within a document stay, as do those between rows that share an id. A null id is the smallest. Rows that
-    share id and text are one document and come out once. Other columns are not read. An empty table gives no rows.
+    share id and text are one document, reported for each. Other columns are not read. An empty table gives no rows.
     """
     if length < 2:
         raise ValueError("a repeat has at least two words")
