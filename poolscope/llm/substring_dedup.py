@@ -2,15 +2,17 @@
 
 A window is `length` consecutive words; a document loses the windows that also start in a document with a smaller id.
 
-1. Prefixes: every task counts the prefixes of its suffixes, longer ones only where the shorter is frequent. Prefixes
-   with more than a fixed share of all suffixes are extended by one word, so that suffixes fall into groups that fit into
-   a task's memory, whatever words they begin with.
-2. Candidates: a window's anchor is the smallest hash of its runs of ANCHOR words, so equal windows have equal anchors.
-   Windows whose anchor is met in one document only can't repeat and need no tree.
-3. A task ranks the windows of its candidates by prefix doubling. Of equal windows those in its smallest document go on;
-   the others are known to repeat. Suffixes, cut at `length` words, go to the group of their prefix with their words.
-4. A group sorts its suffixes by their words and takes the common prefixes of neighbours: the subtree's internal nodes
-   at a depth of `length` words are the repeats. All their suffixes but those in the smallest document are removed.
+1. A window's anchor is its run of ANCHOR words with the smallest hash, so equal windows have equal anchors. Consecutive
+   windows with one anchor form a piece; pieces whose anchor is met in one document only can't repeat and go no further.
+2. Suffixes are dealt by the words from their anchor on, since so the windows of a piece travel together (shipped one by
+   one, each with its words, they took over three times as much). Tasks count the prefixes of these sequences, longer ones
+   only where the shorter is frequent, and prefixes with more than a fixed share of all are extended by one word: groups
+   fit into a task's memory, whatever the words. Where all words of an anchor are still too frequent, each window goes on
+   its own, by all of its words.
+3. Of equal pieces a task sends those in its smallest document; the others are known to repeat.
+4. A group sorts the suffixes of its windows, cut at `length` words, and takes the common prefixes of neighbours: the
+   subtree's internal nodes at a depth of `length` words are the repeats. All their suffixes but those in the smallest
+   document are removed.
 5. Removed ranges go back to their documents.
 
 Within a task words are told apart by a hash of 64 bits, in a group by their bytes. A passage that very many documents
@@ -35,12 +37,13 @@ from poolscope.llm.suffix_dedup import with_uids
 LENGTH, ANCHOR = 13, 7
 #: Bytes of text for each bucket of anchors and each group of suffixes, about.
 BUCKET_BYTES = 24 << 20
-#: Prefixes with more than this part of a bucket's suffixes are extended; at most 2**22 prefixes of each length are.
+#: Prefixes with more than this part of a bucket's pieces are extended; at most 2**22 prefixes of each length are.
 PART, MOST_PREFIXES = 4, 1 << 22
 #: A prefix that a task meets so rarely, among the words it holds, isn't reported.
 LEAST_COUNT = 4
 #: Words and anchors that a task gathers before it sends them on.
 FLUSH_WORDS, FLUSH_ANCHORS = 3_000_000, 2_000_000
+POSITION_BITS, HASH_BITS = 24, 48
 SPACE = np.zeros(256, bool)
 SPACE[[ord(c) for c in WHITE_SPACE]] = True
 
@@ -65,21 +68,60 @@ def extended(hashed: np.ndarray, code: np.ndarray) -> np.ndarray:
     return mix64(hashed * np.uint64(BASE) + code)
 
 
+def anchors_of(row: np.ndarray, code: np.ndarray, length: int):
+    """(first word, windows, place of the anchor, its hash) of each piece; words are counted from the chunk's first."""
+    size = min(ANCHOR, length)
+    n, span = len(code) - length + 1, length - size + 1
+    if n < 1:
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+    gram = np.zeros(len(code) - size + 1, np.uint64)
+    for k in range(size):
+        gram = gram * np.uint64(BASE) + code[k : k + len(gram)]
+    gram = mix64(gram)
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    firsts, counts, places = [], [], []
+    step = 1 << 22  # positions must fit into POSITION_BITS
+    for base in range(0, n, step):
+        least = gram[base : base + step + span - 1] & ~low
+        least |= np.arange(len(least), dtype=np.uint64)
+        wide, total = 1, len(least)
+        while 2 * wide <= span:
+            least = np.minimum(least[:-wide], least[wide:])
+            wide *= 2
+        total -= span - 1
+        least = np.minimum(least[:total], least[span - wide : span - wide + total])
+        start = np.arange(base, base + total)
+        valid = row[start] == row[start + length - 1]
+        start, place = start[valid], (least[valid] & low).astype(np.int64) + base
+        if not len(start):
+            continue
+        cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        firsts.append(start[cut])
+        counts.append(np.diff(np.append(cut, len(start))))
+        places.append(place[cut])
+    if not firsts:
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+    first, count, place = (np.concatenate(a) for a in (firsts, counts, places))
+    return first, count, place, gram[place] >> np.uint64(64 - HASH_BITS) << np.uint64(64 - HASH_BITS)
+
+
 def prefix_counts(docs: DataFrame, length: int, share: float) -> DataFrame:
-    """(size, hash, n) of prefixes that begin more than `share` of a task's suffixes; size 0 counts all suffixes."""
+    """(size, hash, n) of prefixes at more than `share` of a task's anchors; size 0 counts all anchors."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
+            before = np.cumsum([0, *(len(h[0]) for h in held)])
+            at = np.concatenate([h[1] + b for h, b in zip(held, before)])
             code = np.concatenate([h[0] for h in held])
-            room = np.concatenate([h[1] for h in held])  # words from here to the document's end
             held.clear()
-            at = np.flatnonzero(room >= length)
             least = max(share * len(at), LEAST_COUNT)
             sizes, hashes, counts = [np.zeros(1)], [np.zeros(1, np.uint64)], [np.full(1, len(at))]
             hashed = np.zeros(len(at), np.uint64)
-            for size in range(1, length):
+            for size in range(1, min(ANCHOR, length) + 1):
+                if not len(at):
+                    break
                 hashed = extended(hashed, code[at + size - 1])
                 found, where, n = np.unique(hashed, return_inverse=True, return_counts=True)
                 often = n > least
@@ -88,8 +130,6 @@ def prefix_counts(docs: DataFrame, length: int, share: float) -> DataFrame:
                 counts.append(n[often])
                 go_on = often[where]
                 at, hashed = at[go_on], hashed[go_on]
-                if not len(at):
-                    break
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts), pa.int64())],
                 ["size", "hash", "n"],
@@ -99,8 +139,7 @@ def prefix_counts(docs: DataFrame, length: int, share: float) -> DataFrame:
         for batch in batches:
             for _, offsets, data in byte_chunks(batch.column(0)):
                 _, _, row, code = words_in(offsets, data)
-                end = np.searchsorted(row, row, "right")
-                held.append((code, end - np.arange(len(row))))
+                held.append((code, anchors_of(row, code, length)[2]))
                 total += len(row)
                 if total > FLUSH_WORDS:
                     yield from flush()
@@ -113,9 +152,9 @@ def prefix_counts(docs: DataFrame, length: int, share: float) -> DataFrame:
 
 
 def heavy_prefixes(docs: DataFrame, length: int, share: float) -> dict[int, np.ndarray]:
-    """By length the sorted hashes of the prefixes that begin more than `share` of all suffixes: at most 1 / share a length.
+    """By length the sorted hashes of the prefixes at more than `share` of all anchors: at most 1 / share a length.
 
-    A sum lacks at most that share, and LEAST_COUNT for each report, so no prefix that begins clearly more than twice the
+    A sum lacks at most that share, and LEAST_COUNT for each report, so no prefix with clearly more than twice the
     share is missed.
     """
     counts = materialize(prefix_counts(docs, length, share), "prefixes")
@@ -126,31 +165,8 @@ def heavy_prefixes(docs: DataFrame, length: int, share: float) -> dict[int, np.n
     return {k: np.sort(np.array(v, np.int64).view(np.uint64)) for k, v in heavy.items()}
 
 
-def anchors_of(row: np.ndarray, code: np.ndarray, length: int):
-    """(row, first window, windows, anchor) of each run of windows with one anchor; windows are counted from 0 in their row."""
-    n = len(code) - length + 1
-    if n < 1:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
-    size = min(ANCHOR, length)
-    gram = np.zeros(len(code) - size + 1, np.uint64)
-    for k in range(size):
-        gram = gram * np.uint64(BASE) + code[k : k + len(gram)]
-    gram, span = mix64(gram), length - size + 1
-    least, wide = gram, 1
-    while 2 * wide <= span:
-        least = np.minimum(least[:-wide], least[wide:])
-        wide *= 2
-    if wide < span:
-        least = np.minimum(least[: n], least[span - wide : span - wide + n])
-    valid = np.flatnonzero(row[:n] == row[length - 1 :])
-    least, own = least[valid], row[valid]
-    cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (own[1:] != own[:-1])])) if len(valid) else valid
-    count = np.diff(np.append(cut, len(valid)))
-    return own[cut], valid[cut] - np.searchsorted(row, own[cut]), count, least[cut]
-
-
-ANCHOR_KINDS = ("<u8", "<i8", "<i8", "<i4", "<i4")  # anchor, document, its place in the order, first window, windows
-RANGE = np.dtype([("first", "<i4"), ("count", "<i4")])
+ANCHOR_KINDS = ("<u8", "<i8", "<i8", "<i4", "u1", "u1")  # anchor, document, its place in the order less its number, first word, windows, anchor's place
+RANGE = np.dtype([("first", "<i4"), ("count", "u1"), ("lead", "u1")])
 
 
 def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
@@ -166,11 +182,12 @@ def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
             held.clear()
             if not arrays or not len(arrays[0]):
                 return
-            order = np.lexsort((arrays[2], arrays[0]))
+            order = np.lexsort((arrays[1] + arrays[2], arrays[0]))
             arrays = [a[order] for a in arrays]
+            place = arrays[1] + arrays[2]
             head = np.flatnonzero(np.concatenate([[True], arrays[0][1:] != arrays[0][:-1]]))
             tail = np.append(head[1:], len(order)) - 1
-            several = arrays[2][head] != arrays[2][tail]
+            several = place[head] != place[tail]
             sure = np.repeat(several, tail - head + 1)
             alone = [np.concatenate([a[~sure], a[head[several]]]) for a in arrays]
             alone[4][(~sure).sum() :] = 0
@@ -184,8 +201,10 @@ def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
             uid, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, offsets, data in byte_chunks(batch.column(2)):
                 _, _, row, code = words_in(offsets, data)
-                own, first, count, anchor = anchors_of(row, code, length)
-                held.append([anchor, uid[at + own], place[at + own], first, count])
+                first, count, spot, anchor = anchors_of(row, code, length)
+                own = row[first]
+                begin = np.searchsorted(row, np.arange(len(offsets)))[own]
+                held.append([anchor, uid[at + own], place[at + own] - uid[at + own], first - begin, count, spot - first])
             if sum(len(h[0]) for h in held) > FLUSH_ANCHORS:
                 yield from flush()
         yield from flush()
@@ -200,23 +219,24 @@ def repeated_anchors(sent: DataFrame, n_buckets: int) -> DataFrame:
         asked = [unpack(b, *ANCHOR_KINDS) for sure, b in held if not sure]
         for sure, blob in held:
             if sure:
-                _, uid, _, first, count = unpack(blob, *ANCHOR_KINDS)
-                yield from answers(uid, first, count)
+                _, uid, _, *piece = unpack(blob, *ANCHOR_KINDS)
+                yield from answers(uid, *piece)
         if asked:
-            anchor, uid, place, first, count = (np.concatenate(a) for a in zip(*asked))
+            anchor, uid, place, first, count, lead = (np.concatenate(a) for a in zip(*asked))
+            place = uid + place
             order = np.lexsort((place, anchor))
             head = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
             ends = np.append(head[1:], len(order))
             several = (place[order][head] != place[order][ends - 1]) | (np.minimum.reduceat(count[order], head) == 0)
             keep = order[np.repeat(several, ends - head)]
             keep = keep[count[keep] > 0]
-            yield from answers(uid[keep], first[keep], count[keep])
+            yield from answers(uid[keep], first[keep], count[keep], lead[keep])
 
-    def answers(uid, first, count):
+    def answers(uid, first, count, lead):
         if not len(uid):
             return
         by = np.argsort(uid, kind="stable")
-        uid, rows = uid[by], np.rec.fromarrays([first[by], count[by]], dtype=RANGE)
+        uid, rows = uid[by], np.rec.fromarrays([first[by], count[by], lead[by]], dtype=RANGE)
         cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])), [len(uid)]])
         for at in range(0, len(cuts) - 1, 20_000):
             some = cuts[at : at + 20_001]
@@ -226,84 +246,76 @@ def repeated_anchors(sent: DataFrame, n_buckets: int) -> DataFrame:
     return by_bucket(sent, finish, "uid long, blob binary", n_buckets)
 
 
-def group_hash(code: np.ndarray, at: np.ndarray, length: int, heavy: dict[int, np.ndarray]) -> np.ndarray:
-    """The hash of the shortest prefix of each suffix that isn't to be extended."""
-    out = np.zeros(len(at), np.uint64)
-    left, hashed = np.arange(len(at)), np.zeros(len(at), np.uint64)
+def group_hash(code: np.ndarray, at: np.ndarray, length: int, heavy: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the shortest prefix of each sequence that isn't to be extended, and whether all `length` words are."""
+    out, left, hashed = np.zeros(len(at), np.uint64), np.arange(len(at)), np.zeros(len(at), np.uint64)
     for size in range(1, length + 1):
         hashed = extended(hashed, code[at[left] + size - 1])
         out[left] = hashed
-        known = heavy.get(size)
-        if known is None:
-            break
-        spot = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-        longer = known[spot] == hashed
+        known = heavy.get(size, np.zeros(0, np.uint64))
+        longer = known[np.minimum(np.searchsorted(known, hashed), len(known) - 1)] == hashed if len(known) else np.zeros(len(left), bool)
         left, hashed = left[longer], hashed[longer]
-        if not len(left):
-            break
-    return out
-
-
-def window_ranks(code: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the windows at `at` by their words' hashes: equal windows have equal ranks. By prefix doubling."""
-    rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-    size = 1
-    pad = np.zeros(length, np.int64)
-    while 2 * size <= length:
-        longer = np.append(rank, pad)[size : size + len(rank)]
-        rank = np.unique(rank << 32 | longer, return_inverse=True)[1].astype(np.int64)
-        size *= 2
-    last = np.append(rank, pad)[at + length - size]
-    return np.unique(rank[at] << 32 | last, return_inverse=True)[1].astype(np.int64)
+    too_often = np.zeros(len(at), bool)
+    too_often[left] = True
+    return out, too_often
 
 
-SUFFIX_KINDS = ("<u4", "<i8", "<i8", "<i4", "<i4", "u1")  # words (column by column), document, place, window, lengths and bytes of the words
+SUFFIX_KINDS = ("<u4", "<i8", "<i8", "<i4", "u1", "<i4", "u1")  # words, document, place less it, first word, windows, lengths and bytes of the words
 REMOVED_KINDS = ("<i8", "<i4", "<i4")  # document, first and last + 1 removed word
 
 
 def send_suffixes(asked: DataFrame, length: int, n_buckets: int, heavy: dict[int, np.ndarray]) -> DataFrame:
-    """(bucket, direct, blob): suffixes of the smallest document of each window of a task, and directly what repeats them."""
+    """(bucket, direct, blob): a task's pieces of its smallest documents, and directly the ranges that repeat one of them."""
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
+        words: list[list[np.ndarray]] = []
+        pieces: list[list[np.ndarray]] = []
 
         def flush():
-            if not held:
+            if not pieces:
                 return
-            code, run_no, uid, place, index, starts, ends = ([], [], [], [], [], [], [])
-            texts, runs, size = [], 0, 0
-            for data, h, r, u, p, i, s, e in held:
-                for out, a in ((code, h), (run_no, r + runs), (uid, u), (place, p), (index, i), (starts, s + size), (ends, e + size)):
-                    out.append(a)
-                texts.append(data)
-                runs += int(r[-1]) + 1
-                size += len(data)
-            held.clear()
-            code, run_no, uid, place, index, starts, ends = (np.concatenate(a) for a in (code, run_no, uid, place, index, starts, ends))
-            text = np.concatenate(texts)
-            n = len(code) - length + 1
-            at = np.flatnonzero(run_no[:n] == run_no[length - 1 :])
-            rank = window_ranks(code, at, length)
-            least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, rank, place[at])
-            go_on = place[at] == least[rank]
-            gone = at[~go_on]
+            at_word = np.cumsum([0, *(len(w[1]) for w in words)])
+            at_byte = np.cumsum([0, *(len(w[0]) for w in words)])
+            text = np.concatenate([w[0] for w in words])
+            code = np.concatenate([w[1] for w in words])
+            starts, ends = (np.concatenate([w[k] + b for w, b in zip(words, at_byte)]) for k in (2, 3))
+            begin = np.concatenate([p[0] + b for p, b in zip(pieces, at_word)])
+            uid, place, first, count, lead = (np.concatenate([p[k] for p in pieces]).astype(np.int64) for k in range(1, 6))
+            words.clear()
+            pieces.clear()
+            group, often = group_hash(code, begin + lead, min(ANCHOR, length), heavy)
+            if often.any():  # window by window
+                each = count[often]
+                step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                alone = [np.repeat(a[often], each) for a in (uid, place)]
+                begin_alone, first_alone = (np.repeat(a[often], each) + step for a in (begin, first))
+                own = np.zeros(len(step), np.uint64)
+                for k in range(length):
+                    own = extended(own, code[begin_alone + k])
+                uid, place = (np.concatenate([a[~often], b]) for a, b in zip((uid, place), alone))
+                begin, first, count = np.append(begin[~often], begin_alone), np.append(first[~often], first_alone), np.append(count[~often], np.ones(len(step), np.int64))
+                group = np.append(group[~often], own)
+            n_words = count + length - 1
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * powers(BASE, len(code)))])
+            same = mix64((sums[begin + n_words] - sums[begin]) * powers(INVERSE, len(code) + 1)[begin]) + n_words.astype(np.uint64)
+            _, kind = np.unique(same, return_inverse=True)
+            least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, kind, place)
+            go_on = place == least[kind]
             out = []
-            if len(gone):
-                cut = np.flatnonzero(np.concatenate([[True], (np.diff(gone) != 1) | (run_no[gone[1:]] != run_no[gone[:-1]])]))
-                stop = gone[np.append(cut[1:], len(gone)) - 1]
-                columns = [uid[gone[cut]].astype("<i8"), index[gone[cut]].astype("<i4"), (index[stop] + length).astype("<i4")]
+            if not go_on.all():
+                columns = [uid[~go_on].astype("<i8"), first[~go_on].astype("<i4"), (first + n_words)[~go_on].astype("<i4")]
                 out += [(k, True, pack(*some)) for k, some in dealt(columns, n_buckets, mix64(columns[0].view("<u8")))]
-            at, rank = at[go_on], rank[go_on]
-            order = np.argsort(rank, kind="stable")
-            at = at[order]
-            for k, (some,) in dealt([at], n_buckets, group_hash(code, at, length, heavy)):
-                spread = (some[None, :] + np.arange(length)[:, None]).ravel()
+            kept = np.flatnonzero(go_on)
+            kept = kept[np.argsort(group[kept], kind="stable")]
+            for k, (some,) in dealt([kept], n_buckets, group[kept]):
+                n = n_words[some]
+                spread = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 _, one, word = np.unique(code[spread], return_index=True, return_inverse=True)
                 where = spread[one]
                 lengths = ends[where] - starts[where]
-                body = text[np.repeat(starts[where] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())]
-                arrays = (word, uid[some], place[some], index[some], lengths)
+                body = text[np.repeat(starts[where] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+                arrays = (word, uid[some], place[some] - uid[some], first[some], count[some], lengths)
                 out.append((k, False, pack(*(a.astype(kind) for a, kind in zip(arrays, SUFFIX_KINDS)), body)))
             kinds, names = [pa.int32(), pa.bool_(), pa.binary()], ["bucket", "direct", "blob"]
             for a in range(0, len(out), 32):
@@ -318,17 +330,12 @@ def send_suffixes(asked: DataFrame, length: int, n_buckets: int, heavy: dict[int
                     continue
                 starts, ends, row, code = words_in(offsets, data)
                 base = np.searchsorted(row, np.arange(len(offsets)))
-                wanted = np.zeros(len(row) + 1, np.int32)
-                for k, some in ranges:
-                    np.add.at(wanted, base[k] + some["first"], 1)
-                    np.add.at(wanted, base[k] + some["first"] + some["count"] + length - 1, -1)
-                word = np.flatnonzero(np.cumsum(wanted[:-1]))
-                # neighbouring ranges of one document are one run; a window that nobody asked for does no harm
-                breaks = (np.diff(word) != 1) | (row[word[1:]] != row[word[:-1]])
-                run_no = np.concatenate([[0], np.cumsum(breaks)])
-                kept = row[word]
-                held.append([data, code[word], run_no, uid[a + kept], place[a + kept], word - base[kept], starts[word], ends[word]])
-                total += len(word)
+                own = np.repeat([k for k, _ in ranges], [len(r) for _, r in ranges])
+                some = np.concatenate([r for _, r in ranges])
+                words.append([data, code, starts, ends])
+                pieces.append([base[own] + some["first"], uid[a + own], place[a + own], some["first"], some["count"], some["lead"]])
+                # chunks are counted from their first word, so a flush takes whole chunks
+                total += len(row)
                 if total > FLUSH_WORDS:
                     yield from flush()
                     total = 0
@@ -381,10 +388,14 @@ def removed_ranges(sent: DataFrame, length: int, n_buckets: int) -> DataFrame:
             if direct:
                 yield ranges(*(a.astype(np.int64) for a in unpack(blob, *REMOVED_KINDS)))
                 continue
-            word, uid, place, index, lengths, body = unpack(blob, *SUFFIX_KINDS)
+            word, uid, place, first, count, lengths, body = unpack(blob, *SUFFIX_KINDS)
             body, ends = body.tobytes(), np.cumsum(lengths).tolist()
             ids = np.array([known.setdefault(body[a:b], len(known)) for a, b in zip([0, *ends], ends)], np.int32)
-            columns.append((ids[word].reshape(length, -1), uid, place, index))
+            count = count.astype(np.int64)
+            window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            start = np.repeat(np.cumsum(count + length - 1) - (count + length - 1), count) + window
+            suffixes = ids[word][start[None, :] + np.arange(length)[:, None]]
+            columns.append((suffixes, np.repeat(uid, count), np.repeat(uid + place, count), np.repeat(first, count) + window))
         if not columns:
             return
         words, uid, place, index = (np.concatenate(a, axis=-1) for a in zip(*columns))
@@ -455,8 +466,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     id: repeats within a document stay, as do those between rows that share an id. A null id is the smallest. Rows that
     share id and text are one document, reported for each. Other columns are not read. An empty table gives no rows.
     """
-    if length < 2:
-        raise ValueError("a repeat has at least two words")
+    if not 2 <= length <= 255:
+        raise ValueError("a window has 2 to 255 words")
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     n_buckets = max(1, math.ceil(size / BUCKET_BYTES))
     share = max(1 / (PART * n_buckets), 1 / MOST_PREFIXES)

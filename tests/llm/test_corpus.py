@@ -65,7 +65,7 @@ def test_substring_dedup_with_many_groups_and_frequent_prefixes(spark, monkeypat
         rows.append((i * 7 - 100, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     heavy = substring_dedup.heavy_prefixes(docs, 13, 1 / 80)
-    assert max(heavy) > 5 and all(len(h) <= 80 for h in heavy.values())
+    assert max(heavy) == 7 and all(len(h) <= 80 for h in heavy.values())
     assert found(substring_dedup.substring_dedup(docs)) == without_repeats(rows, 13)
 
 
@@ -87,10 +87,23 @@ def test_prefixes_that_many_suffixes_share_are_extended():
     at = np.array([0, 3])
     start = substring_dedup.extended(np.zeros(1, np.uint64), code[:1])
     heavy = {1: start, 2: substring_dedup.extended(start, code[1:2])}
-    plain = substring_dedup.group_hash(code, at, 3, {})
-    assert plain[0] == plain[1] == start[0]
-    apart = substring_dedup.group_hash(code, at, 3, heavy)
-    assert apart[0] != apart[1]
+    plain, often = substring_dedup.group_hash(code, at, 3, {})
+    assert plain[0] == plain[1] == start[0] and not often.any()
+    apart, often = substring_dedup.group_hash(code, at, 3, heavy)
+    assert apart[0] != apart[1] and not often.any()
+    assert substring_dedup.group_hash(code, at, 2, heavy)[1].all()
+
+
+def test_windows_of_frequent_anchors_go_on_their_own(spark, monkeypatch):
+    """Every prefix is to be extended: all windows are dealt one by one, with the same result."""
+    monkeypatch.setattr(substring_dedup, "MOST_PREFIXES", 10**9)
+    monkeypatch.setattr(substring_dedup, "PART", 10**6)
+    monkeypatch.setattr(substring_dedup, "LEAST_COUNT", 0)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(25)]
+    rows = [(i, " ".join([f"x{rng.randrange(9)}" for _ in range(rng.randrange(9))] + passage[rng.randrange(9) :] + [f"y{i}"] * 3)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(substring_dedup.substring_dedup(docs)) == without_repeats(rows, 13)
 
 
 def audited(rows, min_docs, k):
