@@ -166,7 +166,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         rows = state.join(counted, state["vec_id"] == counted["query_id"], "left")
         first = F.max_by(F.struct("bin", "n", "reached"), F.when(F.col("reached") >= F.col("need"), F.col("bin")))
         rows = rows.groupBy("vec_id", "dim", "vec", "lo", "hi", "need").agg(first.alias("at"))
-        step = F.ceil((F.col("hi") - F.col("lo")) / BINS)
+        step = F.call_function("div", F.col("hi") - F.col("lo") + (BINS - 1), F.lit(BINS))  # on longs, as count_bins has it
         lo = F.col("lo") + F.col("at.bin") * step
         found = F.col("at").isNotNull()
         state = materialize(
@@ -186,14 +186,14 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
 
 def max_score(vectors: DataFrame) -> int:
-    """A bound of every score: the largest squared length."""
+    """A bound of every score: the largest squared length, and what its sum in doubles may lack."""
 
     def run(batches):
         for batch in batches:
             longest = 0.0
             for vec in batch.column(0).to_pylist():
                 v = np.frombuffer(vec, "<f8")
-                longest = max(longest, float(v @ v))
+                longest = max(longest, float(v @ v) * (1 + (len(v) + 1) * 2.0**-51))
             yield pa.RecordBatch.from_arrays([pa.array([longest])], ["longest"])
 
     longest = vectors.select("vec").mapInArrow(run, "longest double").agg(F.max("longest")).first()[0]
