@@ -8,7 +8,7 @@ anchor form a piece, and only pieces with the same anchor can hold equal windows
    that a task meets twice needs no answer: its pieces are known to be wanted, and one row stands for all of them.
 2. The pieces of those anchors are cut from the texts and dealt into buckets by anchor, or where an anchor is frequent by
    the anchor and CONTEXT bytes beside it: a window has at least so many on one side of its anchor, and equal windows have
-   the same. Of pieces that are equal byte for byte the earliest goes on; all windows of the others repeat it.
+   the same. Which anchors are frequent is settled beforehand over all tasks, and every task goes by the same list. Of pieces that are equal byte for byte the earliest goes on; all windows of the others repeat it.
 3. A bucket takes anchors with different pieces as a collection of documents, aligned at their anchors, and builds the
    collection's Burrows-Wheeler transform column by column: each round inserts one symbol per piece, from the last
    column to the first, and updates the order of the suffixes and their common prefixes, which pass from round to round
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from poolscope.llm.blobs import by_bucket, dealt, pack, unpack
 from poolscope.llm.common import BASE, INVERSE, byte_chunks, materialize, mix64, new_folder, powers, prefix_hash
 from poolscope.llm.warc import open_folder
 
@@ -44,8 +45,11 @@ FLUSH_ANCHORS, FLUSH_BYTES = 3_000_000, 96 << 20
 COLLECTION_SYMBOLS = 16_000_000
 #: Bytes of text for each bucket, about.
 BUCKET_BYTES = 12 << 20
-#: An anchor with so many occurrences (as far as buckets see them) is dealt by its context of so many bytes, too.
-FREQUENT, CONTEXT = 2000, 40
+#: An anchor with about so many occurrences in all is dealt by its context of so many bytes, too. Of very large inputs it
+#: is those with more than 1 / MOST_FREQUENT of all occurrences, so that the list of them has a bound.
+FREQUENT, CONTEXT, MOST_FREQUENT = 2000, 40, 1 << 20
+#: An anchor that a task meets so rarely, among those it gathers, isn't reported as frequent.
+LEAST_COUNT = 4
 #: Repeated ranges that a task gathers before it sends them on.
 FLUSH_RANGES = 500_000
 POSITION_BITS = 24
@@ -90,41 +94,52 @@ def anchors_of(offsets: np.ndarray, data: np.ndarray, length: int):
     return [np.concatenate(x) for x in (out_row, out_first, out_count, out_lead, out_hash)]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    import zstandard
+ANCHOR_KINDS = ("<u8", "<i8", "<i4", "<i4", "<i4")  # hash, document, first window, windows, anchor's place
+PIECE_KINDS = (*ANCHOR_KINDS, "u1")  # and the bytes, end to end
+DIRECT_KINDS = ("<i8", "<i4", "<i4")  # document, first and last + 1 removed byte
 
-    head = np.array([a.nbytes for a in arrays], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
 
+def frequent_anchors(docs: DataFrame, length: int, size: int) -> np.ndarray:
+    """The sorted hashes of the anchors with more than FREQUENT occurrences in texts of `size` bytes.
 
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    import zstandard
+    A task reports those that make more than a share of its own anchors; a sum lacks at most that share of all, so an
+    anchor with clearly more than twice as many is never missed. Results don't depend on the list, only bucket sizes do.
+    """
+    share = max(FREQUENT * (length - ANCHOR + 2) / (2 * max(size, 1)), 1 / MOST_FREQUENT)
 
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    sizes, at, out = np.frombuffer(data, "<i8", len(kinds)), 8 * len(kinds), []
-    for kind, size in zip(kinds, sizes):
-        out.append(np.frombuffer(data, kind, int(size) // np.dtype(kind).itemsize, at))
-        at += int(size)
-    return out
+    def run(batches):
+        held: list[np.ndarray] = []
 
+        def flush():
+            hashed = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            found, n = np.unique(hashed, return_counts=True)
+            often = n > max(share * len(hashed), LEAST_COUNT)
+            arrays = [pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["hash", "n"])
 
-ANCHOR_KINDS = ("<u8", "<i8", "<i4", "<i4", "<i4")  # hash, document, first window, windows, anchor's place
-PIECE_KINDS = (*ANCHOR_KINDS, "u1")  # and the bytes, end to end
-DIRECT_KINDS = ("<i8", "<i4", "<i4")  # document, first and last + 1 removed byte
+        for batch in batches:
+            for _, offsets, data in byte_chunks(batch.column(0)):
+                held.append(anchors_of(offsets, data, length)[4])
+            if sum(map(len, held)) > FLUSH_ANCHORS:
+                yield from flush()
+        yield from flush()
 
+    counts = docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    least = max(FREQUENT, 2 * size / (length - ANCHOR + 2) / MOST_FREQUENT)
+    return np.sort(np.array([r["hash"] for r in counts.filter(F.col("n") > least).collect()], np.int64).view(np.uint64))
 
-def _dealt(arrays: list[np.ndarray], n_buckets: int, by: np.ndarray | None = None):
-    """The arrays' rows by bucket of the hash, which is the first of them unless given; order within a bucket kept."""
-    bucket = ((arrays[0] if by is None else by) >> np.uint64(20)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-    for k in np.flatnonzero(np.diff(cuts)):
-        yield int(k), [a[order[cuts[k] : cuts[k + 1]]] for a in arrays]
+
+def is_in(hashed: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(hashed), bool)
+    return known[np.minimum(np.searchsorted(known, hashed), len(known) - 1)] == hashed
 
 
 def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
     """(bucket, sure, blob) of all anchors. Those that a task meets more than once are sure to be wanted: they are dealt by
-    document, and one row without a document stands for them, with their number.
+    document, and one row without windows stands for them.
     """
 
     def run(batches):
@@ -137,13 +152,11 @@ def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
             held.clear()
             _, one, where, n = np.unique(arrays[0], return_index=True, return_inverse=True, return_counts=True)
             sure = n[where] > 1
-            signs = one[n > 1]
-            alone = [np.concatenate([a[~sure], a[signs]]) for a in arrays]
-            times = np.concatenate([np.ones((~sure).sum(), np.int64), n[n > 1]])
-            alone[2:] = [np.where(times > 1, -1, alone[2]).astype("<i4"), np.where(times > 1, times, alone[3]).astype("<i4"), alone[4]]
-            rows = [(k, False, _pack(*some)) for k, some in _dealt(alone, n_buckets)]
+            alone = [np.concatenate([a[~sure], a[one[n > 1]]]) for a in arrays]
+            alone[3][(~sure).sum() :] = 0
+            rows = [(k, False, pack(*some)) for k, some in dealt(alone, n_buckets)]
             known = [a[sure] for a in arrays]
-            rows += [(k, True, _pack(*some)) for k, some in _dealt([*known, n[where][sure]], n_buckets, mix64(known[1].view("<u8")))]
+            rows += [(k, True, pack(*some)) for k, some in dealt(known, n_buckets, mix64(known[1].view("<u8")))]
             kinds, names = [pa.int32(), pa.bool_(), pa.binary()], ["bucket", "sure", "blob"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
@@ -159,56 +172,36 @@ def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(run, "bucket int, sure boolean, blob binary")
 
 
-def _by_bucket(rows: DataFrame, finish, schema: str, n_buckets: int) -> DataFrame:
-    """Apply finish(blobs) to each bucket; rows: (bucket, kind, blob)."""
-    columns = rows.columns
-
-    def run(batches):
-        held, now = [], None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is not None and row[0] != now:
-                    yield from finish(held)
-                    held = []
-                now = row[0]
-                held.append(row[1:])
-        if held:
-            yield from finish(held)
-
-    return rows.select(*columns).repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-
-
-def repeated_anchors(sent: DataFrame, n_buckets: int) -> DataFrame:
-    """(uid, blob of hash, first window, windows) of the pieces whose anchor occurs more than once."""
+def repeated_anchors(sent: DataFrame, n_buckets: int, frequent: np.ndarray) -> DataFrame:
+    """(uid, blob of ANSWER) of the pieces whose anchor occurs more than once."""
 
     def finish(held):
-        asked = [_unpack(b, *ANCHOR_KINDS) for sure, b in held if not sure]
+        asked = [unpack(b, *ANCHOR_KINDS) for sure, b in held if not sure]
         for sure, blob in held:
             if sure:
-                *arrays, n = _unpack(blob, *ANCHOR_KINDS, "<i8")
-                yield from answers(*arrays, n > FREQUENT)
+                yield from answers(*unpack(blob, *ANCHOR_KINDS))
         if asked:
             hashed, uid, first, count, lead = (np.concatenate(a) for a in zip(*asked))
-            stands = first < 0
+            stands = count == 0  # for two pieces or more
             _, where = np.unique(hashed, return_inverse=True)
-            n = np.bincount(where, np.where(stands, count, 1)).astype(np.int64)[where]
-            keep = (n > 1) & ~stands
-            yield from answers(*(a[keep] for a in (hashed, uid, first, count, lead)), n[keep] > FREQUENT)
+            keep = (np.bincount(where, np.where(stands, 2, 1))[where] > 1) & ~stands
+            yield from answers(*(a[keep] for a in (hashed, uid, first, count, lead)))
 
-    def answers(hashed, uid, first, count, lead, frequent):
+    def answers(hashed, uid, first, count, lead):
         if not len(uid):
             return
         by = np.argsort(uid, kind="stable")
-        hashed, uid, first, count, lead, frequent = (a[by] for a in (hashed, uid, first, count, lead, frequent))
+        hashed, uid, first, count, lead = (a[by] for a in (hashed, uid, first, count, lead))
+        often = is_in(hashed, frequent)
         cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])), [len(uid)]])
         blobs = [
-            np.rec.fromarrays([x[a:b] for x in (hashed, first, count, lead, frequent)], dtype=ANSWER).tobytes() for a, b in zip(cuts[:-1], cuts[1:])
+            np.rec.fromarrays([x[a:b] for x in (hashed, first, count, lead, often)], dtype=ANSWER).tobytes() for a, b in zip(cuts[:-1], cuts[1:])
         ]
         for at in range(0, len(blobs), 20_000):
             some = pa.array(uid[cuts[at : min(at + 20_000, len(blobs))]], pa.int64())
             yield pa.RecordBatch.from_arrays([some, pa.array(blobs[at : at + 20_000], pa.binary())], ["uid", "blob"])
 
-    return _by_bucket(sent, finish, "uid long, blob binary", n_buckets)
+    return by_bucket(sent, finish, "uid long, blob binary", n_buckets)
 
 
 ANSWER = np.dtype([("hash", "<u8"), ("first", "<i4"), ("count", "<u1"), ("lead", "<u1"), ("frequent", "?")])
@@ -245,12 +238,12 @@ def send_pieces(asked: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 arrays = [hashed, np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], "<i4")]
                 arrays += [np.array([r[k] for r in rows], "<i4") for k in (3, 4)] + [np.arange(len(rows))]
                 text = np.frombuffer(b"".join(keys), np.uint8)
-                for k, (*some, at) in _dealt(arrays, n_buckets):
+                for k, (*some, at) in dealt(arrays, n_buckets):
                     body = np.concatenate([text[starts[i] : starts[i] + lengths[i]] for i in at])
-                    out.append((k, False, _pack(*some, body)))
+                    out.append((k, False, pack(*some, body)))
             if direct:
                 columns = [np.array(c, k) for c, k in zip(zip(*direct), DIRECT_KINDS)]
-                out += [(k, True, _pack(*some)) for k, some in _dealt(columns, n_buckets, mix64(columns[0].view("<u8")))]
+                out += [(k, True, pack(*some)) for k, some in dealt(columns, n_buckets, mix64(columns[0].view("<u8")))]
             seen.clear()
             direct.clear()
             kinds = [pa.int32(), pa.bool_(), pa.binary()]
@@ -380,9 +373,9 @@ def removed_ranges(sent: DataFrame, length: int, n_buckets: int) -> DataFrame:
         blobs = []
         for direct, blob in held:
             if direct:
-                yield ranges(*_unpack(blob, *DIRECT_KINDS))
+                yield ranges(*unpack(blob, *DIRECT_KINDS))
             else:
-                blobs.append(_unpack(blob, *PIECE_KINDS))
+                blobs.append(unpack(blob, *PIECE_KINDS))
         if not blobs:
             return
         hashed, uid, first, count, lead = (np.concatenate([b[k] for b in blobs]) for k in range(5))
@@ -427,7 +420,7 @@ def removed_ranges(sent: DataFrame, length: int, n_buckets: int) -> DataFrame:
             low = first[some][owner[head]] + place[head] - own[owner[head]]
             yield ranges(uid[some][owner[head]], low, low + (place[tail] - place[head]) + length)
 
-    return _by_bucket(sent, finish, "uid long, start long, stop long", n_buckets)
+    return by_bucket(sent, finish, "uid long, start long, stop long", n_buckets)
 
 
 def merged(ranges: np.ndarray) -> list[tuple[int, int]]:
@@ -463,10 +456,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts are UTF-8 bytes, null is empty; texts shorter than `length` lose nothing. A string is removed if the same
     string starts earlier, in a smaller id or before it in the same text, judged on the input. A null id comes first.
     """
+    if not ANCHOR <= length < ANCHOR + 256:
+        raise ValueError(f"a string has {ANCHOR} to {ANCHOR + 255} bytes")
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     n_buckets = max(1, math.ceil(size / BUCKET_BYTES))
     rows, names = with_uids(docs)
-    answers = repeated_anchors(send_anchors(rows, length, n_buckets), n_buckets)
+    frequent = frequent_anchors(rows, length, size)
+    answers = repeated_anchors(send_anchors(rows, length, n_buckets), n_buckets, frequent)
     blobs = answers.groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
     asked = rows.join(blobs, "uid", "left")
     ranges = removed_ranges(send_pieces(asked, length, n_buckets), length, n_buckets)

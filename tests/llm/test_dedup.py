@@ -173,6 +173,28 @@ def test_suffix_dedup_of_frequent_anchors(spark, messy, monkeypatch, frequent):
     assert got == brute_removal(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("parts", [(1500, 1500, 1), (2001, 1, 1000), (2500, 400, 1), (1, 1, 30)])
+def test_suffix_dedup_of_anchors_that_are_frequent_in_some_tasks(spark, tmp_path, monkeypatch, parts):
+    """Tasks that meet an anchor more or less often than the bound still deal its pieces alike."""
+    if sum(parts) < 2000:
+        monkeypatch.setattr(suffix_dedup, "FREQUENT", 10)
+    passage = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(140))
+    rows, at = [], 0
+    for n, size in enumerate(parts):
+        some = [(i, f"{i:05}{passage}{i * 7919 % 100_003:06}") for i in range(at, at + size)]
+        spark.createDataFrame(some, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{n}")
+        rows, at = rows + some, at + size
+    docs = spark.read.parquet(*(f"{tmp_path}/{n}" for n in range(len(parts))))
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert got == brute_removal(rows)
+
+
+def test_suffix_dedup_refuses_lengths_beyond_its_formats(nothing):
+    for length in (19, 276):
+        with pytest.raises(ValueError):
+            suffix_dedup.suffix_dedup(nothing, length)
+
+
 def test_columns_sort_suffixes(tmp_path):
     import random
 
