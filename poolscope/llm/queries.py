@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolscope.llm import divergence, exact_dedup, langid, mixing, near_dedup, packing, resampling, substring_dedup, suffix_dedup, topk, toxicity, url_filter, warc
+from poolscope.llm.common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,8 +142,10 @@ URL_RULES = [
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    block = F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), block.alias("block"))
+    block = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", block.alias("block"))
+    words = materialize(url_filter.telling_words(table(spark, sf_dir, "documents"), labels), "telling-words")
+    labels = materialize(url_filter.labels_of_pages(pages, words), "page-labels")
     return url_filter.judge(pages, URL_RULES, url_filter.mine(pages, labels))
 
 

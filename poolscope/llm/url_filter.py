@@ -3,6 +3,9 @@
 A URL is split into host and path. The longest given rule that fits decides. For all other URLs the method decides:
 FP-growth mines combinations of URL tokens that go with a blocking label; rules with enough support, confidence and
 lift are kept and matched through an inverted index, each rule filed under its rarest token.
+
+Where labels exist for documents and not for pages, a page is labelled by its own words: words that nearly always come
+in documents with a blocking label tell of it.
 """
 
 from __future__ import annotations
@@ -16,6 +19,11 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_LABEL = "label:block"
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.8, 1.5
+#: Pages that a rule needs at least, whatever share of them that is.
+MIN_PAGES = 10
+#: A telling word is in so many labelled documents at least, this share of them blocked; a page is blocked by so many.
+WORD_DOCS, WORD_SHARE, PAGE_WORDS = 10, 0.9, 2
+WORD = r"[a-z\x{80}-\x{10FFFF}]+"
 #: Up to so many mined rules the index is broadcast; with more it is joined by a shuffle.
 BROADCAST_RULES = 20_000
 
@@ -83,15 +91,41 @@ def telling_tokens(rows: DataFrame, min_support: float) -> DataFrame:
     return first.agg(F.collect_set("token").alias("kept"))
 
 
+def words_of(text: Column) -> Column:
+    """The different words of a text: letters and all characters beyond ASCII, A-Z lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0)))
+
+
+def telling_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(word) of the words that tell of a blocking label; docs: (doc_id, text), labels: (doc_id, block boolean).
+
+    Rows that repeat a doc_id count each, with the strictest of its labels; null ids have no label.
+    """
+    known = labels.groupBy("doc_id").agg(F.max("block").alias("block"))
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("block", F.explode(words_of(F.col("text"))).alias("word"))
+    counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("block").alias("blocked"))
+    return counts.filter((F.col("n") >= WORD_DOCS) & (F.col("blocked") >= WORD_SHARE * F.col("n"))).select("word")
+
+
+def labels_of_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
+    """(page_id, block) of every page: whether its html holds PAGE_WORDS different telling words or more. Null html has none."""
+    held = pages.select("page_id", F.explode(words_of(F.col("html"))).alias("word")).join(words, "word")
+    told = held.groupBy("page_id").agg(F.count_distinct("word").alias("n")).filter(F.col("n") >= PAGE_WORDS)
+    told = told.select(F.col("page_id").alias("told"), F.lit(True).alias("block"))
+    return pages.select("page_id").join(told, F.col("page_id").eqNullSafe(F.col("told")), "left").select("page_id", F.coalesce("block", F.lit(False)).alias("block"))
+
+
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(antecedent, confidence, lift, support) of rules that lead to blocking; labels: (page_id, block boolean).
 
-    A page with labels of both kinds is blocked; rows that repeat a page id are learned each; without pages, labels or
-    blocked pages there are no rules.
+    A rule needs min_support of the labelled pages and MIN_PAGES of them. A page with labels of both kinds is blocked; rows
+    that repeat a page id are learned each; without pages, labels or blocked pages there are no rules.
     """
     host, path = host_and_path(F.col("url"))
     known = labels.groupBy("page_id").agg(F.max("block").alias("block"))
-    rows = pages.select("page_id", url_tokens(F.col("url"), host, path).alias("tokens")).join(known, "page_id")
+    rows = pages.select("page_id", "url").join(known, "page_id")
+    min_support = max(min_support, min(1.0, MIN_PAGES / max(1, rows.count())))
+    rows = rows.select("page_id", "block", url_tokens(F.col("url"), host, path).alias("tokens"))
     rows = rows.withColumn("tokens", F.array_intersect("tokens", telling_tokens(rows, min_support).scalar()))
     items = F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCK_LABEL))).otherwise(F.col("tokens"))
     rows = rows.select(items.alias("items")).filter(F.size("items") > 0)
