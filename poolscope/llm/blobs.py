@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -49,4 +50,4 @@ def by_bucket(rows: DataFrame, finish, schema: str, n_buckets: int) -> DataFrame
         if held:
             yield from finish(held)
 
-    return rows.select(*columns).repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return rows.select(*columns).repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, schema)

@@ -212,8 +212,11 @@ def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
     return docs.select("uid", "place", "text").mapInArrow(run, "bucket int, sure boolean, blob binary")
 
 
+PIECE_KINDS = ("<i8", "<i4", "u1", "u1")  # document, first word, windows, anchor's place
+
+
 def repeated_anchors(sent: DataFrame, n_buckets: int) -> DataFrame:
-    """(uid, blob of RANGE) of the windows whose anchor is met in more than one document."""
+    """(bucket, blob) by document of the pieces whose anchor is met in more than one document."""
 
     def finish(held):
         asked = [unpack(b, *ANCHOR_KINDS) for sure, b in held if not sure]
@@ -232,9 +235,18 @@ def repeated_anchors(sent: DataFrame, n_buckets: int) -> DataFrame:
             keep = keep[count[keep] > 0]
             yield from answers(uid[keep], first[keep], count[keep], lead[keep])
 
-    def answers(uid, first, count, lead):
-        if not len(uid):
-            return
+    def answers(*arrays):
+        rows = [(k, pack(*some)) for k, some in dealt(list(arrays), n_buckets, mix64(arrays[0].view("<u8")))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+
+    return by_bucket(sent, finish, "bucket int, blob binary", n_buckets)
+
+
+def pieces_by_document(answers: DataFrame, n_buckets: int) -> DataFrame:
+    """(uid, blob of RANGE), one row for each document that has pieces to look at."""
+
+    def finish(held):
+        uid, first, count, lead = (np.concatenate(a) for a in zip(*(unpack(b, *PIECE_KINDS) for (b,) in held)))
         by = np.argsort(uid, kind="stable")
         uid, rows = uid[by], np.rec.fromarrays([first[by], count[by], lead[by]], dtype=RANGE)
         cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])), [len(uid)]])
@@ -243,7 +255,7 @@ def repeated_anchors(sent: DataFrame, n_buckets: int) -> DataFrame:
             blobs = pa.array([rows[a:b].tobytes() for a, b in zip(some[:-1], some[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(uid[some[:-1]], pa.int64()), blobs], ["uid", "blob"])
 
-    return by_bucket(sent, finish, "uid long, blob binary", n_buckets)
+    return by_bucket(answers, finish, "uid long, blob binary", n_buckets)
 
 
 def group_hash(code: np.ndarray, at: np.ndarray, length: int, heavy: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +337,7 @@ def send_suffixes(asked: DataFrame, length: int, n_buckets: int, heavy: dict[int
         for batch in batches:
             uid, place, blobs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
             for a, offsets, data in byte_chunks(batch.column(2)):
-                ranges = [(k, np.frombuffer(b, RANGE)) for k in range(len(offsets) - 1) for b in blobs[a + k] or ()]
+                ranges = [(k, np.frombuffer(blobs[a + k], RANGE)) for k in range(len(offsets) - 1) if blobs[a + k]]
                 if not ranges:
                     continue
                 starts, ends, row, code = words_in(offsets, data)
@@ -341,7 +353,7 @@ def send_suffixes(asked: DataFrame, length: int, n_buckets: int, heavy: dict[int
                     total = 0
         yield from flush()
 
-    return asked.select("uid", "place", "text", "blobs").mapInArrow(run, "bucket int, direct boolean, blob binary")
+    return asked.select("uid", "place", "text", "blob").mapInArrow(run, "bucket int, direct boolean, blob binary")
 
 
 def sorted_suffixes(words: np.ndarray, n_words: int) -> np.ndarray:
@@ -421,7 +433,7 @@ REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans a
 
 
 def cut_texts(rows: DataFrame) -> DataFrame:
-    """The report of rows (doc_id, text, spans), whose spans are ranges of words that go."""
+    """The report of rows (doc_id, text, spans, ...), whose spans are ranges of words that go."""
 
     def run(batches):
         for batch in batches:
@@ -455,7 +467,7 @@ def cut_texts(rows: DataFrame) -> DataFrame:
                 arrays = [ids.slice(a, n), pa.array(np.diff(base)), pa.array(n_removed), pa.array(hashes, pa.string()), spans.cast(SPANS)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, REPORT)
+    return rows.mapInArrow(run, REPORT)
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -480,12 +492,11 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         places = names.join(least, names["doc_id"].eqNullSafe(least["doc_id"])).select("uid", "place")
         rows = rows.join(places, "uid").select("uid", "place", "text")
     sent = send_anchors(rows, length, n_buckets)
-    blobs = repeated_anchors(sent, n_buckets).groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
-    asked = rows.join(blobs, "uid", "left")
+    asked = rows.join(pieces_by_document(repeated_anchors(sent, n_buckets), n_buckets), "uid", "left")
     ranges = removed_ranges(send_suffixes(asked, length, n_buckets, heavy), length, n_buckets)
     spans = ranges.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    # both joins take the texts dealt by uid, so the second reuses the first one's exchange
-    out = cut_texts(rows.join(spans, "uid", "left").select(F.col("uid").alias("doc_id"), "text", "spans"))
+    # both joins take the same columns dealt by uid, so the second reuses the first one's exchange of the texts
+    out = cut_texts(rows.join(spans, "uid", "left").select(F.col("uid").alias("doc_id"), "text", "spans", "place"))
     if names is None:
         return out
     names = names.withColumnRenamed("doc_id", "__id")
