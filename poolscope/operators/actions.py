@@ -143,20 +143,25 @@ def add_liquidity_actions(stakes: DataFrame, pending: DataFrame) -> DataFrame:
     return done.unionByName(waiting)
 
 
-def trim_pending(actions: DataFrame, stakes: DataFrame, pending: DataFrame) -> DataFrame:
-    """Drop pending adds that a stake or a pending withdraw at or after them has settled."""
+def settled_refs(stakes: DataFrame, pending: DataFrame) -> DataFrame:
+    """(ref, settled_at): when a stake or a pending withdraw last settled a reference's pending adds."""
     ref = F.concat(F.lit("PL:"), F.col("rune_addr"), F.lit(":"), F.col("pool"))
     settled = stakes.select(ref.alias("ref"), "block_timestamp").unionByName(
         pending.filter("pending_type = 'withdraw'").select(ref.alias("ref"), "block_timestamp")
     )
-    newest = settled.filter("ref is not null").groupBy("ref").agg(F.max("block_timestamp").alias("settled_at"))
+    return settled.filter("ref is not null").groupBy("ref").agg(F.max("block_timestamp").alias("settled_at"))
+
+
+def trim_pending(actions: DataFrame, stakes: DataFrame, pending: DataFrame) -> DataFrame:
+    """Drop pending adds that a stake or a pending withdraw at or after them has settled."""
+    newest = settled_refs(stakes, pending)
     joined = actions.join(newest, actions["main_ref"] == newest["ref"], "left")
     gone = F.coalesce(F.col("block_timestamp") <= F.col("settled_at"), F.lit(False))
     return joined.filter(~gone).select(*actions.columns)
 
 
-def attach_outbounds(actions: DataFrame, outbounds: DataFrame, fees: DataFrame) -> DataFrame:
-    """Add the outbound transactions and fees of each reference, in order of time."""
+def outbounds_by_ref(outbounds: DataFrame, fees: DataFrame) -> DataFrame:
+    """(ref, o, f): the outbound transactions and the fees of each reference, in order of time; null where there are none."""
     idx = lambda df: F.col("event_idx") if "event_idx" in df.columns else F.lit(0).cast("long")
     one = F.struct(
         F.col("block_timestamp").alias("t"), idx(outbounds).alias("i"), F.col("tx").cast("string").alias("tx"), "from_addr", "to_addr", "asset",
@@ -164,8 +169,12 @@ def attach_outbounds(actions: DataFrame, outbounds: DataFrame, fees: DataFrame)
     )
     out = outbounds.groupBy(F.col("in_tx").alias("ref")).agg(F.array_sort(F.collect_list(one)).alias("o"))
     fee = F.struct(F.col("block_timestamp").alias("t"), idx(fees).alias("i"), "asset", F.col("asset_e8").alias("amount"))
-    paid = fees.groupBy(F.col("tx").alias("fee_ref")).agg(F.array_sort(F.collect_list(fee)).alias("f"))
-    rows = actions.join(out, actions["main_ref"] == out["ref"], "left").join(paid, F.col("main_ref") == F.col("fee_ref"), "left")
+    paid = fees.groupBy(F.col("tx").alias("ref")).agg(F.array_sort(F.collect_list(fee)).alias("f"))
+    return out.join(paid, "ref", "full_outer")
+
+
+def with_outbounds(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Base actions with their outbounds (o, f) told in their columns."""
     have = F.col("o").isNotNull()
     more = lambda name, extra: F.when(have, F.concat(F.col(name), extra)).otherwise(F.col(name)).alias(name)
     each = lambda name: F.transform("o", lambda x: x[name])
@@ -178,7 +187,14 @@ def attach_outbounds(actions: DataFrame, outbounds: DataFrame, fees: DataFrame)
         "outs": more("outs", sent),
         "fees": F.when(F.col("f").isNotNull(), F.concat("fees", charged)).otherwise(F.col("fees")).alias("fees"),
     }
-    return rows.select(*[changed.get(c, F.col(c)) for c in actions.columns])
+    return rows.select(*[changed.get(c, F.col(c)) for c in columns])
+
+
+def attach_outbounds(actions: DataFrame, outbounds: DataFrame, fees: DataFrame) -> DataFrame:
+    """Add the outbound transactions and fees of each reference, in order of time."""
+    extras = outbounds_by_ref(outbounds, fees)
+    rows = actions.join(extras, actions["main_ref"] == extras["ref"], "left")
+    return with_outbounds(rows, actions.columns)
 
 
 def with_height(actions: DataFrame, block_log: DataFrame) -> DataFrame:
