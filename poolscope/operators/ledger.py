@@ -100,9 +100,25 @@ def member_changes(stakes: DataFrame, unstakes: DataFrame, pending: DataFrame) -
     return rows.select(member_id.alias("member_id"), "pool", fixed.alias("change"))
 
 
-def members(changes: DataFrame) -> DataFrame:
+#: What a living member brings along beside its units and pendings.
+KEPT = ["added_asset", "added_rune", "withdrawn_asset", "withdrawn_rune", "first_added", "last_added"]
+
+
+def _as_changes(carried: DataFrame) -> DataFrame:
+    """Living members as the first change of what is to come."""
+    none = F.lit(None).cast("long")
+    values = {
+        "t": F.lit(-(1 << 63)).cast("long"), "kind": F.lit("carried"), "idx": F.lit(0).cast("long"), "units": F.col("units"), "asset_addr": F.col("asset_addr"),
+        "rune_addr": F.col("rune_addr"), "asset_e8": none, "rune_e8": none, "pending_asset": F.col("pending_asset"), "pending_rune": F.col("pending_rune"),
+    }
+    return carried.select("member_id", "pool", F.struct(*[v.alias(k) for k, v in values.items()]).alias("change"), F.struct(*KEPT).alias("old"))
+
+
+def members(changes: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Living members per pool: each member's changes in order of time, then kind of change.
 
+    carried are living members that earlier changes have led to; their lives go on, whether they have changes or not.
+
     A state without units and pendings ends a life, and the next change starts a new one. Running sums find the lives:
     units and pendings are zero at the end of each, so the sums need not start anew. The windows can spill, and only
     one pre-aggregated row per (member, pool, life) is kept.
@@ -114,10 +130,14 @@ def members(changes: DataFrame) -> DataFrame:
     add, withdraw = F.col("kind") == "add", F.col("kind") == "withdraw"
     resets = (add | (F.col("kind") == "pending_withdraw")).cast("long")
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("change"))
-    rows = changes.withColumn("n", nth).select(*key, "n", "change.*")
+    if carried is not None:
+        changes = changes.withColumn("old", F.lit(None).cast(carried.select(F.struct(*KEPT)).schema[0].dataType)).unionByName(_as_changes(carried))
+    else:
+        changes = changes.withColumn("old", F.lit(None).cast(f"struct<{', '.join(f'{c}:bigint' for c in KEPT)}>"))
+    rows = changes.withColumn("n", nth).select(*key, "n", "change.*", "old")
     rows = rows.withColumn("running", F.sum(F.coalesce("units", zero)).over(upto)).withColumn("reset", F.sum(resets).over(upto))
     since = Window.partitionBy(*key, "reset").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    waiting = lambda name: F.sum(F.when(F.col("kind") == "pending_add", F.coalesce(name, zero)).otherwise(zero)).over(since)
+    waiting = lambda name: F.sum(F.when(F.col("kind").isin("pending_add", "carried"), F.coalesce(name, zero)).otherwise(zero)).over(since)
     rows = rows.withColumns({"open_asset": waiting("pending_asset"), "open_rune": waiting("pending_rune")})
     alive = (F.col("running") != 0) | (F.col("open_asset") != 0) | (F.col("open_rune") != 0)
     rows = rows.withColumn("alive", alive)
@@ -125,20 +145,20 @@ def members(changes: DataFrame) -> DataFrame:
     rows = rows.withColumn("life", F.coalesce(F.sum((~F.col("alive")).cast("long")).over(before), zero))
     first = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("n")))
     last = lambda name: F.max_by(name, "n")
-    total = lambda hit, value: F.sum(F.when(hit, value).otherwise(zero))
+    total = lambda hit, value, old: F.sum(F.when(hit, value).otherwise(F.coalesce(f"old.{old}", zero)))
     lives = rows.groupBy(*key, "life").agg(
         last("alive").alias("alive"),
         first("asset_addr").alias("asset_addr"),
         first("rune_addr").alias("rune_addr"),
         last("running").alias("units"),
-        total(add, F.col("asset_e8")).alias("added_asset"),
-        total(add, F.col("rune_e8")).alias("added_rune"),
-        total(withdraw, -F.col("asset_e8")).alias("withdrawn_asset"),
-        total(withdraw, -F.col("rune_e8")).alias("withdrawn_rune"),
+        total(add, F.col("asset_e8"), "added_asset").alias("added_asset"),
+        total(add, F.col("rune_e8"), "added_rune").alias("added_rune"),
+        total(withdraw, -F.col("asset_e8"), "withdrawn_asset").alias("withdrawn_asset"),
+        total(withdraw, -F.col("rune_e8"), "withdrawn_rune").alias("withdrawn_rune"),
         last("open_asset").alias("pending_asset"),
         last("open_rune").alias("pending_rune"),
-        F.min(F.when(add, F.col("t"))).alias("first_added"),
-        F.max(F.when(add, F.col("t"))).alias("last_added"),
+        F.min(F.when(add, F.col("t")).otherwise(F.col("old.first_added"))).alias("first_added"),
+        F.max(F.when(add, F.col("t")).otherwise(F.col("old.last_added"))).alias("last_added"),
     )
     return lives.filter("alive").drop("life", "alive")
 

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable, Mapping
-from typing import NamedTuple
+from collections.abc import Iterable, Mapping
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +44,15 @@ class Part(NamedTuple):
         return T.StructType.fromJson(json.loads(self.schema))
 
 
+class View(Protocol):
+    """What is kept beside event tables and follows from them."""
+
+    tables: tuple[str, ...]
+
+    def trimmed(self, timestamp: int) -> tuple[list[Part], list[Part]]:
+        """Parts to add and to remove so that the view is as it was before the events at or after a time."""
+
+
 class CommitLog:
     """The tables under a folder, as of the newest commit when it was opened or last refreshed.
 
@@ -159,26 +168,29 @@ class CommitLog:
         rows = rows if start_ns is None else rows.filter(t >= start_ns)
         return rows if end_ns is None else rows.filter(t < end_ns)
 
-    def trim(self, timestamp: int, rebuild: Callable[[CommitLog, int], tuple[list[Part], list[Part]]] | None = None) -> int:
-        """Delete all rows at or after a time from every table in time, in one commit.
+    def trim(self, timestamp: int, views: Iterable[View] = ()) -> int:
+        """Delete all rows at or after a time from every table in time and bring the views back to it, in one commit.
 
-        Parts that lie wholly after are dropped, those that hold the time are written anew without its later rows. What was
-        derived from the rows is brought back by rebuild(log, timestamp), which returns parts to add and to remove; epochs
+        Parts that lie wholly after are dropped, those that hold the time are written anew without its later rows. Epochs
         may come again.
         """
+        views = list(views)
+        derived = {table for view in views for table in view.tables}
         add, remove = [], []
-        for table in sorted({p.table for p in self.live.values()}):
+        for table in sorted({p.table for p in self.live.values()} - derived):
             if "block_timestamp" not in self.schema(table).names:
                 continue
             late = [p for p in self.parts(table) if p.most >= timestamp]
             kept = [p for p in late if p.least < timestamp]
             if kept:
                 add += self.stage(table, self.read_parts(table, kept).filter(F.col("block_timestamp") < timestamp))
-            elif len(late) == len(self.parts(table)) and late:
-                add.append(late[0]._replace(key=0, rows=0, least=None, most=None))
+            elif late and len(late) == len(self.parts(table)):
+                add.append(late[0]._replace(key=0, rows=0, least=None, most=None))  # tells the columns of an empty table
             remove += late
-        more = rebuild(self, timestamp) if rebuild else ([], [])
-        return self.commit([*add, *more[0]], [*remove, *more[1]], forget=True)
+        for view in views:
+            more, less = view.trimmed(timestamp)
+            add, remove = add + more, remove + less
+        return self.commit(add, remove, forget=True)
 
     def compact(self, table: str, order: list | None = None, bloom: str | None = None) -> int:
         """Merge the parts of keys that have many, so that readers open fewer files. Returns the number of merged parts."""
