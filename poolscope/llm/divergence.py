@@ -30,7 +30,7 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Terms of all groups that a task holds before it sends them on.
 FLUSH_TERMS = 1_500_000
 #: Sources of a block, postings of a slice of terms, and terms that are compared at a time.
-BLOCK, SLICE_POSTINGS, DENSE_TERMS = 256, 1_000_000, 2048
+BLOCK, SLICE_POSTINGS, DENSE_TERMS = 256, 25_000, 2048
 #: Count buckets for each doubling of the count.
 PER_DOUBLING = 4
 #: Terms that the first round of the search evaluates for each group, as a multiple of k, and the growth from round to round.
