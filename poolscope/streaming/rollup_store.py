@@ -56,14 +56,12 @@ class RollupStore:
 
     def refresh(self) -> list[int]:
         """Bring the rollups up to date; returns the slices of time that were written anew."""
-        stale, rows, slices = self._stale()
-        if not slices:
+        noted = self.log.parts(self.dirty)
+        if not noted:
             return []
-        return self._rewrite(slices, stale, self.aggregate.rollup(rows, "5min"), [], self.log.parts(self.dirty))
-
-    def _rewrite(self, slices: list[int], stale: DataFrame, fresh: DataFrame, add: list[Part], remove: list[Part]) -> list[int]:
-        more, less = self._rewritten(slices, stale, fresh)
-        self.log.commit(add + more, remove + less)
+        stale, rows, slices = self._stale()
+        add, remove = self._rewritten(slices, stale, self.aggregate.rollup(rows, "5min"))
+        self.log.commit(add, remove + noted)
         return slices
 
     def _rewritten(self, slices: list[int], stale: DataFrame, fresh: DataFrame) -> tuple[list[Part], list[Part]]:
@@ -111,7 +109,7 @@ class RollupStore:
 
     def trimmed(self, timestamp: int) -> tuple[list[Part], list[Part]]:
         """Slices after the time go; that which holds it loses its later buckets, and the one the time cuts is computed anew."""
-        if any(self.log.parts(self.dirty)):
+        if self.log.parts(self.dirty):
             raise ValueError("refresh the rollups before a trim")
         at = timestamp // (self.log.days * 86_400 * NANOS)
         add, remove = [], [p for i in INTERVALS for p in self.log.parts(self._name(i), at + 1)]
