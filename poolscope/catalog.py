@@ -594,7 +594,7 @@ def action_tables(spark, d):
     UNION ALL SELECT 'addLiquidity', (SELECT count(*) FROM stake_events) + (SELECT count(*) FROM o)""",
 )
 def mv4(spark, d):
-    return actions.build_actions(action_tables(spark, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return actions.base_actions(action_tables(spark, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -63,8 +63,18 @@ def running(
     return joined.withColumns(carried).drop("__life")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Each left row with the newest right values at or before its block_timestamp, per key; no range join.
+def previous(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Each row with the value of the row before it, per key in order of time; ordered within slices of time only."""
+    marked = rows.withColumn("__slice", F.call_function("div", F.col("block_timestamp"), F.lit(SLICE_NANOS))).withColumn("__v", F.struct(F.col(value).alias("v")))
+    ends = marked.groupBy(*keys, "__slice").agg(F.max_by("__v", F.struct(*order)).alias("__end"))
+    opening = ends.select(*keys, "__slice", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__slice")).alias("__open"))
+    before = F.lag("__v").over(Window.partitionBy(*keys, "__slice").orderBy(*order))
+    joined = marked.withColumn("__v", before).join(opening, [*keys, "__slice"])
+    return joined.select(*rows.columns, F.coalesce("__v", "__open")["v"].alias(name))
+
+
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], strict: bool = False) -> DataFrame:
+    """Each left row with the newest right values at or before its block_timestamp (strict: before it), per key; no range join.
 
     Rows are ordered within slices of time; from slice to slice one row a key is carried.
     """
@@ -72,7 +82,7 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[
     other = right.select(*keys, "block_timestamp", F.struct(*values).alias("__v")).withColumn("__left", F.lit(False))
     both = marked.unionByName(other, allowMissingColumns=True)
     both = both.withColumn("__slice", F.call_function("div", F.col("block_timestamp"), F.lit(SLICE_NANOS)))
-    inner = Window.partitionBy(*keys, "__slice").orderBy("block_timestamp", "__left").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*keys, "__slice").orderBy("block_timestamp", F.desc("__left") if strict else "__left").rowsBetween(Window.unboundedPreceding, 0)
     ends = both.groupBy(*keys, "__slice").agg(F.max_by("__v", F.when(~F.col("__left"), F.col("block_timestamp"))).alias("__end"))
     older = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     opening = ends.select(*keys, "__slice", F.last("__end", ignorenulls=True).over(older).alias("__open"))
@@ -131,22 +141,17 @@ def running_total(changes: DataFrame, before: DataFrame, buckets: Buckets, value
 def weighted_average(deltas: DataFrame, at_start: int | Column, buckets: Buckets) -> DataFrame:
     """Time-weighted sum and average of a counter per bucket.
 
-    deltas: (block_timestamp, delta) of changes inside the range; at_start is the counter at the range's start. Each
-    bucket start begins a segment; a segment lasts until the next change or the bucket's end, in whole seconds.
-    Segments are ordered within buckets only; what is carried from bucket to bucket is one row each.
+    deltas: (block_timestamp, delta) of changes inside the range; at_start is the counter at the range's start. A change
+    counts from its whole second to the bucket's end, and the count at a bucket's start for its whole length, so one sum
+    per bucket does and no order within buckets is needed.
     """
-    spark, t = deltas.sparkSession, F.col("block_timestamp")
+    t = F.col("block_timestamp")
     inside = deltas.filter((t > buckets.start * NANOS) & (t < buckets.end * NANOS))
-    seconds = inside.groupBy(F.call_function("div", t, F.lit(NANOS)).alias("s")).agg(F.sum("delta").alias("delta"))
-    edges = spark.createDataFrame([(x, 0) for x in buckets.timestamps[:-1]], "s long, delta long")
-    points = seconds.unionByName(edges).groupBy("s").agg(F.sum("delta").alias("delta"))
-    points = points.withColumn("start_s", F.array_max(F.filter(F.lit(list(buckets.timestamps[:-1])), lambda x: x <= F.col("s"))).cast("long"))
-    per_bucket = zero_fill(points.groupBy("start_s").agg(F.sum("delta").alias("delta")), buckets, ["delta"])
-    earlier = Window.orderBy("start_s").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_bucket.select("start_s", "end_s", (F.coalesce(F.sum("delta").over(earlier), F.lit(0)) + at_start).alias("base"))
-    order = Window.partitionBy("start_s").orderBy("s")
-    count = F.col("base") + F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.coalesce(F.lead("s").over(order), F.col("end_s"))
-    segments = points.join(F.broadcast(base), "start_s").select("start_s", "end_s", (count * (following - F.col("s"))).alias("w"))
-    sums = segments.groupBy("start_s", "end_s").agg(F.sum("w").alias("weighted_sum"))
+    second = F.call_function("div", t, F.lit(NANOS))
+    sums = inside.groupBy(buckets.start_of(t).alias("start_s")).agg(F.sum("delta").alias("delta"), F.sum(F.col("delta") * second).alias("moment"))
+    dense = zero_fill(sums, buckets, ["delta", "moment"])
+    earlier = Window.orderBy("start_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    base = F.coalesce(F.sum("delta").over(earlier), F.lit(0)) + at_start
+    weighted = base * (F.col("end_s") - F.col("start_s")) + F.col("delta") * F.col("end_s") - F.col("moment")
+    sums = dense.select("start_s", "end_s", weighted.alias("weighted_sum"))
     return sums.withColumn("average", F.col("weighted_sum") / (F.col("end_s") - F.col("start_s")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from poolscope.functions import pricing
 from poolscope.functions.assets import ASSET_TO_RUNE, RUNE_TO_ASSET, RUNE_TO_SYNTH, SYNTH_TO_RUNE, coin_type, is_rune, native_asset
 from poolscope.functions.numeric import ieee_div
-from poolscope.operators.asof import running
+from poolscope.operators.asof import as_of_join, previous, running
 
 EFFECT = ["pool", "asset", "rune", "synth", "reset", "event_idx", "block_timestamp"]
 
@@ -87,17 +87,13 @@ def swap_usd_prices(swaps: DataFrame, running: DataFrame, block_prices: DataFram
     """Swaps with priceusd: the pool's USD price after the block before, over its price just before the swap.
 
     running: balances after each effect; block_prices: (pool, block_timestamp, priceusd) per block. Unknown prices
-    count as 0. Both lookups are ordered within a pool, in one pass each.
+    count as 0. Both lookups are ordered within slices of time.
     """
-    order = Window.partitionBy("pool").orderBy("block_timestamp", "event_idx").rowsBetween(Window.unboundedPreceding, -1)
     before = running.select("pool", "block_timestamp", "event_idx", pricing.asset_price(F.col("asset_e8"), F.col("rune_e8")).alias("price"))
-    before = before.withColumn("price_before", F.last("price").over(order)).drop("price")
-    older = Window.partitionBy("pool").orderBy("block_timestamp").rangeBetween(Window.unboundedPreceding, -1)
-    marks = block_prices.select("pool", "block_timestamp", "priceusd").unionByName(
-        swaps.select("pool", "block_timestamp").distinct().withColumn("priceusd", F.lit(None).cast("double"))
-    )
-    usd = marks.withColumn("usd_before", F.last("priceusd", ignorenulls=True).over(older))
-    usd = usd.groupBy("pool", "block_timestamp").agg(F.first("usd_before").alias("usd_before"))
+    before = previous(before, ["pool"], ["block_timestamp", "event_idx"], "price", "price_before").drop("price")
+    known_prices = block_prices.select("pool", "block_timestamp", "priceusd").filter("priceusd is not null")
+    usd = as_of_join(swaps.select("pool", "block_timestamp").distinct(), known_prices, ["pool"], ["priceusd"], strict=True)
+    usd = usd.withColumnRenamed("priceusd", "usd_before")
     rows = swaps.drop("priceusd").join(before, ["pool", "block_timestamp", "event_idx"], "left").join(usd, ["pool", "block_timestamp"], "left")
     value = ieee_div(F.col("usd_before"), F.col("price_before"))
     known = F.col("usd_before").isNotNull() & ~F.isnan("usd_before") & F.col("price_before").isNotNull() & ~F.isnan("price_before")

@@ -107,7 +107,7 @@ class Aggregate:
         if low >= high:
             return self.partial(source.filter((t >= start_ns) & (t < end_ns)), start)
         if hourly is None:
-            hourly = self.rollup(source, "hour")
+            hourly = self.rollup(source.filter((t >= low) & (t < high)), "hour")
         s = F.col("start_s")
         parts = self.partial(source.filter((t >= start_ns) & (t < low)), start)
         parts = parts.unionByName(self.partial(source.filter((t >= high) & (t < end_ns)), start))
