@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from poolscope import catalog as C
 from poolscope.functions import assets, pricing
 from poolscope.functions.numeric import NANOS, nano_ts, ts_nano
-from poolscope.operators import buckets, decode, history, ledger, lookups
+from poolscope.operators import asof, buckets, decode, history, ledger, lookups
 from poolscope.plans import adapters as A
 from poolscope.registry import query
 from poolscope.session import new_folder
@@ -139,36 +139,39 @@ def trunc_sql(interval: str, t: str) -> str:
     return f"time_bucket(INTERVAL '5 MINUTE', {t})" if interval == "5min" else f"date_trunc('{interval}', {t})"
 
 
-GRID = (C.second("1995-02-11") + 12345, C.second("1996-05-03") + 54321)
-SHORT = (C.second("1995-02-11") + 12345, C.second("1995-02-12") + 54321)
-
-
 def grid_sql(interval: str) -> str:
-    low, high = SHORT if interval in ("5min", "hour") else GRID
+    """The buckets from the first event on, those of a day only for the short intervals, each with its number of events."""
     unit = UNITS[interval]
-    return f"""SELECT '{interval}' AS interval, epoch(s)::BIGINT AS start_s, epoch(s + INTERVAL '{unit}')::BIGINT AS end_s
-    FROM (SELECT unnest(generate_series({trunc_sql(interval, f"make_timestamp({low}::BIGINT * 1000000)")}, make_timestamp({high - 1}::BIGINT * 1000000), INTERVAL '{unit}')) AS s)"""
+    until = "least(l, f + 86400)" if interval in ("5min", "hour") else "l"
+    edges = f"generate_series({trunc_sql(interval, 'make_timestamp(f * 1000000)')}, make_timestamp({until} * 1000000 - 1), INTERVAL '{unit}')"
+    return f"""SELECT '{interval}' AS interval, epoch(s)::BIGINT AS start_s, epoch(s + INTERVAL '{unit}')::BIGINT AS end_s, count(ts) AS n
+    FROM (SELECT unnest({edges}) AS s FROM (SELECT epoch_us(min(ts)) // 1000000 AS f, epoch_us(max(ts)) // 1000000 AS l FROM events))
+    LEFT JOIN events ON ts >= s AND ts < s + INTERVAL '{unit}' GROUP BY s"""
 
 
 @query("win4_win7_bucket_grids", " UNION ALL ".join(grid_sql(i) for i in buckets.INTERVALS))
 def win4(spark, d):
-    rows = []
+    """Generated buckets over the events' time, and the number of events in each."""
+    first, last = event_bounds(spark, d)
+    rows = A.table(spark, d, "events").select(A.nanos("ts").alias("t"))
+    out = None
     for interval in buckets.INTERVALS:
-        edges = buckets.generate(interval, *(SHORT if interval in ("5min", "hour") else GRID))
-        rows += [(interval, a, b) for a, b in zip(edges, edges[1:])]
-    return spark.createDataFrame(rows, "interval string, start_s long, end_s long")
+        until = min(last, first + 86_400) if interval in ("5min", "hour") else last
+        grid = buckets.Buckets(tuple(buckets.generate(interval, first, until)), interval)
+        counts = rows.filter(grid.holds(F.col("t"))).groupBy(grid.start_of(F.col("t")).alias("start_s")).agg(F.count(F.lit(1)).alias("n"))
+        dense = asof.zero_fill(counts, grid, ["n"]).select(F.lit(interval).alias("interval"), "start_s", "end_s", "n")
+        out = dense if out is None else out.unionByName(dense)
+    return out
 
 
 @query(
     "win5_truncation",
-    " UNION ALL ".join(
-        f"SELECT '{i}' AS interval, s, epoch({trunc_sql(i, 'make_timestamp(s * 1000000)')})::BIGINT AS start_s FROM range({GRID[0]}, {GRID[1]}, 98765) t(s)"
-        for i in buckets.INTERVALS
-    ),
+    "SELECT event_id, " + ", ".join(f"epoch({trunc_sql(i, 'ts')})::BIGINT AS start_{i}" for i in buckets.INTERVALS) + " FROM events",
 )
 def win5(spark, d):
-    rows = [(i, s, buckets.truncate(s, i)) for i in buckets.INTERVALS for s in range(*GRID, 98765)]
-    return spark.createDataFrame(rows, "interval string, s long, start_s long")
+    """The bucket that each event falls into, for every interval."""
+    starts = [buckets.bucket_start(A.nanos("ts"), i).alias(f"start_{i}") for i in buckets.INTERVALS]
+    return A.table(spark, d, "events").select("event_id", *starts)
 
 
 def event_bounds(spark, d) -> tuple[int, int]:

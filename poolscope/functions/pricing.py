@@ -93,25 +93,47 @@ def with_usd_price(depths: DataFrame, usd: DataFrame, keys: list[str]) -> DataFr
     return joined.withColumn("priceusd", F.col("price") * F.coalesce("rune_price_usd", F.lit(float("nan")))).drop("rune_price_usd")
 
 
+#: Bins into which each round of a rank selection divides what is left.
+BINS = 1024
+
+
+def kth_values(rows: DataFrame, key: str, value: str, rank: Column) -> DataFrame:
+    """(key, kth): of each key's sorted values that at a rank, which is a column of the count n, from 0.
+
+    Two rounds count values in equal bins of what is left of their range and keep the bin that holds the rank; only
+    the values of that last bin, each once, are ordered.
+    """
+    left = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("times"))
+    asked = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"))
+    asked = asked.select(key, "low", "high", rank.cast("long").alias("rank"))
+    for _ in range(2):
+        width = F.call_function("div", F.col("high") - F.col("low"), F.lit(BINS)) + 1
+        at = F.call_function("div", F.col(value) - F.col("low"), width)
+        inside = left.join(asked, key).filter(F.col(value).between(F.col("low"), F.col("high")))
+        bins = inside.groupBy(key, "low", "high", "rank", at.alias("bin")).agg(F.sum("times").alias("times"))
+        upto = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("upto", F.sum("times").over(upto)).withColumn("before", F.col("upto") - F.col("times"))
+        low = F.col("low") + F.col("bin") * width
+        hit = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto"))
+        asked = bins.filter(hit).select(key, low.alias("low"), F.least(low + width - 1, F.col("high")).alias("high"), (F.col("rank") - F.col("before")).alias("rank"))
+    inside = left.join(asked, key).filter(F.col(value).between(F.col("low"), F.col("high")))
+    upto = F.sum("times").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("upto", upto).filter(F.col("upto") > F.col("rank")).groupBy(key).agg(F.min(value).alias("kth"))
+
+
 def bond_metrics(nodes: DataFrame, minimum_eligible: int) -> DataFrame:
     """Order statistics of bonds of active and standby nodes; nodes: (status, bond).
 
     Average is an integer division, median the element n // 2 of the sorted bonds; the standby minimum is the smallest
-    bond that is eligible, else the smallest.
+    bond that is eligible, else the smallest. The median comes of a rank selection, so no status is sorted in one task.
     """
-    by_bond = Window.partitionBy("status").orderBy("bond")
-    ranked = nodes.filter(F.col("status").isin("Active", "Standby")).withColumn("at", F.row_number().over(by_bond) - 1)
-    count = F.count(F.lit(1)).over(Window.partitionBy("status"))
-    median = F.when(F.col("at") == F.floor(F.col("n") / 2), F.col("bond"))
+    rows = nodes.filter(F.col("status").isin("Active", "Standby"))
     eligible = F.when(F.col("bond") >= minimum_eligible, F.col("bond"))
-    return (
-        ranked.withColumn("n", count)
-        .groupBy("status")
-        .agg(
-            F.sum("bond").alias("total"),
-            F.when(F.first("status") == "Standby", F.coalesce(F.min(eligible), F.min("bond"))).otherwise(F.min("bond")).alias("minimum"),
-            F.max("bond").alias("maximum"),
-            int_div(F.sum("bond"), F.count(F.lit(1))).alias("average"),
-            F.max(median).alias("median"),
-        )
+    sums = rows.groupBy("status").agg(
+        F.sum("bond").alias("total"),
+        F.when(F.first("status") == "Standby", F.coalesce(F.min(eligible), F.min("bond"))).otherwise(F.min("bond")).alias("minimum"),
+        F.max("bond").alias("maximum"),
+        int_div(F.sum("bond"), F.count(F.lit(1))).alias("average"),
     )
+    median = kth_values(rows.filter("bond is not null"), "status", "bond", F.floor(F.col("n") / 2))
+    return sums.join(median.withColumnRenamed("kth", "median"), "status", "left")

@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from poolscope.functions import pricing
 from poolscope.functions.numeric import NANOS
-from poolscope.operators import actions, ledger
+from poolscope.operators import actions, checks, ledger
 from poolscope.operators.buckets import BadRequest
+from poolscope.operators.distinct import DistinctStore
 from poolscope.operators.rollup import Aggregate
 from poolscope.schemas import table_schema
 from poolscope.sources import commits
@@ -225,3 +227,52 @@ def test_a_late_row_makes_one_slice_anew(spark, tmp_path):
         assert len(paths - now) == len(now - paths) == 1
     log.trim(3 * DAY + 7000 * NANOS, [store])
     assert all(check()) and log.read("switch_events").agg(F.max("block_timestamp")).first()[0] == 3 * DAY + 5400 * NANOS
+
+
+def test_distinct_counts_equal_raw_counts(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}", 2)
+    store = DistinctStore(log, "senders", F.col("from_addr"))
+    rows = [switch(d, n) | {"from_addr": f"from{(n * d) % 11}" if n else None} for d in range(1, 9) for n in range(12)]
+    whole = table(spark, "switch_events", rows)
+    assert store.count(whole, 0, 99 * DAY).first()["n"] == 11  # nothing stored yet
+    for epoch, part in enumerate((whole.filter("event_idx % 2 = 0"), whole.limit(0), whole.filter("event_idx % 2 = 1"), whole.filter("event_idx = 3"))):
+        assert store.append(part, str(epoch)) and not store.append(part, str(epoch))
+    numbers = log.read_parts(store.numbers, log.parts(store.numbers)).collect()
+    assert len(numbers) == len({r["number"] for r in numbers}) == len({r["value"] for r in numbers}) == 11
+    for low, high in ((0, 99 * DAY), (2 * DAY, 3 * DAY), (2 * DAY + 4, 5 * DAY + 3), (3 * DAY + 2, 3 * DAY + 9), (50 * DAY, 60 * DAY), (DAY + 3, 2 * DAY)):
+        want = len({r["from_addr"] for r in rows if low <= r["block_timestamp"] < high and r["from_addr"]})
+        assert store.count(whole, low, high).first()["n"] == want
+    # whole days come from their bitmaps alone
+    assert store.count(whole.limit(0), 2 * DAY, 4 * DAY).first()["n"] == 11
+
+
+def test_a_divergence_reads_slices_below_it_only(spark, tmp_path):
+    rows = [(h, f"p{k}", h * 31 % 17) for h in range(4000) for k in range(2)]
+    ours = spark.createDataFrame(rows, "height long, pool string, v long")
+    for name, changed in {"one": {(2777, "p1")}, "two": {(5, "p0"), (3999, "p0"), (64, "p1")}, "none": set()}.items():
+        theirs = ours.withColumn("v", F.when(F.concat_ws(":", "height", "pool").isin([f"{h}:{p}" for h, p in changed]), -1).otherwise(F.col("v")))
+        theirs = theirs.filter("not (height = 3900 and pool = 'p1')") if name == "two" else theirs
+        both = []
+        for side, history in (("ours", ours), ("theirs", theirs)):
+            path = f"file://{tmp_path}/{name}-{side}"
+            history.withColumn("slice", F.call_function("div", F.col("height"), F.lit(16))).repartition("slice").write.partitionBy("slice").parquet(path)
+            tree = f"{path}-tree"
+            checks.write_tree(checks.digest_tree(spark.read.parquet(path), ["pool"], ["v"], 16), tree)
+            both.append((spark.read.parquet(path), spark.read.parquet(tree)))
+        (a, tree_a), (b, tree_b) = both
+        got = checks.first_divergence_by_tree(a, b, tree_a, tree_b, ["pool"], ["v"], 16)
+        want = {}
+        for h, p in changed:
+            want[p] = min(h, want.get(p, h))
+        assert {r["pool"]: r["first_height"] for r in got.collect()} == want
+        if name == "one":  # of the histories 16 heights are asked, of each level of the trees 16 nodes
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "GreaterThanOrEqual(height,2768), LessThan(height,2784)" in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 500])
+def test_ranks_by_bins(spark, n):
+    rows = [(s, (k * 7919 + len(s)) % 1000 * 10**12 - 5 * 10**14 + (k % 3)) for s in ("Active", "Standby", "x") for k in range(n)] + [("same", 5)] * n
+    got = pricing.kth_values(spark.createDataFrame(rows, "status string, bond long"), "status", "bond", F.floor(F.col("n") / 2))
+    want = {s: sorted(b for t, b in rows if t == s)[n // 2] for s, _ in rows}
+    assert {r["status"]: r["kth"] for r in got.collect()} == want
