@@ -173,7 +173,7 @@ def send_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
 
 
 def repeated_anchors(sent: DataFrame, n_buckets: int, frequent: np.ndarray) -> DataFrame:
-    """(uid, blob of ANSWER) of the pieces whose anchor occurs more than once."""
+    """(bucket, blob) by document of the pieces whose anchor occurs more than once."""
 
     def finish(held):
         asked = [unpack(b, *ANCHOR_KINDS) for sure, b in held if not sure]
@@ -188,25 +188,33 @@ def repeated_anchors(sent: DataFrame, n_buckets: int, frequent: np.ndarray) -> D
             yield from answers(*(a[keep] for a in (hashed, uid, first, count, lead)))
 
     def answers(hashed, uid, first, count, lead):
-        if not len(uid):
-            return
-        by = np.argsort(uid, kind="stable")
-        hashed, uid, first, count, lead = (a[by] for a in (hashed, uid, first, count, lead))
-        often = is_in(hashed, frequent)
-        cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])), [len(uid)]])
-        blobs = [
-            np.rec.fromarrays([x[a:b] for x in (hashed, first, count, lead, often)], dtype=ANSWER).tobytes() for a, b in zip(cuts[:-1], cuts[1:])
-        ]
-        for at in range(0, len(blobs), 20_000):
-            some = pa.array(uid[cuts[at : min(at + 20_000, len(blobs))]], pa.int64())
-            yield pa.RecordBatch.from_arrays([some, pa.array(blobs[at : at + 20_000], pa.binary())], ["uid", "blob"])
+        arrays = [uid, hashed, first, count.astype("u1"), lead.astype("u1"), is_in(hashed, frequent).astype("u1")]
+        rows = [(k, pack(*some)) for k, some in dealt(arrays, n_buckets, mix64(uid.view("<u8")))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
-    return by_bucket(sent, finish, "uid long, blob binary", n_buckets)
+    return by_bucket(sent, finish, "bucket int, blob binary", n_buckets)
 
 
+ANSWER_KINDS = ("<i8", "<u8", "<i4", "u1", "u1", "u1")  # document, hash, first window, windows, anchor's place, frequent
 ANSWER = np.dtype([("hash", "<u8"), ("first", "<i4"), ("count", "<u1"), ("lead", "<u1"), ("frequent", "?")])
 
 
+def pieces_by_document(answers: DataFrame, n_buckets: int) -> DataFrame:
+    """(uid, blob of ANSWER), one row for each document that has pieces to look at."""
+
+    def finish(held):
+        uid, *piece = (np.concatenate(a) for a in zip(*(unpack(b, *ANSWER_KINDS) for (b,) in held)))
+        by = np.argsort(uid, kind="stable")
+        uid, rows = uid[by], np.rec.fromarrays([a[by] for a in piece], dtype=ANSWER)
+        cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])), [len(uid)]])
+        for at in range(0, len(cuts) - 1, 20_000):
+            some = cuts[at : at + 20_001]
+            blobs = pa.array([rows[a:b].tobytes() for a, b in zip(some[:-1], some[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(uid[some[:-1]], pa.int64()), blobs], ["uid", "blob"])
+
+    return by_bucket(answers, finish, "uid long, blob binary", n_buckets)
+
+
 def in_contexts(data: bytes, hashed: int, first: int, count: int, lead: int):
     """(hash, first window, windows, anchor's place) of the parts of a frequent anchor's piece: windows with CONTEXT bytes
     before the anchor, and those with as many after it.
@@ -266,20 +274,19 @@ def send_pieces(asked: DataFrame, length: int, n_buckets: int) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for uid, text, blobs in zip(*(c.to_pylist() for c in batch.columns)):
-                data = (text or "").encode() if blobs else b""
-                for blob in blobs or ():
-                    for hashed, first, count, lead, frequent in np.frombuffer(blob, ANSWER).tolist():
-                        if frequent and length >= 2 * CONTEXT + ANCHOR:
-                            size += sum(take(data, uid, *part) for part in in_contexts(data, hashed, first, count, lead))
-                        else:
-                            size += take(data, uid, hashed, first, count, lead)
+            for uid, text, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                data = (text or "").encode() if blob else b""
+                for hashed, first, count, lead, frequent in np.frombuffer(blob or b"", ANSWER).tolist():
+                    if frequent and length >= 2 * CONTEXT + ANCHOR:
+                        size += sum(take(data, uid, *part) for part in in_contexts(data, hashed, first, count, lead))
+                    else:
+                        size += take(data, uid, hashed, first, count, lead)
                 if size > FLUSH_BYTES or len(direct) > FLUSH_RANGES:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    return asked.select("uid", "text", "blobs").mapInArrow(run, "bucket int, direct boolean, blob binary")
+    return asked.select("uid", "text", "blob").mapInArrow(run, "bucket int, direct boolean, blob binary")
 
 
 class SequentialFile:
@@ -463,8 +470,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows, names = with_uids(docs)
     frequent = frequent_anchors(rows, length, size)
     answers = repeated_anchors(send_anchors(rows, length, n_buckets), n_buckets, frequent)
-    blobs = answers.groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
-    asked = rows.join(blobs, "uid", "left")
+    asked = rows.join(pieces_by_document(answers, n_buckets), "uid", "left")
     ranges = removed_ranges(send_pieces(asked, length, n_buckets), length, n_buckets)
     spans = ranges.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
