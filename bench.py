@@ -1,7 +1,7 @@
 """Headline queries on local[$BENCH_CPUS] over $BENCH_SF_DIR; prints one JSON line with seconds per query.
 
-Histories of swaps come twice: from the raw rows, and (`stored_`) from rollups that were written before, as a running
-service reads them. Writing them is not part of a query's time.
+Histories of swaps and the page of actions come twice: from the raw rows, and (`stored_`) from rollups and views that were
+written before, as a running service reads them. Writing them is not part of a query's time.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import time
 
 os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH", "")])
 
-from poolscope import catalog  # noqa: E402
+from poolscope import catalog, catalog_stores  # noqa: E402
 from poolscope.operators import history  # noqa: E402
 from poolscope.plans import adapters  # noqa: E402
 from poolscope.session import get_session, new_folder  # noqa: E402
@@ -40,7 +40,7 @@ HEADLINE = [
 
 
 def stored_queries(spark, sf_dir):
-    """Swap histories out of stored day and hour rollups."""
+    """Swap histories out of stored day and hour rollups, pages of actions out of the stored view and its postings."""
     swaps, agg = adapters.swap_events(spark, sf_dir, addresses=False), history.swaps_aggregate()
     rollups = {}
     for interval in ("hour", "day", "month"):
@@ -48,7 +48,11 @@ def stored_queries(spark, sf_dir):
         agg.rollup(swaps, interval).coalesce(1).sortWithinPartitions("start_s").write.parquet(path)
         rollups[interval] = spark.read.parquet(path)
     asked = {"q1_swap_history_day": (catalog.DAYS, None), "q1_swap_history_month_pool": (catalog.MONTHS, "N.O"), "agg4_swap_history_odd_range": (catalog.ODD, None)}
-    return {f"stored_{name}": (lambda b=b, p=p: history.swap_history(adapters.swap_events(spark, sf_dir, False, b), b, p, rollups)) for name, (b, p) in asked.items()}
+    queries = {f"stored_{name}": (lambda b=b, p=p: history.swap_history(adapters.swap_events(spark, sf_dir, False, b), b, p, rollups)) for name, (b, p) in asked.items()}
+    actions = catalog_stores.stored_actions(spark, sf_dir)
+    queries["stored_q8_page_of_all_kinds"] = lambda: actions.page(50, 75)
+    queries["stored_q8_page_of_address"] = lambda: actions.page(50, 0, address="17")
+    return queries
 
 
 def main() -> None:

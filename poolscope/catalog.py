@@ -833,4 +833,4 @@ def str4(spark, d):
     return views.kind_totals(keyed_events(spark, d))
 
 
-from poolscope import catalog_events, catalog_stores, catalog_views  # noqa: E402, F401 - they register more queries
+from poolscope import catalog_events, catalog_stores, catalog_types, catalog_views  # noqa: E402, F401 - they register more queries
