@@ -23,6 +23,8 @@ MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.8, 1.5
 MIN_PAGES = 10
 #: A telling word is in so many labelled documents at least, this share of them blocked; a page is blocked by so many.
 WORD_DOCS, WORD_SHARE, PAGE_WORDS = 10, 0.9, 2
+#: Telling words are learned from at most so many labelled documents, chosen by the hash of their id.
+SAMPLE_DOCS = 20_000
 WORD = r"[a-z\x{80}-\x{10FFFF}]+"
 #: Up to so many mined rules the index is broadcast; with more it is joined by a shuffle.
 BROADCAST_RULES = 20_000
@@ -99,10 +101,12 @@ def words_of(text: Column) -> Column:
 def telling_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(word) of the words that tell of a blocking label; docs: (doc_id, text), labels: (doc_id, block boolean).
 
-    Rows that repeat a doc_id count each, with the strictest of its labels; null ids have no label.
+    Learned from SAMPLE_DOCS labels, which are few enough to send to all tasks, so that no text is shuffled. Rows that
+    repeat a doc_id count each, with the strictest of its labels; null ids have no label.
     """
-    known = labels.groupBy("doc_id").agg(F.max("block").alias("block"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("block", F.explode(words_of(F.col("text"))).alias("word"))
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("block").alias("block"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("block", F.explode(words_of(F.col("text"))).alias("word"))
     counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("block").alias("blocked"))
     return counts.filter((F.col("n") >= WORD_DOCS) & (F.col("blocked") >= WORD_SHARE * F.col("n"))).select("word")
 
