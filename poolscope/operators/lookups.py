@@ -272,7 +272,7 @@ def lp_events(stakes: DataFrame, unstakes: DataFrame, member_id: str, pool: str)
 def with_block_info(log: DataFrame, depths: DataFrame, block_log: DataFrame) -> DataFrame:
     """LP events with the height of their block and their pool's depths at the end of their five minutes; 0 if unknown.
 
-    depths: depths of the pool, with priceusd.
+    depths: depths of the pool, with priceusd. A pool without assets has no price, so the base asset has none by it: 0.
     """
     five = F.call_function("div", F.col("block_timestamp"), F.lit(300 * NANOS))
     info = depths.groupBy(five.alias("five")).agg(F.max_by(F.struct("priceusd", "asset_e8", "rune_e8"), "block_timestamp").alias("d"))
@@ -284,7 +284,7 @@ def with_block_info(log: DataFrame, depths: DataFrame, block_log: DataFrame) ->
     return rows.select(
         *log.columns, F.coalesce("height", zero).alias("height"), F.coalesce("d.asset_e8", zero).alias("asset_depth"),
         F.coalesce("d.rune_e8", zero).alias("rune_depth"), asset_usd.alias("asset_price_usd"),
-        F.when(F.col("d").isNull(), 0.0).otherwise(ieee_div(asset_usd, price)).alias("rune_price_usd"),
+        F.when(F.col("d").isNull() | (price == 0), 0.0).otherwise(ieee_div(asset_usd, price)).alias("rune_price_usd"),
     )
 
 
