@@ -19,6 +19,18 @@ def ratio_or_zero(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
 
 
+def nine_places(x: Column) -> Column:
+    """A non-negative double below 10^9, rounded to nine places, as text: plain down to 0.0001, and like 1.2e-05 below."""
+    n = F.round(x * 10**9).cast("long")
+    units, rest = F.call_function("div", n, F.lit(10**9)).cast("string"), F.lpad((n % 10**9).cast("string"), 9, "0")
+    digits = F.regexp_replace(rest, "0+$", "")
+    plain = F.concat(units, F.lit("."), F.when(digits == "", "0").otherwise(digits))
+    first = F.length(F.regexp_extract(rest, "^0*", 0)) + 1  # place of the first digit that isn't 0
+    more = F.substring(digits, first + 1, F.lit(9))
+    short = F.concat(F.substring(digits, first, F.lit(1)), F.when(more == "", "").otherwise(F.concat(F.lit("."), more)), F.lit("e-0"), first.cast("string"))
+    return F.when((n > 0) & (n < 10**5), short).otherwise(plain)
+
+
 def rint_long(x: Column) -> Column:
     """double to long, half to even."""
     return F.rint(x).cast("long")

@@ -72,18 +72,21 @@ def block_rewards(emission_curve: Column, blocks_per_year: Column, reserve: Colu
     )
 
 
-def rune_usd_price(depths: DataFrame, usd_pools: list[str], keys: list[str] | None = None, guard_zero: bool = True) -> DataFrame:
+def rune_usd_price(
+    depths: DataFrame, usd_pools: list[str], keys: list[str] | None = None, guard_zero: bool = True, kept: list[str] | None = None
+) -> DataFrame:
     """USD price of the base asset: the inverse price of the deepest listed pool; the first listed wins ties.
 
     depths: (keys, pool, asset_e8, rune_e8). With guard_zero a pool of price 0 counts as price 1. Keys without a listed
-    pool have no row; join them from the left and read null as NaN.
+    pool have no row; join them from the left and read null as NaN. kept are columns of that pool to bring along.
     """
     place = F.array_position(F.lit(usd_pools), F.col("pool"))
     price = asset_price(F.col("asset_e8"), F.col("rune_e8"))
-    inverse = F.when(price != 0, ieee_div(F.lit(1.0), price)).otherwise(F.lit(1.0 if guard_zero else float("inf")))
-    best = F.max_by(inverse, F.struct("rune_e8", -place))
+    # the quotient itself: the inverse of a rounded price can differ in its last digits
+    inverse = F.when(price != 0, ieee_div(F.col("asset_e8"), F.col("rune_e8"))).otherwise(F.lit(1.0 if guard_zero else float("inf")))
+    best = F.max_by(F.struct(inverse.alias("rune_price_usd"), *(kept or [])), F.struct("rune_e8", -place))
     listed = depths.filter(F.col("pool").isin(usd_pools) & (F.col("rune_e8") > -1))
-    return listed.groupBy(*(keys or [])).agg(best.alias("rune_price_usd"))
+    return listed.groupBy(*(keys or [])).agg(best.alias("best")).select(*(keys or []), "best.*")
 
 
 def with_usd_price(depths: DataFrame, usd: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,6 @@ import duckdb
 import pytest
 
 from poolscope import catalog
-from poolscope.functions import pricing
 from tests.test_catalog import rows_of
 
 START = datetime(2024, 1, 1)
@@ -35,3 +34,9 @@ def matches(spark, tmp_path):
 def test_lp_events_in_a_pool_without_assets(matches, name):
     rows = [(1, 10, 9, "click", 5.0), (2, 400, 9, "click", 3.0), (3, 420, 9, "click", 0.0), (4, 800, 24, "click", 0.001), (5, 801, 9, "view", 1.0)]
     matches(name, rows)  # user 24 has a price, 24 % 8 = 0 makes it 0; user 9 has one of 0.25
+
+
+def test_unguarded_prices_of_any_size_as_text(matches):
+    values = [(1, 0.0), (1024, 0.01), (3000, 0.3), (5120, 0.03), (70_000, 1.0), (100_000, 0.01), (100_001, 123.45), (600_000, 0.02), (10**6, 0.12), (2 * 10**6, 0.0), (40_000_000, 0.7), (300, 29999.99)]
+    rows = [(i, k, k, "view", value) for k, (i, value) in enumerate(values)] + [(7, 50, 100, "click", 1.0), (8, 60, 101, "click", 0.0), (9, 70, 101, "view", 30.0)]
+    matches("fn11_unguarded_usd_price", rows)
