@@ -51,9 +51,9 @@ def balance_as_of(log: DataFrame, moment: int | Column) -> DataFrame:
 
 
 def bond_replay(bonds: DataFrame, block_log: DataFrame) -> DataFrame:
-    """Each bond event with its block's height and the address's bond after it."""
+    """Each bond event with its block's height and the address's bond after it; of blocks of one time the highest counts."""
     sign = F.when(F.col("bond_type").isin("bond_paid", "bond_reward"), F.col("e8")).otherwise(-F.col("e8"))
-    log = block_log.select("height", F.col("timestamp").alias("block_timestamp"))
+    log = block_log.groupBy(F.col("timestamp").alias("block_timestamp")).agg(F.max("height").alias("height"))
     rows = bonds.join(log, "block_timestamp").withColumn("bond", sign)
     return running(rows, ["from_addr"], ["block_timestamp", "event_idx"], ["bond"]).drop("slice", "opening")
 

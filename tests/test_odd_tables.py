@@ -40,3 +40,11 @@ def test_unguarded_prices_of_any_size_as_text(matches):
     values = [(1, 0.0), (1024, 0.01), (3000, 0.3), (5120, 0.03), (70_000, 1.0), (100_000, 0.01), (100_001, 123.45), (600_000, 0.02), (10**6, 0.12), (2 * 10**6, 0.0), (40_000_000, 0.7), (300, 29999.99)]
     rows = [(i, k, k, "view", value) for k, (i, value) in enumerate(values)] + [(7, 50, 100, "click", 1.0), (8, 60, 101, "click", 0.0), (9, 70, 101, "view", 30.0)]
     matches("fn11_unguarded_usd_price", rows)
+
+
+#: Of three events at one time, and two at another.
+SAME_TIME = [(1, 10, 3, "purchase", 5.0), (2, 20, 3, "click", 2.0), (3, 20, 3, "view", 1.5), (4, 20, 23, "purchase", 9.0), (5, 30, 4, "error", 1.0), (6, 30, 24, "click", 4.0)]
+
+
+def test_bonds_of_blocks_of_one_time_count_once(matches):
+    matches("join12_bond_replay", SAME_TIME)
