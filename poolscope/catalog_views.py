@@ -263,7 +263,7 @@ def fil8_tx(spark, d):
 
 @query("join8_action_heights", "SELECT event_id AS main_ref, event_id AS height FROM events UNION ALL SELECT -1, 0")
 def join8(spark, d):
-    log = A.block_log(spark, d)
+    log = lookups.unique_times(A.block_log(spark, d))
     rows = log.select(F.col("height").alias("main_ref"), F.col("timestamp").alias("block_timestamp"))
     rows = rows.unionByName(spark.createDataFrame([(-1, 5)], "main_ref long, block_timestamp long"))
     return actions.with_height(rows, log).select("main_ref", "height")

@@ -198,8 +198,9 @@ def attach_outbounds(actions: DataFrame, outbounds: DataFrame, fees: DataFrame)
 
 
 def with_height(actions: DataFrame, block_log: DataFrame) -> DataFrame:
-    """The block height of each action; 0 if its block is unknown."""
-    log = block_log.select(F.col("timestamp").alias("block_timestamp"), "height")
+    """The block height of each action; 0 if its block is unknown. A time names one block (lookups.unique_times); of several
+    that share one the highest counts, so that no action comes twice."""
+    log = block_log.groupBy(F.col("timestamp").alias("block_timestamp")).agg(F.max("height").alias("height"))
     return actions.join(log, "block_timestamp", "left").withColumn("height", F.coalesce("height", F.lit(0).cast("long")))
 
 

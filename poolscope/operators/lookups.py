@@ -30,6 +30,15 @@ def last_activation_height(activations: DataFrame, block_log: DataFrame) -> Data
     return newest.join(block_log, "timestamp", "left").agg(F.coalesce(F.max("height"), F.lit(-1).cast("long")).alias("height"))
 
 
+def unique_times(block_log: DataFrame) -> DataFrame:
+    """Blocks of one time a nanosecond apart each, in order of height, so that a time names one block.
+
+    Times are in whole microseconds, so up to 1,000 blocks of one stay apart from the next.
+    """
+    later = F.row_number().over(Window.partitionBy("timestamp").orderBy("height")) - 1
+    return block_log.withColumn("timestamp", F.col("timestamp") + later)
+
+
 def height_nano(heights: DataFrame, block_log: DataFrame) -> DataFrame:
     """Heights with the time of their block in nanoseconds; null for unknown ones."""
     return heights.join(block_log.select("height", "timestamp"), "height", "left")

@@ -48,3 +48,7 @@ SAME_TIME = [(1, 10, 3, "purchase", 5.0), (2, 20, 3, "click", 2.0), (3, 20, 3, "
 
 def test_bonds_of_blocks_of_one_time_count_once(matches):
     matches("join12_bond_replay", SAME_TIME)
+
+
+def test_heights_of_blocks_of_one_time(matches):
+    matches("join8_action_heights", SAME_TIME)
