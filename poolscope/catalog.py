@@ -494,7 +494,7 @@ def win1(spark, d):
 
 @query("mv5_current_balances", f"WITH {DELTAS} SELECT addr, asset, sum(delta)::BIGINT AS balance FROM deltas GROUP BY 1, 2")
 def mv5(spark, d):
-    return ledger.current_balances(ledger.balances(A.transfer_events(spark, d)))
+    return ledger.balances_now(A.transfer_events(spark, d))
 
 
 BALANCE_AT = second("1997-06-01") * NANOS

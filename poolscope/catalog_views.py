@@ -91,8 +91,7 @@ def fil9(spark, d):
 
 @query("join11_balances_of_slice", f"WITH {C.DELTAS} SELECT addr, asset, sum(delta)::BIGINT AS balance FROM deltas WHERE (addr, asset) IN (SELECT addr, asset FROM deltas WHERE {C.inside(C.WINDOW)}) GROUP BY 1, 2")
 def join11(spark, d):
-    log = ledger.balances(A.transfer_events(spark, d))
-    return ledger.balances_of_slice(log, log.filter(C.WINDOW.holds(F.col("block_timestamp"))))
+    return ledger.balances_now(A.transfer_events(spark, d), C.WINDOW.holds(F.col("block_timestamp")))
 
 
 @query("join1_last_activation_height", "SELECT max(event_id) AS height FROM events WHERE event_type = 'signup'")

@@ -36,6 +36,18 @@ def balances_at(transfers: DataFrame, moment: int, address: str | None = None) -
     return out if address is None else out.filter(F.col("addr") == address)
 
 
+def balances_now(transfers: DataFrame, changed: Column | None = None) -> DataFrame:
+    """Current balance of each (address, asset), of those with a transfer that meets a condition if one is given.
+
+    The newest balance is the sum of all changes: one partial sum a key, without the history.
+    """
+    hit = F.lit(True) if changed is None else changed
+    sides = [F.struct(F.col(c).alias("addr"), (F.col("amount_e8") * sign).alias("delta")) for c, sign in (("to_addr", 1), ("from_addr", -1))]
+    rows = transfers.select("asset", hit.alias("hit"), F.explode(F.array(*sides)).alias("x"))
+    sums = rows.groupBy(F.col("x.addr").alias("addr"), "asset").agg(F.sum("x.delta").alias("balance"), F.max("hit").alias("hit"))
+    return sums.filter("hit").drop("hit")
+
+
 def current_balances(log: DataFrame) -> DataFrame:
     """Latest balance of each key of a balance log."""
     return log.groupBy("addr", "asset").agg(F.max_by("balance", "block_timestamp").alias("balance"))

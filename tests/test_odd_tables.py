@@ -69,3 +69,14 @@ def test_a_stream_is_cut_into_batches_without_ordering_rows(spark):
     query.trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 3 and all(seen) and sum(map(len, seen)) == 3050
     assert max(seen[0]) < min(seen[1]) and max(seen[1]) < min(seen[2])  # the block of 51 rows stays whole
+
+
+def test_current_balances_are_sums_of_all_changes(spark):
+    from poolscope.operators import ledger
+
+    rows = [("a", "b", "X", 5, 10), ("b", "a", "X", 2, 20), ("a", "a", "Y", 7, 20), ("c", "b", "X", 1, 30), ("c", "d", "Y", 4, 5)]
+    transfers = spark.createDataFrame(rows, "from_addr string, to_addr string, asset string, amount_e8 long, block_timestamp long")
+    log = ledger.balances(transfers)
+    assert sorted(ledger.balances_now(transfers).collect()) == sorted(ledger.current_balances(log).collect())
+    late = log.filter("block_timestamp >= 20")
+    assert sorted(ledger.balances_now(transfers, transfers["block_timestamp"] >= 20).collect()) == sorted(ledger.balances_of_slice(log, late).collect())
