@@ -80,3 +80,17 @@ def test_current_balances_are_sums_of_all_changes(spark):
     assert sorted(ledger.balances_now(transfers).collect()) == sorted(ledger.current_balances(log).collect())
     late = log.filter("block_timestamp >= 20")
     assert sorted(ledger.balances_now(transfers, transfers["block_timestamp"] >= 20).collect()) == sorted(ledger.balances_of_slice(log, late).collect())
+
+
+def exchanges(rows) -> int:
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_outbounds_and_fees_of_a_reference_in_one_exchange(spark):
+    from poolscope.operators import actions
+
+    outs = spark.createDataFrame([("o1", "v", "x", "A.A", 5, "r1", 2, 20), (None, "v", "y", "B.B", 6, "r1", 1, 10), ("o3", "v", "x", "A.A", 7, "r2", 3, 5)], "tx string, from_addr string, to_addr string, asset string, asset_e8 long, in_tx string, event_idx long, block_timestamp long")
+    fees = spark.createDataFrame([("r1", "A.A", 1, 9, 30), ("r3", "B.B", 2, 8, 40)], "tx string, asset string, asset_e8 long, event_idx long, block_timestamp long")
+    got = actions.outbounds_by_ref(outs, fees)
+    assert exchanges(got) == 1
+    assert {r["ref"]: (r["o"] and [o["to_addr"] for o in r["o"]], r["f"] and [f["amount"] for f in r["f"]]) for r in got.collect()} == {"r1": (["y", "x"], [1]), "r2": (["x"], None), "r3": (None, [2])}
