@@ -75,10 +75,22 @@ def _running(effects: DataFrame) -> DataFrame:
     return running(sums, ["pool"], ["block_timestamp", "event_idx"], BALANCES[:2], F.col("reset"), BALANCES[2:])
 
 
+def block_effects(effects: DataFrame) -> DataFrame:
+    """Effects summed by block, in partial sums without order; of a block with resets a reset, then what came after its last one."""
+    block = ["pool", "block_timestamp"]
+    resets = effects.filter("reset").groupBy(*block).agg(F.max("event_idx").alias("__reset"))
+    counts = F.col("__reset").isNull() | (F.col("event_idx") > F.col("__reset"))
+    since = [F.sum(F.when(counts, F.col(c)).otherwise(0)).alias(c) for c in ("asset", "rune")]
+    sums = effects.join(resets, block, "left").groupBy(*block).agg(*since, F.sum("synth").alias("synth"))
+    zeros = [F.lit(0).cast("long").alias(c) for c in ("asset", "rune", "synth")]
+    anew = resets.select("pool", *zeros, F.lit(True).alias("reset"), F.lit(0).cast("long").alias("event_idx"), "block_timestamp")
+    return sums.withColumns({"reset": F.lit(False), "event_idx": F.lit(1).cast("long")}).select(*EFFECT).unionByName(anew)
+
+
 def block_depths(effects: DataFrame) -> DataFrame:
     """Balances at the end of each block that changed them: one row per (pool, block), only where a value differs."""
     last = F.max_by(F.struct("asset_e8", "rune_e8", "synth_e8"), "event_idx")
-    rows = _running(effects).groupBy("pool", "slice", "block_timestamp").agg(last.alias("d"), F.first("opening").alias("opening"))
+    rows = _running(block_effects(effects)).groupBy("pool", "slice", "block_timestamp").agg(last.alias("d"), F.first("opening").alias("opening"))
     before = F.coalesce(F.lag("d").over(Window.partitionBy("pool", "slice").orderBy("block_timestamp")), F.col("opening"))
     return rows.withColumn("before", before).filter("d <> before").select("pool", "block_timestamp", "d.*")
 

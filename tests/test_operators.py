@@ -342,3 +342,28 @@ def test_requests_that_cannot_be_answered():
     for request in bad:
         with pytest.raises(buckets.BadRequest):
             buckets.resolve(0, 10**9, **request)
+
+
+def test_block_depths_order_sums_of_blocks_only(spark):
+    import random
+
+    from poolscope.operators import asof, depths
+
+    rng, rows = random.Random(4), []
+    for pool in "ab":
+        for i in range(600):
+            rows.append((pool, rng.randrange(-9, 10), rng.randrange(5), rng.randrange(3), rng.random() < 0.03, i, rng.randrange(60) * asof.SLICE_NANOS // 7))
+    df = spark.createDataFrame(rows, "pool string, asset long, rune long, synth long, reset boolean, event_idx long, block_timestamp long").repartition(5)
+    want = []
+    for pool in "ab":
+        now, ends = (0, 0, 0), {}
+        for _, a, r, s, reset, _, t in sorted((x for x in rows if x[0] == pool), key=lambda x: (x[6], x[5])):
+            now = (0, 0, now[2] + s) if reset else (now[0] + a, now[1] + r, now[2] + s)
+            ends[t] = now
+        before = (0, 0, 0)
+        for t, d in sorted(ends.items()):
+            want += [(pool, t, *d)] if d != before else []
+            before = d
+    assert sorted(map(tuple, depths.block_depths(df).collect())) == want
+    sums = depths.block_effects(df)
+    assert sums.filter("not reset").count() == len({(x[0], x[6]) for x in rows}) and sums.filter("reset").count() <= 120
