@@ -151,7 +151,8 @@ def _extra(rows: DataFrame, event_type: str) -> DataFrame:
 def good(decoded: DataFrame, event_type: str) -> DataFrame:
     """Rows of the event's table; columns that are derived later are null."""
     schema = table_schema(FIELDS[event_type][0])
-    rows = decoded.filter(F.size("malformed") == 0)
+    # as in dead_letters, a filter would make the attributes anew for every field
+    rows = decoded.select("*", F.explode(F.filter(F.array("malformed"), lambda bad: F.size(bad) == 0)).alias("__none"))
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
@@ -161,7 +162,8 @@ def dead_letters(events: DataFrame) -> DataFrame:
     reason = F.when(~kind.isin([*FIELDS, "slash", *IGNORED]), F.array(F.lit("unknown type")))
     for event_type in FIELDS:
         reason = reason.when(kind == event_type, _fields(event_type)[1])
-    return events.withColumn("malformed", reason).filter(F.size("malformed") > 0)
+    # a generator: a filter on the reason would move below what makes the attributes, and make them anew for every field
+    return events.select("*", F.explode(F.filter(F.array(reason), lambda bad: F.size(bad) > 0)).alias("malformed"))
 
 
 def open_amounts(events: DataFrame, event_type: str) -> DataFrame:

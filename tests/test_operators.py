@@ -367,3 +367,17 @@ def test_block_depths_order_sums_of_blocks_only(spark):
     assert sorted(map(tuple, depths.block_depths(df).collect())) == want
     sums = depths.block_effects(df)
     assert sums.filter("not reset").count() == len({(x[0], x[6]) for x in rows}) and sums.filter("reset").count() <= 120
+
+
+def test_dead_letters_make_attributes_once_an_event(spark):
+    """A filter on the reason that moves below the attributes makes them anew for every field."""
+    text = F.concat(F.lit("made "), F.col("id").cast("string"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("swap_slip", text), ("coin", text), ("memo", text))])
+    events = spark.range(4).select(
+        F.col("id").alias("height"), F.col("id").alias("block_timestamp"), F.lit(0).cast("long").alias("event_idx"),
+        F.when(F.col("id") == 0, "swap").when(F.col("id") == 1, "tx").when(F.col("id") == 2, "message").otherwise("mystery").alias("type"), pairs.alias("attributes"),
+    )
+    got = decode.dead_letters(events)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("made ") <= 3
+    assert {r["height"]: r["malformed"] for r in got.collect()} == {0: ["from_asset,from_e8", "swap_slip_bp", "direction"], 3: ["unknown type"]}
