@@ -8,23 +8,47 @@ from pyspark.sql import functions as F
 from poolscope.operators.asof import SLICE_NANOS, as_of, running
 
 
-def balance_deltas(transfers: DataFrame) -> DataFrame:
-    """Double entry in one scan: the receiver gains, the sender loses; one row per (address, asset, block)."""
+def _sides(transfers: DataFrame) -> DataFrame:
+    """Double entry in one scan: the receiver gains, the sender loses."""
     sides = F.explode(
         F.array(
             F.struct(F.col("to_addr").alias("addr"), F.col("amount_e8").alias("delta")),
             F.struct(F.col("from_addr").alias("addr"), (-F.col("amount_e8")).alias("delta")),
         )
     )
-    rows = transfers.select("asset", "block_timestamp", sides.alias("x"))
-    return rows.groupBy(F.col("x.addr").alias("addr"), "asset", "block_timestamp").agg(F.sum("x.delta").alias("delta"))
+    return transfers.select("asset", "block_timestamp", sides.alias("x")).select("x.addr", "asset", "block_timestamp", "x.delta")
+
+
+def balance_deltas(transfers: DataFrame) -> DataFrame:
+    """Change of each (address, asset) by each block."""
+    return _sides(transfers).groupBy("addr", "asset", "block_timestamp").agg(F.sum("delta").alias("delta"))
 
 
-def balances(transfers: DataFrame) -> DataFrame:
-    """Balance of each (address, asset) after each block that changes it."""
-    # most addresses have few rows: slices of a month are still small for the busy ones
-    rows = running(balance_deltas(transfers), ["addr", "asset"], ["block_timestamp"], ["delta"], slice_nanos=30 * SLICE_NANOS)
-    return rows.select("addr", "asset", "block_timestamp", F.col("delta").alias("balance"))
+#: Keys are counted by so many buckets; those of a bucket with more changes are ordered within slices of time.
+BUSY_BUCKETS, BUSY_ROWS = 1 << 14, 1_000_000
+
+
+def balances(transfers: DataFrame, busy_rows: int = BUSY_ROWS) -> DataFrame:
+    """Balance of each (address, asset) after each block that changes it.
+
+    Most keys have few rows, which are ordered as they are, in one exchange. Only keys of a busy bucket are spread over
+    slices of a month, and for them alone a sum per slice is carried on.
+    """
+    key, rows = ["addr", "asset"], _sides(transfers)
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUSY_BUCKETS)).alias("__bucket")
+    busy = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > busy_rows).select("__bucket", F.lit(True).alias("__busy"))
+    rows = rows.select("*", bucket).join(F.broadcast(busy), "__bucket", "left")
+    cut = F.col("__busy") & F.col("addr").isNotNull() & F.col("asset").isNotNull()
+    month = F.call_function("div", F.col("block_timestamp"), F.lit(30 * SLICE_NANOS))
+    rows = rows.select(*key, "block_timestamp", "delta", F.when(cut, month).alias("__slice"))
+    order = Window.partitionBy(*key, "__slice").orderBy("block_timestamp")
+    sums = rows.withColumns({"balance": F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.lead("block_timestamp").over(order)})
+    sums = sums.filter("__next is null or __next > block_timestamp")
+    totals = rows.filter("__slice is not null").groupBy(*key, "__slice").agg(F.sum("delta").alias("total"))
+    before = Window.partitionBy(*key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    opening = totals.select(*key, "__slice", F.sum("total").over(before).alias("opening"))
+    joined = sums.join(opening, [*key, "__slice"], "left")
+    return joined.select(*key, "block_timestamp", (F.coalesce("balance", F.lit(0)) + F.coalesce("opening", F.lit(0))).alias("balance"))
 
 
 def balances_at(transfers: DataFrame, moment: int, address: str | None = None) -> DataFrame:

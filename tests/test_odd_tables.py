@@ -86,6 +86,28 @@ def exchanges(rows) -> int:
     return rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
+def test_balances_order_rows_in_one_exchange_and_spread_busy_keys(spark):
+    import random
+
+    from poolscope.operators import ledger
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "a", None]), rng.choice(["hot", "b", "c"]), "X", rng.randrange(9), rng.randrange(400) * 86400 * 10**9) for _ in range(900)]
+    transfers = spark.createDataFrame(rows, "from_addr string, to_addr string, asset string, amount_e8 long, block_timestamp long")
+    want, now = {}, {}
+    for sender, receiver, asset, amount, t in sorted(rows, key=lambda r: r[4]):
+        for addr, delta in ((sender, -amount), (receiver, amount)):
+            now[addr] = want[addr, asset, t] = now.get(addr, 0) + delta
+    for busy_rows in (0, 300, ledger.BUSY_ROWS):
+        got = ledger.balances(transfers, busy_rows).collect()
+        assert len(got) == len(want) and {tuple(r)[:3]: r["balance"] for r in got} == want
+    got.clear()
+    plain = ledger.balances(transfers)
+    plain.collect()  # without a busy key nothing is left of what is carried
+    final = plain._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1
+
+
 def test_outbounds_and_fees_of_a_reference_in_one_exchange(spark):
     from poolscope.operators import actions
 
