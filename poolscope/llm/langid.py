@@ -26,9 +26,12 @@ ORDER = 5
 DISCOUNT = 0.75
 #: Characters that an unseen character is one of.
 ALPHABET = 2000
-#: The rejection bound of a language is this quantile of its calibration rows: about so many, the lowest by hash of the
-#: id and text, held out of the counts. A language with fewer than MIN_HELD_OUT rows is calibrated on all of its training rows.
-CALIBRATION_ROWS, CALIBRATION_SHARE, MIN_HELD_OUT, CALIBRATION_QUANTILE = 2000, 0.05, 1000, 0.999
+#: The rejection bound of a language is MARGIN times this quantile of the cross-entropies of its training rows, counted in
+#: bins of so many nats.
+CALIBRATION_QUANTILE, BIN, MARGIN = 0.999, 0.001, 1.1
+#: If asked, rows are held out of the counts for the bound: about so many, the lowest by hash of the id and text. A language
+#: with fewer than MIN_HELD_OUT rows is calibrated on all of its training rows even then.
+CALIBRATION_ROWS, CALIBRATION_SHARE, MIN_HELD_OUT = 2000, 0.05, 1000
 #: Words a worker remembers with their scores.
 CACHED_WORDS = 150_000
 #: Grams a counting task holds before it sends them on.
@@ -316,16 +319,47 @@ def calibrate(models: Models, rows: DataFrame) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(langs[at:to][good], pa.int32()), pa.array(own)], ["j", "own"])
 
     own = rows.select("lang", "text").mapInArrow(run, "j int, own double")
-    for r in own.groupBy("j").agg(F.percentile("own", F.lit(CALIBRATION_QUANTILE)).alias("q")).collect():
-        models.bound[r["j"]] = r["q"] * 1.1
+    for j, bound in bounds(own, "j").items():
+        models.bound[j] = bound
+
+
+def bounds(rows: DataFrame, key: str) -> dict:
+    """Per key the rejection bound of its rows' `own` cross-entropies: all rows are counted, in bins."""
+    bins: dict = {}
+    counted = rows.filter("own is not null").groupBy(key, F.floor(F.col("own") / BIN).alias("bin")).count()
+    for r in counted.collect():
+        bins.setdefault(r[key], []).append((r["bin"], r["count"]))
+    out = {}
+    for name, found in bins.items():
+        found.sort()
+        upto = np.cumsum([n for _, n in found])
+        out[name] = MARGIN * BIN * (found[int(np.searchsorted(upto, CALIBRATION_QUANTILE * upto[-1]))][0] + 1)
+    return out
+
+
+def teaching(docs: DataFrame) -> DataFrame:
+    """The (doc_id, lang, text) rows that teach: those with text and language."""
+    return docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+
+
+def fit(rows: DataFrame) -> Models:
+    """Models of all grams of the given (lang, text) rows, without bounds."""
+    return collect_models(kneser_ney(materialize(count_grams(rows), "langid-counts")))
 
 
-def train(docs: DataFrame) -> Models:
-    """Models of all languages of the given (doc_id, text, lang) rows. Rows without text or language teach nothing."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+def train(docs: DataFrame, hold_out: bool = False) -> Models:
+    """Models of all languages of the given (doc_id, text, lang) rows. Rows without text or language teach nothing.
+
+    All rows are counted, and the bounds are of all rows; with hold_out, the bounds are of some that are not counted.
+    """
+    rows = teaching(docs)
+    if not hold_out:
+        models = fit(rows)
+        if models.langs:
+            calibrate(models, rows)
+        return models
     shares, held_out = calibration_shares(rows)
-    taught = rows.filter(~_below(held_out)).select("lang", "text")
-    models = collect_models(kneser_ney(materialize(count_grams(taught), "langid-counts")))
+    models = fit(rows.filter(~_below(held_out)))
     if not models.langs:
         return models
     calibrate(models, rows.filter(_below(shares)))
@@ -335,8 +369,9 @@ def train(docs: DataFrame) -> Models:
     return models
 
 
-def answer(models: Models, texts: list[str | None], cache: dict[str, int], table: list[np.ndarray]) -> list[pa.Array]:
-    """Language, score, cross-entropy and rejection of each text."""
+def answer(models: Models, texts: list[str | None], cache: dict[str, int], table: list[np.ndarray], known: list | None = None) -> list[pa.Array]:
+    """Language, score, cross-entropy and rejection of each text; if languages are known, the cross-entropy under each text's own."""
+    own = np.full(len(texts), np.nan)
     langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
     lowest, rejected = np.full(len(texts), np.nan), np.zeros(len(texts), bool)
     if models.langs:
@@ -348,7 +383,41 @@ def answer(models: Models, texts: list[str | None], cache: dict[str, int], table
             scores[good] = _probability(cross[good], chars[good])[np.arange(len(good)), best]
             lowest[good] = cross[good, best]
             rejected[good] = lowest[good] > models.bound[best]
-    return [pa.array(langs, pa.string()), pa.array(scores), pa.array(lowest, from_pandas=True), pa.array(rejected)]
+            if known is not None:
+                place = {lang: j for j, lang in enumerate(models.langs)}
+                mine = np.array([place.get(x, -1) for x in known])
+                good = good[mine[good] >= 0]
+                own[good] = cross[good, mine[good]]
+    out = [pa.array(langs, pa.string()), pa.array(scores), pa.array(lowest, from_pandas=True), pa.array(rejected)]
+    return out if known is None else [*out, pa.array(own, from_pandas=True)]
+
+
+def identify(docs: DataFrame, taught) -> DataFrame:
+    """predict for every (doc_id, text, lang) row, by models and bounds of all rows where taught holds.
+
+    Each text is scored once: the bounds come of the scores of the rows that taught, and reject afterwards. A row's
+    language tells only which bound its score counts for.
+    """
+    models = fit(teaching(docs.filter(taught)))
+    held = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        models = held.value
+        cache, table = {}, [np.zeros((0, len(models.langs)))]
+        for batch in batches:
+            known = batch.column(2).to_pylist()
+            for at, to, texts in text_slices(batch.column(1)):
+                got = answer(models, texts, cache, table, known[at:to])
+                columns = [batch.column(0).slice(at, to - at), *got[:3], batch.column(2).slice(at, to - at), got[4]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "cross_entropy", "known", "own"])
+
+    known = F.when(taught, F.col("lang")).alias("known")
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), known)
+    schema = "doc_id long, lang_pred string, score double, cross_entropy double, known string, own double"
+    scored = materialize(narrow.mapInArrow(run, schema), "langid-scores")
+    found = bounds(scored, "known")
+    bound = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])[F.col("lang_pred")] if found else F.lit(None)
+    return scored.select("doc_id", "lang_pred", "score", "cross_entropy", F.coalesce(F.col("cross_entropy") > bound, F.lit(False)).alias("rejected"))
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:

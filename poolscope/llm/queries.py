@@ -152,8 +152,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    models = langid.train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    got = langid.predict(docs, models)
+    got = langid.identify(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 

@@ -345,3 +345,22 @@ def test_every_language_gets_a_bound(spark):
     assert got == {1: True, 2: False, 3: False}
     shares, held = langid.calibration_shares(docs)
     assert held == {"en": 0.05} and shares == {"en": 0.05, "de": 1.0}
+
+
+def test_all_taught_rows_are_counted_and_calibrate(spark):
+    rows = [(i, f"plain english words {i} of many" + " and more" * (i % 7), "en") for i in range(1500)]
+    rows += [(2000 + i, "wenige deutsche wörter", "de") for i in range(40)] + [(3000, "qqxzj vvkkq zzxqj", "en"), (3001, None, "en"), (3002, "12", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    taught = F.col("doc_id") % 5 != 0
+    models = langid.train(docs.filter(taught))
+    counts: dict = {}
+    for r in langid.count_grams(langid.teaching(docs.filter(taught))).collect():
+        counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+    want = langid.build({lang: langid._language_model(c) for lang, c in counts.items()})
+    assert [len(keys) for keys, _ in models.grams] == [len(keys) for keys, _ in want.grams]
+    _, cross = langid.score_texts(models, [t for i, t, lang in rows if lang == "en" and t and i % 5], {}, [np.zeros((0, 2))])
+    at = np.sort(cross[:, models.langs.index("en")])[int(np.ceil(0.999 * len(cross))) - 1]
+    assert models.bound[models.langs.index("en")] == pytest.approx(1.1 * at, abs=0.0012)
+    got = {r["doc_id"]: tuple(r)[1:] for r in langid.identify(docs, taught).collect()}
+    plain = {r["doc_id"]: tuple(r)[1:] for r in langid.predict(docs, models).collect()}
+    assert got.keys() == plain.keys() and all(got[i] == pytest.approx(plain[i]) for i in got if i < 3001) and got[3001] == plain[3001] == ("und", 0.0, None, False)
