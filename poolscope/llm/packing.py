@@ -95,9 +95,9 @@ class Encoder:
             self.older, self.known = self.known, {}
         known, cut = self.known, [self.parts(text) for text in texts]
         new = set().union(*cut).difference(known)
-        again = new.intersection(self.older)
+        again = [part for part in new if part in self.older]  # an intersection would pass over all that is remembered
         known.update(zip(again, map(self.older.__getitem__, again)))
-        new -= again
+        new.difference_update(again)
         words = [part for part in new if WORD.fullmatch(part)] if self.byte_level else []
         known.update(zip(words, self._together(words) if words else []))
         others = list(new.difference(words))
