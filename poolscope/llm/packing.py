@@ -19,11 +19,12 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import materialize, text_slices
+from poolscope.llm.common import byte_chunks, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = f"{PIECES}, sequence_id long, offset long"
@@ -32,15 +33,28 @@ OPEN_BINS = 1024
 #: Tokens that one packing task takes, about.
 TASK_TOKENS = 1 << 25
 #: Bytes of texts that are tokenised at once.
-SLICE_BYTES = 500_000
-#: A byte-level tokenizer first splits a text into words, and no word holds white space after another character. So the
-#: ids of a text are those of these parts, one after the other, and of parts that come again they are remembered.
-PARTS = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-#: What only some libraries take for white space: a text with any of it is not split.
+SLICE_BYTES = 4_000_000
+#: A byte-level tokenizer first splits a text into words: runs of letters, of digits or of other characters, each with a space
+#: before it at most, short forms like 't, and white space. So the ids of a text are those of its parts, one after the other,
+#: if it is cut only where such a word ends for certain. That is told by kinds of bytes: white space, ASCII letters, digits and
+#: other visible characters, the apostrophe, all others.
+SPACE, LETTER, DIGIT, MARK, QUOTE, OTHER = range(6)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[0x21:0x7F] = MARK
+KINDS[np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)] = SPACE
+KINDS[0x41:0x5B] = KINDS[0x61:0x7B] = LETTER
+KINDS[0x30:0x3A] = DIGIT
+KINDS[0x27] = QUOTE
+#: The pairs of kinds, six times the former plus the latter, between which a text is cut.
+CUTS = np.zeros((6, 6), bool)
+CUTS[1:, SPACE] = CUTS[LETTER, DIGIT:OTHER] = CUTS[MARK, [LETTER, DIGIT]] = CUTS[DIGIT, [LETTER, MARK, QUOTE]] = True
+CUTS = CUTS.ravel()
+#: What only some libraries take for white space: a text with any of it, or with an added token, is cut before white space that
+#: follows an ASCII character and nowhere else.
 UNCLEAR_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
-#: Words that a worker remembers, twice so many at most, those met last: parts with white space at the beginning and not at
-#: the end, of so many characters at most.
-REMEMBERED, WORD = 200_000, re.compile(r"[\t-\r ]{1,4}[^\t-\r ]{1,40}")
+#: Parts that a worker remembers, twice so many at most, those met last: parts that don't end in white space, of so many bytes
+#: at most.
+REMEMBERED, WORD_BYTES = 200_000, 64
 
 
 class Encoder:
@@ -58,55 +72,103 @@ class Encoder:
             told = json.load(file)
         pre = told.get("pre_tokenizer") or {}
         self.byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not told.get("normalizer")
-        # an added token may hold white space or take that around it
         # bytes that each id stands for: a byte-level vocabulary writes a byte as a character
         self.sizes = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.sizes[i] = len(word)
         for t in told["added_tokens"]:
             self.sizes[t["id"]] = len(t["content"].encode())
+        # an added token may hold white space or take that around it
         self.byte_level &= not any(t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in told["added_tokens"])
+        self.odd = "|".join([UNCLEAR_SPACE.pattern, *(re.escape(t["content"]) for t in told["added_tokens"])])
 
     def forget(self) -> None:
         """Leave no words in a worker that goes on to other work."""
         self.known, self.older = {}, {}
 
-    def parts(self, text: str) -> list[str]:
-        if not self.byte_level or UNCLEAR_SPACE.search(text):
-            return [text]
-        return PARTS.findall(text)
+    def _cut(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Where the parts of texts begin, and the end; whether any text holds unclear white space or an added token."""
+        if not self.byte_level:
+            return np.unique(offsets), False
+        kinds = KINDS[data]
+        pairs = kinds[:-1] * np.uint8(6) + kinds[1:]
+        cut = CUTS[pairs]
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
+        for k in odd.tolist():
+            inside = slice(offsets[k], offsets[k + 1] - 1)
+            cut[inside] &= (kinds[1:][inside] == SPACE) & (kinds[:-1][inside] != OTHER)
+        ends = offsets[(offsets > 0) & (offsets < len(data))]
+        cut[ends - 1] = True
+        return np.concatenate([[0], np.flatnonzero(cut) + 1, [len(data)]]), len(odd) > 0
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """The ids of words that each begin with white space and end without, read as one text and cut by their bytes."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(w.encode()) for w in words])
+    def parts(self, text: str) -> list[str]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = self._cut(np.array([0, len(data)]), data)[0].tolist() if len(data) else [0]
+        return [data[i:j].tobytes().decode() for i, j in zip(at, at[1:])]
+
+    def _each(self, texts: list[bytes]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _together(self, spaced: list[bytes], bare: list[bytes]) -> list[bytes]:
+        """The ids of words that end without white space, read as one text and cut by their bytes.
+
+        The first ones begin with white space. Each of the others gets a line feed before it, which is a word of its own there.
+        """
+        text = b"".join([*spaced, *(b"\n" + w for w in bare)]).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        added = np.arange(len(spaced) + len(bare)) >= len(spaced)
+        ends = np.cumsum(np.array([*map(len, spaced), *map(len, bare)], np.int64) + added)
         cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
-        data, out, at = ids.tobytes(), [], 0
-        for to in (4 * cuts).tolist():
-            out.append(data[at:to])
-            at = to
-        return out
+        starts = np.concatenate([[0], cuts[:-1]]) + added
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip((4 * starts).tolist(), (4 * cuts).tolist())]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _read(self, parts: pa.Array, any_odd: bool) -> list[bytes]:
+        """The ids of different parts: remembered, or read now."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        known, cut = self.known, [self.parts(text) for text in texts]
-        new = set().union(*cut).difference(known)
-        again = [part for part in new if part in self.older]  # an intersection would pass over all that is remembered
-        known.update(zip(again, map(self.older.__getitem__, again)))
-        new.difference_update(again)
-        words = [part for part in new if WORD.fullmatch(part)] if self.byte_level else []
-        known.update(zip(words, self._together(words) if words else []))
-        others = list(new.difference(words))
-        known.update(zip(others, self._each(others)))
-        out = [b"".join(map(known.__getitem__, some)) for some in cut]
-        for part in others:
-            del known[part]
+        words = parts.to_pylist()
+        known, older = self.known, self.older
+        out, new = list(map(known.get, words)), []
+        for k in [k for k, got in enumerate(out) if got is None]:
+            got = older.get(words[k])
+            if got is None:
+                new.append(k)
+            else:
+                out[k] = known[words[k]] = got
+        at = np.array(new, np.int64)
+        offsets, data = np.frombuffer(parts.buffers()[1], np.int64, len(parts) + 1), np.frombuffer(parts.buffers()[2], np.uint8)
+        starts, ends = offsets[at], offsets[at + 1]
+        word = (ends - starts <= WORD_BYTES) & (KINDS[data[ends - 1]] != SPACE) & self.byte_level
+        if any_odd:
+            odd = re.compile(self.odd)
+            word &= np.array([not odd.search(words[k].decode()) for k in new], bool)
+        space = KINDS[data[starts]] == SPACE
+        spaced, bare, others = (at[some].tolist() for some in (word & space, word & ~space, ~word))
+        if spaced or bare:
+            for k, ids in zip(spaced + bare, self._together([words[k] for k in spaced], [words[k] for k in bare])):
+                out[k] = known[words[k]] = ids
+        if others:
+            for k, ids in zip(others, self._each([words[k] for k in others])):
+                out[k] = ids
         return out
 
+    def read(self, offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
+        """The ids of each of the texts that lie in data one after the other."""
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        at, any_odd = self._cut(offsets, data)
+        every = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._read(every.dictionary, any_odd), pa.large_binary()).take(every.indices)
+        cuts = np.frombuffer(ids.buffers()[1], np.int64, len(at))[np.searchsorted(at, offsets)].tolist()
+        got = memoryview(ids.buffers()[2] or b"")
+        return [bytes(got[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        slices = byte_chunks(pa.array(texts, pa.large_string()), SLICE_BYTES)
+        return [ids for _, offsets, data in slices for ids in self.read(offsets, data)]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -169,9 +231,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str | None, capacity: int, separa
         end = array("I", [separator_id]).tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, to, texts in text_slices(batch.column(1), SLICE_BYTES):
+            for at, offsets, data in byte_chunks(batch.column(1), SLICE_BYTES):
                 rows = []
-                for doc_id, got in zip(ids[at:to], encoder.encode([t or "" for t in texts])):
+                for doc_id, got in zip(ids[at:], encoder.read(offsets, data)):
                     got += end
                     for k, (start, length) in enumerate(pieces(len(got) // 4, capacity)):
                         rows.append((doc_id, k, start, length, zlib.crc32(got[4 * start : 4 * (start + length)])))

@@ -65,6 +65,47 @@ def test_parts_leave_the_ids_as_they_are(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in plain.encode_batch([f"{c} b\n" for c in letters], add_special_tokens=False)]
 
 
+def test_packing_reads_a_word_once_whatever_stands_beside_it():
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain, given = packing.Encoder(path), tokenizers.Tokenizer.from_file(path), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefgh"), 12)) for _ in range(300)]
+    texts = [" ".join(f"{a}{w}{b}" for w in words) for a in ("", "(", "7") for b in ("", ",", ".", "'s", "!)", ": x")]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert sum(map(len, given)) < 3 * sum(map(len, words))  # of 18 times so much text
+
+
+def test_parts_of_ascii_leave_the_ids_as_they_are(monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = packing.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    rng = np.random.default_rng(10)
+    visible = [*map(chr, range(128)), *[" ", "'", "s", "\n"] * 9, "'s", "'re", "'ll", "  "]
+    odd = [*visible, *["é", "\u0300", "—", "\xa0", "\u3000", "\x1c", "<|endoftext|>", "<|endof"] * 5]
+    texts = ["".join(rng.choice(some, rng.integers(0, 80))) for some in (visible, odd) for _ in range(1500)]
+    assert all("".join(encoder.parts(t)) == t for t in texts)
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(some)]
+        assert got == [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
+    no_ids = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert no_ids.encode([" ", ""]) == [b"", b""] and no_ids.encode([]) == []
+
+
 def test_packing_of_very_long_texts(spark):
     import public_tokenizers
 
