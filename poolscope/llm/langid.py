@@ -11,9 +11,10 @@ a calibrated bound on that cross-entropy marks documents that fit no language.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,30 +54,93 @@ def word_grams(word: str) -> list[str]:
     return [marked[max(0, i + 1 - ORDER) : i + 1] for i in range(1, len(marked))]
 
 
+@lru_cache(maxsize=1)
+def letter_kinds() -> np.ndarray:
+    """By code point: 2 for letters, 1 for what else WORDS matches (as superscript digits), 0 for all others."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    out = np.zeros(len(every), np.uint8)
+    for found in WORDS.finditer(every):
+        out[found.start() : found.end()] = [1 + c.isalpha() for c in found[0]]
+    return out
+
+
+def words_of_texts(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of the texts, in UTF-32; for each word of each text, as words_of has them, its place among
+    those, and its text.
+    """
+    lowered = [text.lower() if text else "" for text in texts]
+    codes = np.frombuffer("\n".join(["", *lowered, ""]).encode("utf-32-le"), "<u4")
+    inside = letter_kinds()[codes] > 0
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = turns[::2], turns[1::2]
+    upto = np.searchsorted(starts, np.cumsum([len(text) + 1 for text in lowered]))
+    owner = np.repeat(np.arange(len(texts)), np.diff(upto, prepend=0))
+    offsets = np.concatenate([[0], np.cumsum(4 * (ends - starts))])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(codes[inside])]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(), owner
+
+
+def codes_of(grams: list[str]) -> np.ndarray:
+    """Code points of strings of up to ORDER characters, a row each, with zeros after them."""
+    return np.array(grams, f"<U{ORDER}").view("<u4").reshape(len(grams), ORDER)
+
+
+def gram_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """word_grams of all the UTF-32 words as codes_of has them, and the place of each gram's word."""
+    before, after = "^".encode("utf-32-le"), "$".encode("utf-32-le")
+    codes = np.frombuffer(before + (after + before).join(words) + after, "<u4")
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4 + 1
+    owner = np.repeat(np.arange(len(words)), sizes)
+    last = np.arange(len(owner)) + owner + 1
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    first = np.maximum(last + 1 - ORDER, starts[owner])
+    out = np.zeros((len(owner), ORDER), np.uint32)
+    for k in range(ORDER):
+        at = first + k
+        out[:, k] = np.where(at <= last, codes[np.minimum(at, last)], 0)
+    return out, owner
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of code points, and the place of each row among them."""
+    rows = pa.Array.from_buffers(pa.binary(4 * ORDER), len(codes), [None, pa.py_buffer(codes)]).dictionary_encode()
+    found = np.frombuffer(rows.dictionary.buffers()[1], np.uint32, ORDER * len(rows.dictionary))
+    return found.reshape(-1, ORDER), rows.indices.to_numpy()
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows with a language; partial counts leave each task once per gram."""
 
     def run(batches):
-        words: dict[str, Counter] = {}
+        words: dict[str, Counter[bytes]] = {}
         grams: dict[str, Counter] = {}
 
         def fold():
             for lang, counted in words.items():
                 into = grams.setdefault(lang, Counter())
-                for word, n in counted.items():
-                    for gram in word_grams(word):
-                        into[gram] += n
+                codes, owner = gram_codes(list(counted))
+                found, at = distinct(codes)
+                times = np.fromiter(counted.values(), np.int64, len(counted))[owner]
+                for gram, n in zip(found.view(f"<U{ORDER}")[:, 0].tolist(), np.bincount(at, times).astype(np.int64).tolist()):
+                    into[gram] += n
             words.clear()
 
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            known = batch.column(0).to_pylist()
+            langs = list(dict.fromkeys(known))
+            place = {lang: j for j, lang in enumerate(langs)}
+            known = np.array([place[lang] for lang in known], np.int64)
             for at, to, texts in text_slices(batch.column(1)):
-                for lang, text in zip(langs[at:to], texts):
-                    words.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, words.values())) > CACHED_WORDS:
-                fold()
-            if sum(map(len, grams.values())) > MAX_HELD_GRAMS:
-                yield from emit(grams)
+                found, index, owner = words_of_texts(texts)
+                pairs, times = np.unique(known[at:to][owner] * len(found) + index, return_counts=True)
+                for pair, n in zip(pairs.tolist(), times.tolist()):
+                    j, i = divmod(pair, len(found))
+                    words.setdefault(langs[j], Counter())[found[i]] += n
+                if sum(map(len, words.values())) > CACHED_WORDS:
+                    fold()
+                if sum(map(len, grams.values())) > MAX_HELD_GRAMS:
+                    yield from emit(grams)
         fold()
         yield from emit(grams)
 
@@ -97,8 +161,12 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def gram_hash(grams: list[str]) -> np.ndarray:
     """64-bit hashes of strings of up to ORDER characters."""
-    out = np.zeros(len(grams), np.uint64)
-    codes = np.array(grams, dtype=f"<U{ORDER}").view("<u4").reshape(len(grams), ORDER) if grams else np.zeros((0, ORDER), "<u4")
+    return code_hash(codes_of(grams))
+
+
+def code_hash(codes: np.ndarray) -> np.ndarray:
+    """gram_hash of rows of code points."""
+    out = np.zeros(len(codes), np.uint64)
     for k in range(ORDER):
         out = (out ^ codes[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
@@ -114,24 +182,30 @@ class Models:
     contexts: list[tuple[np.ndarray, np.ndarray]]
     bound: np.ndarray
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Sum of log-probabilities of each word's characters, one column per language."""
-        events, owner = [], []
-        for i, word in enumerate(words):
-            got = word_grams(word)
-            events += got
-            owner += [i] * len(got)
-        unique, back = np.unique(np.array(events, dtype=f"<U{ORDER}"), return_inverse=True)
-        logs = self.event_scores(unique.tolist())
+    def word_scores(self, words: list[bytes]) -> np.ndarray:
+        """Sum of log-probabilities of each UTF-32 word's characters, one column per language; NaN of words without a letter."""
+        codes, owner = gram_codes(words)
+        events, at = distinct(codes)
+        logs = self.code_scores(events)
         out = np.zeros((len(words), len(self.langs)))
         for j in range(len(self.langs)):
-            out[:, j] = np.bincount(np.array(owner), logs[back, j], len(words))
+            out[:, j] = np.bincount(owner, logs[at, j], len(words))
+        letters = letter_kinds()[np.frombuffer(b"".join(words), "<u4")] == 2
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        out[~np.logical_or.reduceat(letters, np.cumsum(sizes) - sizes)] = np.nan
         return out
 
     def event_scores(self, events: list[str]) -> np.ndarray:
-        lengths = np.fromiter(map(len, events), np.int64, len(events))
-        tails = [gram_hash([g[k:] for g in events]) for k in range(ORDER)]
-        heads = [gram_hash([g[k:-1] for g in events]) for k in range(ORDER)]
+        """Log-probability of each gram's last character after those before it, one column per language."""
+        return self.code_scores(codes_of(events))
+
+    def code_scores(self, events: np.ndarray) -> np.ndarray:
+        """event_scores of rows of code points."""
+        lengths = np.count_nonzero(events, axis=1)
+        before = np.where(np.arange(ORDER) < lengths[:, None] - 1, events, 0)
+        none = np.zeros_like(events)
+        tails = [code_hash(np.hstack([events[:, k:], none[:, :k]])) for k in range(ORDER)]
+        heads = [code_hash(np.hstack([before[:, k:], none[:, :k]])) for k in range(ORDER)]
         out = np.zeros((len(events), len(self.langs)))
         for j, ((keys, logs), (contexts, weights)) in enumerate(zip(self.grams, self.contexts)):
             todo = np.arange(len(events))
@@ -253,31 +327,24 @@ def collect_models(logs: DataFrame) -> Models:
     return Models(langs, found[False], found[True], np.full(len(langs), np.inf))
 
 
-def score_texts(models: Models, texts: list[str | None], cache: dict[str, int], table: list[np.ndarray]):
+def score_texts(models: Models, texts: list[str | None], cache: dict[bytes, int], table: list[np.ndarray]):
     """Per text: characters scored, and the cross-entropy under each language."""
-    counted = []
-    for text in texts:
-        counted.append(Counter(words_of(text)) if text else {})
+    words, index, owner = words_of_texts(texts)
     if len(cache) > CACHED_WORDS:
         cache.clear()
         table[0] = np.zeros((0, len(models.langs)))
-    new = list({w for words in counted for w in words if w not in cache})
+    new = [w for w in words if w not in cache]
     if new:
-        fresh = models.word_scores(new)
-        lettered = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in new])
         cache.update(zip(new, range(len(table[0]), len(table[0]) + len(new))))
-        table[0] = np.vstack([table[0], np.where(lettered[:, None], fresh, np.nan)])
-    out, chars = np.full((len(texts), len(models.langs)), np.nan), np.zeros(len(texts), np.int64)
-    for i, words in enumerate(counted):
-        if not words:
-            continue
-        rows = table[0][[cache[w] for w in words]]
-        n = np.fromiter(words.values(), np.float64, len(words))
-        good = ~np.isnan(rows[:, 0])
-        if good.any():
-            size = np.array([len(w) + 1 for w in words])
-            chars[i] = int((n * size)[good].sum())
-            out[i] = -(n[good] @ rows[good]) / chars[i]
+        table[0] = np.vstack([table[0], models.word_scores(new)])
+    scores = table[0][np.fromiter(map(cache.__getitem__, words), np.int64, len(words))]
+    bare = np.isnan(scores[:, 0])
+    scores[bare] = 0
+    sizes = np.where(bare, 0, np.fromiter(map(len, words), np.int64, len(words)) // 4 + 1)
+    chars = np.bincount(owner, sizes[index], len(texts)).astype(np.int64)
+    out, good = np.full((len(texts), len(models.langs)), np.nan), chars > 0
+    for j in range(len(models.langs)):
+        out[good, j] = -np.bincount(owner, scores[index, j], len(texts))[good] / chars[good]
     return chars, out
 
 

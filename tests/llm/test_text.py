@@ -1,5 +1,7 @@
 import collections
 import math
+import random
+import time
 import zlib
 
 import numpy as np
@@ -405,3 +407,34 @@ def test_all_taught_rows_are_counted_and_calibrate(spark):
     got = {r["doc_id"]: tuple(r)[1:] for r in langid.identify(docs, taught).collect()}
     plain = {r["doc_id"]: tuple(r)[1:] for r in langid.predict(docs, models).collect()}
     assert got.keys() == plain.keys() and all(got[i] == pytest.approx(plain[i]) for i in got if i < 3001) and got[3001] == plain[3001] == ("und", 0.0, None, False)
+
+
+def test_words_and_grams_by_arrays_are_those_of_texts(spark):
+    texts = [None, "", "12 34 !?", "²³ a² _x_1y٣z", "ΑΣ", "Σ ΑΣΑ ΟΔΟΣ\n", "İstanbul ﬁ 𝒳𝒴 𐐀𐐁 日本語", "a\0b\nab ab AB", "z" * 3000, "ǅ ẞ", "a\u0301b"]
+    words, index, owner = langid.words_of_texts(texts)
+    words = [w.decode("utf-32-le") for w in words]
+    want = [(k, w) for k, text in enumerate(texts) if text for w in langid.words_of(text)]
+    assert [(k, words[i]) for k, i in zip(owner, index)] == want and len(set(words)) == len(words)
+    codes, owner = langid.gram_codes([w.encode("utf-32-le") for w in words])
+    grams = codes.view(f"<U{langid.ORDER}")[:, 0].tolist()
+    assert list(zip(owner, grams)) == [(k, g) for k, w in enumerate(words) for g in langid.word_grams(w)]
+    rows = [(lang, text) for k, text in enumerate(texts) for lang in ("x", "y")[: 1 + k % 2]]
+    counts = collections.Counter((lang, g) for lang, text in rows if text for w in langid.words_of(text) for g in langid.word_grams(w))
+    got = langid.count_grams(spark.createDataFrame(rows, "lang string, text string").coalesce(1)).collect()
+    assert {(r["lang"], r["gram"]): r["n"] for r in got} == counts and len(got) == len(counts)
+
+
+def test_scoring_costs_no_more_than_reading_words_and_grams():
+    random.seed(7)
+    texts = [" ".join("".join(random.choices("abcdefghij", k=random.randint(2, 9))) for _ in range(400)) for _ in range(500)]
+    counts = collections.Counter(g for text in texts[:50] for w in langid.words_of(text) for g in langid.word_grams(w))
+    models = langid.build({lang: langid._language_model(counts) for lang in "wxyz"})
+
+    def seconds(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    score = [seconds(lambda: langid.score_texts(models, texts, {}, [np.zeros((0, 4))])) for _ in range(3)]
+    read = [seconds(lambda: collections.Counter(g for text in texts for w in langid.words_of(text) for g in langid.word_grams(w))) for _ in range(3)]
+    assert min(score) < 1.5 * min(read), (score, read)
