@@ -222,6 +222,39 @@ def test_actions(spark):
         actions.page(everything, 51)
 
 
+def test_swaps_are_exchanged_once(spark):
+    """Single and double swaps come out of one pass, each first leg with each second leg of its tx and block."""
+    rows = [swap(t, d, 10 + i, 5, 100 * i, i, pool=p, tx=tx, idx=i) for i, (tx, t, d, p) in enumerate([
+        ("m", 1, 1, "A.A"), ("m", 1, 1, "B.B"), ("m", 1, 0, "C.C"), ("m", 1, 0, "A.A"), ("m", 2, 1, "A.A"), ("m", 2, 1, "A.A"), ("n", 1, 0, "A.A"), ("n", 1, 0, "B.B"), (None, 1, 1, "A.A"),
+    ])]
+    swaps = swaps_of(spark, rows)
+    legs = [r.asDict() for r in swaps.collect()]
+    want = []
+    for a in legs:
+        group = [b for b in legs if (b["tx"], b["block_timestamp"]) == (a["tx"], a["block_timestamp"])]
+        if len({b["from_asset"] for b in group}) == 1:
+            want.append((a["tx"], a["block_timestamp"], True, a["from_asset"], a["to_asset"], a["from_e8"], a["swap_slip_bp"], a["liq_fee_in_rune_e8"]))
+        elif a["to_asset"] == "THOR.RUNE":
+            for b in group:
+                if b["from_asset"] == "THOR.RUNE" and b["to_asset"] != a["from_asset"]:
+                    slip = a["swap_slip_bp"] + b["swap_slip_bp"] - a["swap_slip_bp"] * b["swap_slip_bp"] // 10000
+                    want.append((a["tx"], a["block_timestamp"], False, a["from_asset"], b["to_asset"], a["from_e8"], slip, a["liq_fee_in_rune_e8"] + b["liq_fee_in_rune_e8"]))
+    made = actions.swap_actions(swaps)
+    got = [(r["main_ref"], r["block_timestamp"], r["meta"]["swapSingle"], *r["assets"], r["ins"][0]["coins"][0]["amount"], r["meta"]["swapSlip"], r["meta"]["liquidityFee"]) for r in made.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {w[2] for w in want} == {True, False}
+    assert actions.swap_actions(swaps)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(tx") == 1
+
+
+def test_adds_without_a_reference_are_not_exchanged(spark):
+    """They have no outbounds; by their null reference they would all meet in one task."""
+    stakes, pending = spark.createDataFrame([("P.P", "a1", "r1", 10, 5, 20, "x", "y", 0, 8)], STAKE), spark.createDataFrame([], PENDING)
+    extras = spark.createDataFrame([(None, [(1,)], None)], "ref string, o array<struct<t:long>>, f array<struct<t:long>>")
+    got = actions.with_extras(actions.done_adds(stakes), [actions.pending_adds(pending)], extras)
+    assert [(r["meta"]["status"], r["o"], r["f"]) for r in got.collect()] == [("success", None, None)]
+    first, parts = actions.base_parts({"stake_events": stakes, "pending_liquidity_events": pending})
+    assert "Exchange" not in first._jdf.queryExecution().executedPlan().toString() and len(parts) == 1
+
+
 def raw(height, idx, kind, **attributes):
     return (height, height * NS, idx, kind, [(k, v) for k, v in attributes.items()])
 
