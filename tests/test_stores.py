@@ -12,6 +12,7 @@ from poolscope.operators.rollup import Aggregate
 from poolscope.schemas import table_schema
 from poolscope.sources import commits
 from poolscope.sources.commits import CommitLog
+from poolscope.streaming import action_store
 from poolscope.streaming.action_store import ACTIONS, EXTRAS, POSTINGS, ActionStore
 from poolscope.streaming.member_store import MEMBERS, MemberStore
 from poolscope.streaming.rollup_store import RollupStore
@@ -111,6 +112,22 @@ def test_pages_equal_those_of_all_actions(spark, stored, wanted, limit, offset):
     assert {r["total"] for r in got} <= {whole.count()}
 
 
+def test_batches_of_many_references(spark, tmp_path, monkeypatch):
+    """References are joined, a transaction is posted once, and batches take only the disk that they need."""
+    monkeypatch.setattr(action_store, "LOOKED_UP", 0)
+    store, cleaned = ActionStore(CommitLog(spark, f"file://{tmp_path}")), []
+    write = store.log._stage
+    monkeypatch.setattr(store.log, "_stage", lambda *rest: (cleaned.append(spark.conf.get(commits.CLEANUP)), write(*rest))[1])
+    kept = spark.conf.get(commits.CLEANUP)
+    for b in BATCHES:
+        store.apply(batch(spark, **b))
+    assert set(cleaned) == {"true"} and spark.conf.get(commits.CLEANUP) == kept == "false"
+    assert told(store.log.read(ACTIONS)) == told(actions.build_actions(together(spark)))
+    postings = store.log.read_parts(POSTINGS, store.log.parts(POSTINGS))
+    assert {r["value"][:3] for r in postings.filter("kind = 'ref'").collect()} == {"PL:"}
+    assert max(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 100_000
+
+
 def test_a_page_opens_the_newest_days_only(stored):
     assert {p.split("/key=")[1].split("/")[0] for p in stored.page(2, 0).inputFiles()} <= {"9", "6"}
     assert {p.split("/key=")[1].split("/")[0] for p in stored.page(2, 4).inputFiles()} == {"5"}
